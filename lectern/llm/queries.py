@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, line_dedup, packing, quality, simhash
+from lectern.llm import byte_bpe, language, line_dedup, packing, quality, simhash, tool_calls, transport_stream, url_reputation
 from lectern.llm.common import fold, read_table
 
 
@@ -20,6 +20,42 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+TOOL_SCHEMAS = [("answer", "n_chars", "integer", True), ("answer", "question", "string", True)]
+
+
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of_conversations(read_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "name string, param string, type string, required boolean")
+    linked = tool_calls.link_tool_calls(calls, results, schemas)
+    return linked.select("conv_id", "turn", "call_id", F.col("level").cast("long").alias("level"), "duplicates", F.array_join("errors", ",").alias("errors"), "message")
+
+
+OP1_SQL = """
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, min(CASE WHEN text IS NULL THEN '{}' ELSE '{"n_chars":' || length(text) || ',"question":' || to_json(text) || '}' END) AS arguments, count(*) AS duplicates, bool_or(text IS NULL) AS no_text
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result, true AS answered FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+lv(conv_id, turn, level) AS (
+  SELECT c.conv_id, c.turn, CAST(0 AS BIGINT) FROM u c LEFT JOIN u p ON p.conv_id = c.conv_id AND p.turn = c.turn // 2 AND c.turn > 0 WHERE p.turn IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.turn, lv.level + 1 FROM lv JOIN u c ON c.conv_id = lv.conv_id AND c.turn > 0 AND c.turn // 2 = lv.turn
+),
+e AS (
+  SELECT u.conv_id, u.turn, 't' || u.turn AS call_id, lv.level, u.duplicates, u.arguments, r.result,
+    list_filter([CASE WHEN u.no_text THEN 'missing:n_chars' END, CASE WHEN u.no_text THEN 'missing:question' END, CASE WHEN r.answered IS NULL THEN 'no_result' END, CASE WHEN u.turn > 0 AND p.turn IS NULL THEN 'unknown_dependency' END], lambda x: x IS NOT NULL) AS errors
+  FROM u JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn LEFT JOIN r ON r.conv_id = u.conv_id AND r.turn = u.turn LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn // 2
+)
+SELECT conv_id, turn, call_id, level, duplicates, coalesce(array_to_string(errors, ','), '') AS errors,
+  '{"arguments":' || arguments || ',"errors":[' || coalesce(array_to_string(list_transform(errors, lambda x: '"' || x || '"'), ','), '') || '],"id":"' || call_id || '","level":' || level || ',"name":"answer","result":' || coalesce(to_json(result), 'null') || '}' AS message
+FROM e
+"""
+
+
+def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.media_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -28,6 +64,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(rows, profiles, keep_text=False)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -44,6 +87,63 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+URL_RULES = [
+    url_reputation.Rule("allow", "com", "/"),
+    url_reputation.Rule("block", "example.com", "/en/"),
+    url_reputation.Rule("allow", "www.example.com", "/en/"),
+    url_reputation.Rule("block", "net", "/es/"),
+    url_reputation.Rule("block", "net", "/fr/"),
+]
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcomes are the labels whose id is a page's: good is quality 1 and not toxic."""
+    labels = read_table(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
+    judged = url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _strength_sql(name: str, table: str, good: str, seen: str) -> str:
+    return f"""{name}_sums AS (SELECT sum(CAST({seen} AS DOUBLE)) AS n, sum(CAST({good} AS DOUBLE)) AS s, count(*) AS m, sum(CAST({good} AS DOUBLE) * {good} / {seen}) AS q FROM {table} WHERE {seen} > 0),
+{name} AS (
+  SELECT least(greatest(coalesce(CASE WHEN m > 1 AND (q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n > 0 THEN (s / n) * (1 - s / n) / ((q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n) - 1 END, 1000.0), 1.0), 1000.0) AS k, coalesce(s / n, 0.5) AS p
+  FROM {name}_sums
+)"""
+
+
+OP9_SQL = f"""
+WITH placed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+),
+outcome AS (SELECT doc_id AS page_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE quality IS NOT NULL),
+hosts AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(coalesce(sum(good), 0) AS BIGINT) AS good, count(good) AS seen
+  FROM placed p LEFT JOIN outcome o ON p.page_id = o.page_id GROUP BY host
+),
+domains AS (SELECT domain, suffix, CAST(sum(good) AS BIGINT) AS d_good, CAST(sum(seen) AS BIGINT) AS d_seen FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, CAST(sum(d_good) AS BIGINT) AS s_good, CAST(sum(d_seen) AS BIGINT) AS s_seen FROM domains GROUP BY suffix),
+{_strength_sql("sp", "suffixes", "s_good", "s_seen")},
+{_strength_sql("dp", "domains", "d_good", "d_seen")},
+{_strength_sql("hp", "hosts", "good", "seen")},
+means AS (
+  SELECT h.host, h.seen, hp.k AS k, (hp.k * ((dp.k * ((sp.k * sp.p + s.s_good) / (sp.k + s.s_seen)) + d.d_good) / (dp.k + d.d_seen)) + h.good) / (hp.k + h.seen) AS mean
+  FROM hosts h JOIN domains d ON d.domain = h.domain JOIN suffixes s ON s.suffix = d.suffix CROSS JOIN sp CROSS JOIN dp CROSS JOIN hp
+),
+bound AS (SELECT host, mean + {url_reputation.Z} * sqrt(mean * (1 - mean) / (k + seen + 1)) AS upper FROM means),
+ruled AS (
+  SELECT p.page_id, p.host, p.path, b.upper, CASE
+    WHEN (p.host = 'www.example.com' OR ends_with(p.host, '.www.example.com')) AND starts_with(p.path, '/en/') THEN 'www.example.com/en/'
+    WHEN (p.host = 'example.com' OR ends_with(p.host, '.example.com')) AND starts_with(p.path, '/en/') THEN 'example.com/en/'
+    WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(p.path, '/fr/') THEN 'net/fr/'
+    WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(p.path, '/es/') THEN 'net/es/'
+    WHEN (p.host = 'com' OR ends_with(p.host, '.com')) AND starts_with(p.path, '/') THEN 'com/' END AS rule
+  FROM placed p JOIN bound b ON b.host = p.host
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN upper < {url_reputation.LEAST_GOOD} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_boilerplate(read_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", F.col("lines_total").cast("long").alias("lines_total"), F.col("lines_removed").cast("long").alias("lines_removed"), F.length("text").cast("long").alias("chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -69,13 +169,17 @@ SELECT doc_id, CAST(lines_total AS BIGINT) AS lines_total, CAST(lines_removed AS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tool_call_linking": op1_tool_call_linking,
+        "op2_transport_stream": op2_transport_stream,
         "op3_language_id": op3_language_id,
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_url_reputation": op9_url_reputation,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op1_tool_call_linking": OP1_SQL, "op9_url_reputation": OP9_SQL, "op10_line_dedup": OP10_SQL}
