@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, language, line_dedup, packing, quality, simhash, tool_calls, transport_stream, url_reputation
+from lectern.llm import byte_bpe, language, line_dedup, neighbours, packing, quality, simhash, tool_calls, transport_stream, url_reputation
 from lectern.llm.common import fold, read_table
 
 
@@ -79,6 +79,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(rows, model, keep_text=False)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -174,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_url_reputation": op9_url_reputation,
