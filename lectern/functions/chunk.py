@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions.text import WS, strip
 
@@ -192,17 +193,17 @@ def paragraph_chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERL
     return chunks
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def paragraph_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(paragraph_chunks_of)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def paragraphs(texts: pd.Series) -> pd.Series:
     return texts.map(paragraphs_of)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(sentences_of)
 

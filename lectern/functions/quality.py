@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WORD, WS, clean_paged, lines, normalise_basic, strip
+from lectern.functions.text import WORD, WS, clean_paged, count_chars, let, lines, normalise_basic, strip
 
-SYMBOL = rf"[^{WORD}{WS}]"
+SYMBOLS = rf"^{WORD}{WS}"
+SYMBOL = f"[{SYMBOLS}]"
 SCALE, FLOOR = 14, 3.0
 # Scripts in the order in which they are tried, as character classes.
 SCRIPTS = {"ko": "가-힣ᄀ-ᇿ", "ja": "぀-ヿ", "zh": "一-鿿", "he": "֐-׿", "el": "Ͱ-Ͽ"}
@@ -36,20 +37,23 @@ def count(c: Column, pattern: str) -> Column:
 
 def script_language(c: Column, least: float = 0.1) -> Column:
     """The first script with over a tenth of the characters that are not blank, else en."""
-    c = F.coalesce(c, F.lit(""))
-    total = count(c, f"[^{WS}]")
-    out = F.lit("en")
-    for name, chars in reversed(SCRIPTS.items()):
-        out = F.when(share(count(c, f"[{chars}]"), total) > least, name).otherwise(out)
-    return out
+
+    def name(c: Column) -> Column:
+        total, out = count_chars(c, f"^{WS}"), F.lit("en")
+        for language, chars in reversed(SCRIPTS.items()):
+            out = F.when(share(count_chars(c, chars), total) > least, language).otherwise(out)
+        # most texts have no character of any of the scripts
+        return F.when(c.rlike(f"[{''.join(SCRIPTS.values())}]"), out).otherwise("en")
+
+    return let(F.coalesce(c, F.lit("")), name)
 
 
 def symbol_ratio(c: Column) -> Column:
-    return share(count(c, SYMBOL), F.length(c))
+    return share(count_chars(c, SYMBOLS), F.length(c))
 
 
 def short_line_ratio(c: Column) -> Column:
-    return share(F.size(F.filter(lines(c), lambda x: F.length(x) <= 3)), F.size(lines(c)))
+    return let(lines(c), lambda every: share(F.size(F.filter(every, lambda x: F.length(x) <= 3)), F.size(every)))
 
 
 def repeated_mark_ratio(c: Column) -> Column:
@@ -57,7 +61,7 @@ def repeated_mark_ratio(c: Column) -> Column:
 
 
 def odd_character_ratio(c: Column) -> Column:
-    return share(count(c, rf"""[^{WORD}{WS}.,;:!?()"'\\\-]"""), F.length(c))
+    return share(count_chars(c, rf"""^{WORD}{WS}.,;:!?()"'\\\-"""), F.length(c))
 
 
 def word_split_ratio(c: Column) -> Column:
@@ -67,14 +71,17 @@ def word_split_ratio(c: Column) -> Column:
 
 def page_artifact_ratio(c: Column) -> Column:
     odd = lambda x: x.rlike(r"^\p{Nd}+$") | x.rlike(r"(?i)^page\s+\p{Nd}+$") | x.rlike("^[-–—_]{1,4}$")
-    return share(F.size(F.filter(lines(c), odd)), F.size(lines(c)))
+    return let(lines(c), lambda every: share(F.size(F.filter(every, odd)), F.size(every)))
 
 
 def broken_ratio(c: Column) -> Column:
     """Share of lines, but for the last, that end in a letter or digit: sentences cut off."""
-    all_lines = lines(c)
-    broken = F.size(F.filter(F.slice(all_lines, 1, F.greatest(F.size(all_lines) - 1, F.lit(0))), lambda x: x.rlike(f"[{WORD}]$")))
-    return F.when(F.size(all_lines) < 2, 0.0).otherwise(broken / F.greatest(F.size(all_lines), F.lit(1)))
+
+    def ratio(every: Column) -> Column:
+        broken = F.size(F.filter(F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))), lambda x: x.rlike(f"[{WORD}]$")))
+        return F.when(F.size(every) < 2, 0.0).otherwise(broken / F.greatest(F.size(every), F.lit(1)))
+
+    return let(lines(c), ratio)
 
 
 def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken: Column | None = None) -> Column:
@@ -82,19 +89,20 @@ def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken:
     kind = kind.lower().replace(".", "")
     raw = F.coalesce(c, F.lit(""))
     clean = clean_paged(raw, recognised) if kind == "pdf" else normalise_basic(raw)
-    cut = broken_ratio(clean) if broken is None else broken
-    symbols, short = symbol_ratio(clean), short_line_ratio(clean)
-    if kind in ("txt", "md"):
-        total = symbols * 25 + short * 12
-    elif kind in ("docx", "epub", "html", "htm", "rtf"):
-        total = symbols * 18 + short * 10 + cut * 12
-    elif kind == "pdf":
-        total = symbols * 10 + short * 8 + cut * 12 + repeated_mark_ratio(clean) * 18 + page_artifact_ratio(raw) * 12
-        if recognised:
-            total = total + odd_character_ratio(clean) * 16 + word_split_ratio(raw) * 10
-    else:
-        total = symbols * 20 + short * 10 + cut * 10
-    return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), F.round(F.greatest(total * SCALE, F.lit(FLOOR)), 1)))
+
+    def total(clean: Column) -> Column:
+        symbols, short = symbol_ratio(clean), short_line_ratio(clean)
+        if kind in ("txt", "md"):
+            return symbols * 25 + short * 12
+        cut = broken_ratio(clean) if broken is None else broken
+        if kind in ("docx", "epub", "html", "htm", "rtf"):
+            return symbols * 18 + short * 10 + cut * 12
+        if kind != "pdf":
+            return symbols * 20 + short * 10 + cut * 10
+        paged = symbols * 10 + short * 8 + cut * 12 + repeated_mark_ratio(clean) * 18 + page_artifact_ratio(raw) * 12
+        return paged + odd_character_ratio(clean) * 16 + word_split_ratio(raw) * 10 if recognised else paged
+
+    return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), F.round(F.greatest(let(clean, total) * SCALE, F.lit(FLOOR)), 1)))
 
 
 def noise_label(score: Column) -> Column:
@@ -111,16 +119,15 @@ def caps_density(c: Column) -> Column:
 
 
 def byline_block(c: Column) -> Column:
-    every = lines(c)
-    return F.size(every).between(1, 4) & F.forall(every, lambda x: (F.length(x) <= 48) & ~x.rlike("[.!?。！？]"))
+    fits = lambda every: F.size(every).between(1, 4) & F.forall(every, lambda x: (F.length(x) <= 48) & ~x.rlike("[.!?。！？]"))
+    return let(lines(c), fits)
 
 
 def noise_type(c: Column) -> Column:
     """The first type that fits, from the most protective to the most general."""
-    c = strip(F.coalesce(c, F.lit("")))
-    return (
+    kind = lambda c: (
         F.when(c == "", "PAGE_NUMBER")
-        .when((count(c, f"[{SCRIPTS['he']}]") >= 3) | (count(c, f"[{SCRIPTS['el']}]") >= 3), "ORIGINAL_LANGUAGE")
+        .when((count_chars(c, SCRIPTS["he"]) >= 3) | (count_chars(c, SCRIPTS["el"]) >= 3), "ORIGINAL_LANGUAGE")
         .when(c.rlike(r"(?i)^(page\s+)?[0-9]+$"), "PAGE_NUMBER")
         .when(c.rlike(rf"\([^()]*(?<![{WORD}])(19|20)[0-9]{{2}}(?![{WORD}])[^()]*\)"), "BIBLIOGRAPHY")
         .when(caps_density(c) >= 0.08, "ABBREVIATION")
@@ -128,6 +135,7 @@ def noise_type(c: Column) -> Column:
         .when(byline_block(c), "HEADER_FOOTER")
         .otherwise("NORMAL_CONTENT")
     )
+    return let(strip(F.coalesce(c, F.lit(""))), kind)
 
 
 def noise_policy(kind: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions.text import WORD
+from lectern.functions.text import WORD, let
 
 REFERENCE = "struct<book_id:string,chapter:int,verse_start:int,verse_end:int>"
 
@@ -22,10 +25,9 @@ def intent(c: Column) -> Column:
 
 def themes(c: Column, lexicon_: dict[str, list[str]] | None = None) -> Column:
     """Names of the themes that a substring of the text shows, in the lexicon's order."""
-    low = F.lower(F.coalesce(c, F.lit("")))
     table = lexicon_ or lexicon.THEMES
-    shown = [F.when(low.rlike("|".join(words)), name) for name, words in table.items()]
-    return F.filter(F.array(*shown), lambda x: x.isNotNull())
+    shown = lambda low: F.array(*[F.when(reduce(or_, [low.contains(w) for w in words]), name) for name, words in table.items()])
+    return F.filter(let(F.lower(F.coalesce(c, F.lit(""))), shown), lambda x: x.isNotNull())
 
 
 def references(c: Column, names: dict[str, str] | None = None) -> Column:

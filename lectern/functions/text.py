@@ -8,6 +8,7 @@ blanks are all Unicode white space. Null text gives null unless a function says
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def count_chars(c: Column, chars: str) -> Column:
+    """How many characters are in a class (what stands between the brackets); no list of matches is made."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
 
