@@ -91,7 +91,7 @@ def chain(registry: DataFrame, start: str, most: int = 10_000) -> DataFrame:
     """
     spark = registry.sparkSession
     walk = lambda column: spark.sql(
-        f"WITH RECURSIVE MAX RECURSION LEVEL {most} walk(id, step, seen) AS (SELECT :start, 0, array(:start) UNION ALL "
+        f"WITH RECURSIVE walk(id, step, seen) MAX RECURSION LEVEL {most} AS (SELECT :start, 0, array(:start) UNION ALL "
         f"SELECT r.{column}, w.step + 1, array_append(w.seen, r.{column}) FROM walk w JOIN {{reg}} r ON r.document_id = w.id WHERE r.{column} IS NOT NULL AND NOT array_contains(w.seen, r.{column})) SELECT id, step FROM walk",
         args={"start": start}, reg=registry,
     )
