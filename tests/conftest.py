@@ -1,4 +1,3 @@
-import glob
 import os
 import sys
 from pathlib import Path
@@ -9,10 +8,6 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
@@ -30,27 +25,10 @@ def spark(tmp_path_factory):
 def duck():
     import duckdb
 
+    from helpers import SF, TABLES
+
     con = duckdb.connect()
     for t in TABLES:
         path = f"{SF}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
-
-
-def cell(v):
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    if v is None or v != v:
-        return "null"
-    if isinstance(v, (list, tuple)):
-        return "[" + ",".join(map(cell, v)) + "]"
-    if isinstance(v, bool):
-        return str(int(v))
-    if isinstance(v, (int, float)):
-        return f"{v:.6g}" if isinstance(v, float) and v != int(v) else str(int(v))
-    return str(v)
-
-
-def rows_of(frame):
-    names = sorted(frame.columns)
-    return names, sorted("|".join(map(cell, r)) for r in frame[names].itertuples(index=False, name=None))

@@ -119,7 +119,7 @@ def test_page_headings(spark):
 
 def test_plans_stay_small(spark):
     """Ranking windows prune before the shuffle, and filters reach the scan."""
-    from conftest import SF
+    from helpers import SF
 
     from lectern.plans.queries import QUERIES
 

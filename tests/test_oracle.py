@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL, over whole tables."""
 
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 
 from lectern.plans.queries import QUERIES, SQL
 
