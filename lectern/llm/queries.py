@@ -111,7 +111,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _strength_sql(name: str, table: str, good: str, seen: str) -> str:
     return f"""{name}_sums AS (SELECT sum(CAST({seen} AS DOUBLE)) AS n, sum(CAST({good} AS DOUBLE)) AS s, count(*) AS m, sum(CAST({good} AS DOUBLE) * {good} / {seen}) AS q FROM {table} WHERE {seen} > 0),
 {name} AS (
-  SELECT least(greatest(coalesce(CASE WHEN m > 1 AND (q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n > 0 THEN (s / n) * (1 - s / n) / ((q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n) - 1 END, 1000.0), 1.0), 1000.0) AS k, coalesce(s / n, 0.5) AS p
+  SELECT least(greatest(coalesce(CASE WHEN m > 1 AND (q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n > 0 THEN (s / n) * (1 - s / n) / ((q - n * (s / n) * (s / n) - (s / n) * (1 - s / n) * (m - 1)) / n) - 1 END, 1000.0), 1.0), 1000.0) AS k, coalesce(s / n, 1.0) AS p
   FROM {name}_sums
 )"""
 

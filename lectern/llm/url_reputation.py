@@ -79,7 +79,7 @@ def _strength(table: DataFrame, good: str, seen: str) -> DataFrame:
     # expected sum of n (rate - p)^2 is within * (m - 1) plus the spread between groups times n
     spread = (F.col("q") - F.col("n") * p * p - within * (F.col("m") - 1)) / F.col("n")
     k = F.when((F.col("m") > 1) & (spread > 0), within / spread - 1)
-    return sums.select(F.least(F.greatest(F.coalesce(k, F.lit(1000.0)), F.lit(1.0)), F.lit(1000.0)).alias("k"), F.coalesce(p, F.lit(0.5)).alias("p"))
+    return sums.select(F.least(F.greatest(F.coalesce(k, F.lit(1000.0)), F.lit(1.0)), F.lit(1000.0)).alias("k"), F.coalesce(p, F.lit(1.0)).alias("p"))
 
 
 def reputations(counts: DataFrame, z: float = Z) -> DataFrame:
