@@ -4,7 +4,9 @@ A line's spread is the number of distinct sites it occurs on. HyperLogLog
 sketches of the sites are built per line hash before the shuffle and merged after
 it, so a line on a third of all rows costs a small sketch per task. Where the
 estimate is too near the threshold to decide, the distinct sites of just those
-lines are counted exactly. Lines on ``min_sites`` or more sites go from every
+lines are counted exactly. The tables of such lines are written once and counted:
+a small one is broadcast, so that the lines stay where they are; a large one is
+shuffled like the lines, and adaptive execution splits a hot line between tasks. Lines on ``min_sites`` or more sites go from every
 document but the one with the smallest id (``keep_first``), so that copies of a
 page do not erase its text altogether.
 
@@ -22,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import without
+from lectern.llm.common import cut_lineage, without
 
 MIN_SITES = 8
 LG_CONFIG = 12
 #: Relative error of one HyperLogLog estimate with 2**12 registers is near 0.02; five of those decide alone.
 MARGIN = 0.1
+#: A table of lines is broadcast up to this many rows (three numbers each, some 25 MB), else joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str, site: str) -> DataFrame:
@@ -47,21 +51,27 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """Line hashes (``__h1``, ``__h2``) on ``min_sites`` or more sites, and the smallest id that shows each."""
     lines = _lines(docs, text, doc_id, site)
     spread = lines.groupBy("__h1", "__h2").agg(F.hll_sketch_agg("__site", F.lit(LG_CONFIG)).alias("sketch"), F.count("*").alias("rows"), F.min("__id").alias("__first"))
-    # a line has no more sites than rows, which settles most lines without the sketch
-    estimate = spread.where(F.col("rows") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch")
     low, high = min_sites - 1 - MARGIN * min_sites, min_sites + MARGIN * min_sites
+    # a line has no more sites than rows, which settles most lines without the sketch
+    estimate = spread.where(F.col("rows") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= low)
+    estimate = cut_lineage(estimate.select("__h1", "__h2", "__first", "sites"))
     sure = estimate.where(F.col("sites") > high).select("__h1", "__h2", "__first")
-    near = estimate.where(F.col("sites").between(low, high)).select("__h1", "__h2", "__first")
-    exact = lines.select("__h1", "__h2", "__site").join(near, ["__h1", "__h2"]).groupBy("__h1", "__h2", "__site").agg(F.first("__first").alias("__first"))
+    near = estimate.where(F.col("sites") <= high).select("__h1", "__h2", "__first")
+    exact = lines.select("__h1", "__h2", "__site").join(_bounded(near), ["__h1", "__h2"]).groupBy("__h1", "__h2", "__site").agg(F.first("__first").alias("__first"))
     counted = exact.groupBy("__h1", "__h2").agg(F.count("*").alias("n"), F.first("__first").alias("__first")).where(F.col("n") >= min_sites)
     return sure.unionByName(counted.select("__h1", "__h2", "__first"))
 
 
+def _bounded(table: DataFrame) -> DataFrame:
+    """A written ``table``, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def remove_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text``, and ``lines_total`` and ``lines_removed``."""
     lines = _lines(docs, text, doc_id, site)
-    spread = boilerplate_lines(docs, text, doc_id, site, min_sites)
-    found = lines.join(spread, ["__h1", "__h2"])
+    spread = cut_lineage(boilerplate_lines(docs, text, doc_id, site, min_sites))
+    found = lines.join(_bounded(spread), ["__h1", "__h2"])
     if keep_first:
         found = found.where(~F.col("__id").eqNullSafe(F.col("__first")))
     # rows that repeat an id and a text share one set of positions

@@ -159,6 +159,14 @@ def test_op10_thresholds_and_odd_rows(spark, odd):
     assert line_dedup.remove_boilerplate(odd.limit(0)).count() == 0
 
 
+def test_lines_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"own {k}\nshared {k % 3}\nhot", f"s{k % 12}") for k in range(60)], "doc_id long, text string, source string")
+    rows = lambda: sorted(map(tuple, line_dedup.remove_boilerplate(docs, min_sites=4).collect()))
+    small = rows()
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    assert rows() == small and any(r[-1] == 2 for r in small)
+
+
 @pytest.mark.parametrize("name", ["op1_tool_call_linking", "op10_line_dedup"])
 def test_native_plans(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().toString()
