@@ -170,8 +170,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest id (null ids last), then the smaller text hash."""
+    return first_of_each(docs, _grouped(docs, text, doc_id, words, threshold), text, doc_id)
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with one row of each ``label`` in ``grouped`` (id, t1, t2, label)."""
     key = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("t1").alias("t1"), F.col("t2").alias("t2"))
-    best = _grouped(docs, text, doc_id, words, threshold).groupBy("label", key.alias("k")).agg(F.count("*").alias("rows"))
+    best = grouped.groupBy("label", key.alias("k")).agg(F.count("*").alias("rows"))
     best = best.groupBy("label").agg(F.min_by(F.struct("k", "rows"), "k").alias("b")).select(F.col("b.k.id").alias("__id"), F.col("b.k.t1").alias("__t1"), F.col("b.k.t2").alias("__t2"), F.col("b.rows").alias("__rows"))
     own = without(docs, "__id", "__t1", "__t2", "__rows")
     rows = own.withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)})
