@@ -191,8 +191,6 @@ class ByteBPE:
 
     def learn(self, matches: set[str]) -> None:
         """Encode matches that are not known yet."""
-        if len(self.known) + len(matches) > CACHE:
-            self.known = {}
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for match in matches:
             raw = match.encode("utf-8", "surrogatepass")
@@ -216,12 +214,11 @@ class ByteBPE:
                 split.append(self.split(texts[start] or ""))
                 size += len(texts[start] or "")
                 start += 1
-            fresh = set().union(*split).difference(self.known)
-            if fresh:
-                held = self.known
-                self.learn(fresh)
-                if self.known is not held:  # the cache began anew
-                    self.learn(set().union(*split).difference(self.known))
+            met = set().union(*split)
+            fresh = met.difference(self.known)
+            if len(self.known) + len(fresh) > CACHE:  # begins anew between splits only: all matches of one are held, however many
+                self.known, fresh = {}, met
+            self.learn(fresh)
             find = self.known.__getitem__
             out += [np.frombuffer(b"".join(map(find, matches)), "<u4") for matches in split]
         return out
