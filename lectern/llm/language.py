@@ -33,6 +33,8 @@ PROFILE_SIZE = 500
 ORDERS = (1, 2, 3)
 #: Code points take 21 bits, so three of them fit in one signed 64-bit code.
 BITS = 21
+#: Stands for a word's beginning and end; a symbol of its own, so that " a" and "a" have different codes.
+EDGE = 1
 FLUSH_CODES = 4_000_000
 
 _letters: np.ndarray | None = None
@@ -47,12 +49,12 @@ def _letter_table() -> np.ndarray:
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Lower-cased code points with every run of other characters as one 0."""
+    """Lower-cased code points with every run of other characters as one ``EDGE``."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    points = np.where(_letter_table()[points], points, 0)
-    points = np.concatenate(([0], points, [0]))
+    points = np.where(_letter_table()[points], points, EDGE)
+    points = np.concatenate(([EDGE], points, [EDGE]))
     keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+    keep[1:] = (points[1:] != EDGE) | (points[:-1] != EDGE)
     return points[keep]
 
 
@@ -72,9 +74,9 @@ def ngram_codes(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
             part = s[k : k + width]
             code = (code << BITS) | part
             if 0 < k < n - 1:
-                whole &= part != 0
+                whole &= part != EDGE
         if n == 1:
-            whole = s != 0
+            whole = s != EDGE
         found.append(code[whole])
     return np.concatenate(found)
 
