@@ -1,11 +1,15 @@
 """Tool-call linking: calls joined to results, ordered, validated and written as canonical JSON.
 
 Calls and results meet in an equi-join on (conversation, identifier). Calls that
-name other calls they depend on get a topological level: rounds of joins along
-the dependency edges, each written to the checkpoint folder, until no call is
-ready any more; what is left then depends on a cycle. Arguments are checked
-against a table of parameters, and every call becomes one JSON object with
-sorted keys and no blanks.
+name other calls they depend on get a topological level. Calls with one dependency
+make up chains: pointer doubling along them finds the distance to the chain's head in
+a logarithmic number of joins. What is left are calls with several dependencies;
+rounds of joins settle those whose dependencies are all settled, so a round is spent
+only on each step from one such call to the next. What no round reaches depends on a
+cycle. Every round is written to the checkpoint folder.
+
+Arguments are parsed once (``parse_json``), checked against a table of parameters by
+the type of each value, and written as JSON without blanks, keys sorted at all depths.
 
 Main path: DataFrame functions only. A conversation's order is the sort order of
 (``level``, ``turn``, ``call_id``), a column of each row: no task gathers a
@@ -17,18 +21,24 @@ calls with a null conversation or identifier take part in no link and get no row
 A missing result gives null ``result`` and the error ``no_result``. A dependency on
 an unknown call gives ``unknown_dependency`` and does not delay the call; one on
 a cycle gives level -1 and ``dependency_cycle``. Null arguments count as an empty
-object; arguments that are no JSON object give ``not_an_object``. An empty table
-gives an empty result.
+object; arguments that are no JSON object, or repeat a key, give ``not_an_object`` and are
+written as an empty one. A null value counts as missing. Numbers are written plainly
+(2.50 as 2.5), whole ones count as integers. Values of a wrong type are reported
+(``type:name``) and stay as they are. Columns beyond those named are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage
 
-MAX_ROUNDS = 10_000
+#: Level tables that are joined into one written table at a time.
+GATHERED = 16
 
 
 def json_string(value: Column) -> Column:
@@ -37,32 +47,66 @@ def json_string(value: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def chain_heads(single: DataFrame) -> DataFrame:
+    """``conv_id, call_id, head, steps`` of calls that need exactly one other (``needs``): the first call on the way that is none of these.
+
+    Calls that lead into a circle of such calls have no head and no row. Each round doubles how far the pointers reach.
+    """
+    keys = ["conv_id", "call_id"]
+    known = single.select("conv_id", F.col("call_id").alias("needs"), F.lit(False).alias("done"))
+    state = cut_lineage(single.join(known, ["conv_id", "needs"], "left").select(*keys, F.col("needs").alias("head"), F.lit(1).cast("long").alias("steps"), F.coalesce("done", F.lit(True)).alias("done")))
+    for _ in range(state.count().bit_length()):
+        if not state.where(~F.col("done")).limit(1).count():
+            break
+        ahead = state.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
+        going = state.where(~F.col("done")).join(ahead, ["conv_id", "head"]).select(*keys, F.col("next").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"))
+        state = cut_lineage(state.where("done").unionByName(going))
+    return state.where("done").drop("done")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: 0 without dependencies, else 1 + the highest level of those; -1 on or after a cycle.
 
-    ``edges`` (conv_id, call_id, needs) hold known calls only. Each round settles
-    the calls whose dependencies are all settled.
+    ``edges`` (conv_id, call_id, needs) hold known calls only.
     """
-    waiting = cut_lineage(edges.distinct())
-    first = calls.select("conv_id", "call_id").join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    settled = frontier = cut_lineage(first)
-    gathered = None
-    for level in range(1, MAX_ROUNDS):
-        # edges into calls that this round's predecessors have settled
-        met = waiting.join(frontier.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("met")), ["conv_id", "needs"], "left")
-        marked = cut_lineage(met.select("conv_id", "call_id", "needs", F.coalesce("met", F.lit(False)).alias("met")))
-        left = marked.where(~F.col("met")).select("conv_id", "call_id", "needs")
-        ready = marked.groupBy("conv_id", "call_id").agg(F.bool_and("met").alias("all_met")).where("all_met").select("conv_id", "call_id").withColumn("level", F.lit(level))
+    keys = ["conv_id", "call_id"]
+    every = cut_lineage(edges.distinct())
+    counted = cut_lineage(every.groupBy(*keys).agg(F.count("*").alias("n"), F.min("needs").alias("needs")))
+    heads = chain_heads(counted.where("n = 1").select(*keys, "needs"))
+    # a call with several dependencies waits for the heads of the chains they stand on; null for a chain without one
+    several = every.join(counted.where("n > 1").select(*keys), keys, "left_semi")
+    on_chain = counted.where("n = 1").select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("chained"))
+    place = heads.select("conv_id", F.col("call_id").alias("needs"), "head", "steps")
+    placed = several.join(on_chain, ["conv_id", "needs"], "left").join(place, ["conv_id", "needs"], "left")
+    waiting = cut_lineage(placed.select(*keys, F.when(F.col("chained"), F.col("head")).otherwise(F.col("needs")).alias("head"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("long").alias("from")))
+    frontier = cut_lineage(calls.select(*keys).join(counted.select(*keys), keys, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    gathered = [frontier]
+    while waiting.limit(1).count():
+        met = waiting.join(frontier.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("now")), ["conv_id", "head"], "left")
+        marked = cut_lineage(met.select(*keys, "head", "steps", F.coalesce("from", F.col("now") + F.col("steps")).alias("from"), F.col("now").isNotNull().alias("new")))
+        ready = marked.groupBy(*keys).agg(F.count(F.when(F.col("from").isNull(), 1)).alias("open"), (F.max("from") + 1).alias("level")).where("open = 0").select(*keys, "level")
         frontier = cut_lineage(ready)
-        progress = marked.where("met").limit(1).count()
-        if not progress:
+        waiting = cut_lineage(marked.drop("new").join(frontier.select(*keys), keys, "left_anti"))
+        if not marked.where("new").limit(1).count():
             break
-        gathered = frontier if gathered is None else gathered.unionByName(frontier)
-        waiting = left
-    else:
-        raise RuntimeError("dependencies are deeper than MAX_ROUNDS")
-    stuck = waiting.select("conv_id", "call_id").distinct().withColumn("level", F.lit(-1))
-    return (settled if gathered is None else settled.unionByName(gathered)).unionByName(stuck)
+        gathered.append(frontier)
+        if len(gathered) == GATHERED:
+            gathered = [cut_lineage(reduce(DataFrame.unionByName, gathered))]
+    bases = reduce(DataFrame.unionByName, gathered)
+    settled = heads.join(bases.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base")), ["conv_id", "head"]).select(*keys, (F.col("base") + F.col("steps")).alias("level"))
+    found = cut_lineage(bases.unionByName(settled))
+    return found.unionByName(counted.select(*keys).join(found.select(*keys), keys, "left_anti").withColumn("level", F.lit(-1).cast("long")))
+
+
+#: What ``schema_of_variant`` calls the values of each type of parameter.
+KINDS = {
+    "string": r"^STRING$",
+    "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$",
+    "number": r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$",
+    "boolean": r"^BOOLEAN$",
+    "object": r"^OBJECT<",
+    "array": r"^ARRAY<",
+}
 
 
 def _checked(arguments: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -70,33 +114,28 @@ def _checked(arguments: DataFrame, schemas: DataFrame) -> DataFrame:
 
     ``arguments``: conv_id, call_id, name, arguments (JSON). ``schemas``: name, param, type, required.
     """
-    parsed = arguments.withColumn("args", F.from_json(F.coalesce("arguments", F.lit("{}")), "map<string,string>"))
+    parsed = arguments.withColumn("v", F.try_parse_json(F.coalesce("arguments", F.lit("{}"))))
+    parsed = parsed.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT<"), F.col("v")))
+    kinds = F.transform_values(F.col("v").cast("map<string,variant>"), lambda k, x: F.schema_of_variant(x))
+    parsed = parsed.withColumn("kinds", F.map_filter(kinds, lambda k, x: x.isNotNull()))
     rules = schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required"))).alias("rules"))
     # a few hundred tools with a few dozen parameters each: broadcast only below a stated size, else a plain join
     small = rules.limit(2_000).count() < 2_000
     with_rules = parsed.join(F.broadcast(rules) if small else rules, "name", "left")
-    value = lambda r: F.element_at("args", r["param"])
-    wrong = lambda r: (
-        F.when(value(r).isNull(), F.when(r["required"], F.concat(F.lit("missing:"), r["param"])))
-        .when((r["type"] == "integer") & ~value(r).rlike(r"^-?(0|[1-9][0-9]*)$"), F.concat(F.lit("type:"), r["param"]))
-        .when((r["type"] == "number") & ~value(r).rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.concat(F.lit("type:"), r["param"]))
-        .when((r["type"] == "boolean") & ~value(r).isin("true", "false"), F.concat(F.lit("type:"), r["param"]))
-    )
-    typed = F.transform("rules", wrong)
-    names = F.transform("rules", lambda r: r["param"])
-    extra = F.transform(F.array_except(F.map_keys("args"), names), lambda k: F.concat(F.lit("unknown:"), k))
+    fits = lambda r, kind: reduce(lambda out, k: F.when(r["type"] == k, kind.rlike(KINDS[k])).otherwise(out), KINDS, F.lit(True))
+
+    def wrong(r: Column) -> Column:
+        kind = F.element_at("kinds", r["param"])
+        absent = F.when(r["required"], F.concat(F.lit("missing:"), r["param"]))
+        return F.when(kind.isNull() | (kind == "VOID"), absent).when(~fits(r, kind), F.concat(F.lit("type:"), r["param"]))
+
+    extra = F.transform(F.array_except(F.map_keys("kinds"), F.transform("rules", lambda r: r["param"])), lambda k: F.concat(F.lit("unknown:"), k))
     errors = (
-        F.when(F.col("args").isNull(), F.array(F.lit("not_an_object")))
+        F.when(F.col("v").isNull(), F.array(F.lit("not_an_object")))
         .when(F.col("rules").isNull(), F.array(F.lit("unknown_tool")))
-        .otherwise(F.array_sort(F.filter(F.concat(typed, extra), lambda e: e.isNotNull())))
+        .otherwise(F.array_sort(F.filter(F.concat(F.transform("rules", wrong), extra), lambda e: e.isNotNull())))
     )
-    plain = F.transform(F.filter(F.coalesce("rules", F.expr("array()").cast("array<struct<param:string,type:string,required:boolean>>")), lambda r: r["type"] != "string"), lambda r: r["param"])
-    written = lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").when(F.array_contains(F.col("plain"), e["key"]), e["value"]).otherwise(json_string(e["value"])))
-    entries = F.array_sort(F.map_entries(F.coalesce("args", F.create_map().cast("map<string,string>"))))
-    checked = with_rules.withColumns({"errors": errors, "plain": plain})
-    # a value of the wrong type stays a string, so that the JSON is valid
-    checked = checked.withColumn("plain", F.array_except("plain", F.transform(F.filter("errors", lambda e: e.startswith("type:")), lambda e: F.substring(e, F.lit(6), F.length(e)))))
-    return checked.select("conv_id", "call_id", "errors", F.concat(F.lit("{"), F.array_join(F.transform(entries, written), ","), F.lit("}")).alias("arguments"))
+    return with_rules.select("conv_id", "call_id", errors.alias("errors"), F.coalesce(F.to_json("v"), F.lit("{}")).alias("arguments"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -104,7 +143,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
     ``calls``: conv_id, turn, call_id, name, arguments (a JSON object), needs (array of call ids).
     ``results``: conv_id, turn, call_id, content. ``schemas``: name, param, type
-    (string, integer, number or boolean), required. Other columns are ignored.
+    (string, integer, number, boolean, object or array), required. Other columns are ignored.
     Returns conv_id, turn, call_id, level, duplicates, errors and ``message``, the canonical JSON.
     """
     keys = ["conv_id", "call_id"]
