@@ -76,13 +76,17 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         found = found.where(~F.col("__id").eqNullSafe(F.col("__first")))
     # rows that repeat an id and a text share one set of positions
     cut = found.groupBy("__t1", "__t2", "__id").agg(F.collect_set("__at").alias("__cut"))
-    rows = without(docs, "lines_total", "lines_removed").withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text), "__id": F.col(doc_id)})
-    joined = rows.alias("r").join(cut.alias("c"), F.col("r.__t1").eqNullSafe(F.col("c.__t1")) & F.col("r.__t2").eqNullSafe(F.col("c.__t2")) & F.col("r.__id").eqNullSafe(F.col("c.__id")), "left").select("r.*", "c.__cut")
+    own = without(docs, "lines_total", "lines_removed")
+    # the row travels as one struct, so that none of its columns can meet a name used here
+    rows = own.select(F.struct("*").alias("row"), *row_key(text), F.col(doc_id).alias("__id"))
+    same = F.col("r.__t1").eqNullSafe(F.col("c.__t1")) & F.col("r.__t2").eqNullSafe(F.col("c.__t2")) & F.col("r.__id").eqNullSafe(F.col("c.__id"))
+    joined = rows.alias("r").join(cut.alias("c"), same, "left").select("r.row", F.col(f"r.row.`{text}`").alias("text"), F.col("c.__cut").alias("cut"))
     # the split lines are a column of their own, so that the lambda below looks them up and does not split again
-    split = joined.withColumn("__parts", F.split(F.col(text), "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__cut")), lambda i: F.element_at("__parts", i + 1))
+    split = joined.withColumn("parts", F.split("text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("cut")), lambda i: F.element_at("parts", i + 1))
+    left = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return split.select(
-        *[(F.when(F.col("__cut").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(f"`{c}`")) for c in rows.columns if not c.startswith("__")],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("__parts")).alias("lines_total"),
-        F.coalesce(F.size("__cut"), F.lit(0)).alias("lines_removed"),
+        *[left.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in own.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).alias("lines_total"),
+        F.coalesce(F.size("cut"), F.lit(0)).alias("lines_removed"),
     )
