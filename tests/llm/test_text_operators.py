@@ -74,6 +74,50 @@ def test_op2_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def plain_ngrams(text):
+    """Letter runs between spaces, cut into n-grams of 1 to 3 symbols; a space counts as a symbol at a word's ends only."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    found = []
+    for w in words:
+        edged = f" {w} "
+        for n in (1, 2, 3):
+            found += [edged[k : k + n] for k in range(len(edged) - n + 1) if edged[k : k + n] != " "]
+    return found
+
+
+def code_of(gram):
+    code = 0
+    for c in gram:
+        code = code << language.BITS | (language.EDGE if c == " " else ord(c))
+    return code
+
+
+@pytest.mark.parametrize("text", ["", "ab", "a b", "Ab, ab! ÄB 漢字 x", "42", "don't we  \n know"])
+def test_op3_codes_are_those_of_strings(text):
+    assert sorted(language.ngram_codes(text).tolist()) == sorted(map(code_of, plain_ngrams(text)))
+    assert len({code_of(g) for g in (" a", "a", " ab", "ab", "a ")}) == 5
+
+
+def test_op3_query_by_brute_force(spark):
+    """Profiles, ranks and distances of the whole query over strings and dictionaries."""
+    from collections import Counter
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ranked = lambda grams: [g for g, _ in sorted(Counter(grams).items(), key=lambda x: (-x[1], code_of(x[0])))][:500]
+    learnt = {}
+    for r in docs.values():
+        if r.text is not None and r.lang and zlib.crc32(str(r.doc_id).encode()) % 5:
+            learnt.setdefault(r.lang, []).extend(plain_ngrams(r.text))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(grams))} for lang, grams in sorted(learnt.items())}
+    got = {r.doc_id: r for r in entry.queries()["op3_language_id"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for i, r in got.items():
+        own = ranked(plain_ngrams(docs[i].text or ""))
+        cost = {lang: sum(abs(p[g] - k) if g in p else len(p) for k, g in enumerate(own)) / (len(own) * len(p)) for lang, p in profiles.items()} if own else {}
+        best = min(cost, key=cost.get) if cost else "und"
+        assert r.lang_pred == best and r.score == pytest.approx(1 - cost[best] if cost else 0.0) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_op3_distance_by_brute_force():
     rng = np.random.default_rng(3)
     profile, document = rng.permutation(500)[:300].astype(np.int64), rng.permutation(500)[:200].astype(np.int64)
@@ -151,7 +195,6 @@ def test_op8_query(spark, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = entry.queries()["op8_best_fit_packing"](spark, SF).collect()
     pieces = {}
