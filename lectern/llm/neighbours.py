@@ -1,8 +1,11 @@
 """Approximate nearest neighbours: an NN-descent graph built by joins, searched greedily.
 
-Nearness is the inner product. Vectors get one more component that lifts them all
-to the same length, so that the graph can be built on a symmetric measure whatever
-their lengths are; searches use the plain inner product.
+Nearness is the inner product. For the graph, vectors get one more component that
+lifts them all to the same length, so that it can be built on a symmetric measure
+whatever their lengths are; searches use the plain inner product. The ``LONG`` longest
+vectors stand outside: lifting all others to their length would hide what tells those
+apart. They are so few (a stated bound) that every query is scored against all of
+them, and those of them that are queries against all nodes.
 
 1. Equal vectors become one node. Only the smallest ids of a node can be among the
    ``k`` nearest, so a node carries ``k + 1`` of them, whatever the size of its group.
@@ -14,17 +17,18 @@ their lengths are; searches use the plain inner product.
    neighbour; a ranking window keeps the ``degree`` nearest. Rounds end when fewer
    than ``LEAST_CHANGE`` of all places changed.
 4. A query starts at its node's neighbours and goes on greedily: the nearest nodes
-   not yet opened are opened, their neighbours joined in and scored, until opening
-   brings nothing nearer. All queries take each step together, as one set of joins.
+   not yet opened are opened, their neighbours joined in and scored, until all of its
+   ``BEAM`` nearest have been opened. All queries take each step together, as one set of joins.
 5. The nearest ``RERANK`` nodes are scored again in double precision with the original vectors.
 
-Each round is written to the checkpoint folder; no vector, link or score reaches
-the driver, which only sees counts, the mean vector and the greatest length.
+Each round is written to the checkpoint folder; no link or score reaches the
+driver, which only sees counts, the mean vector, lengths and the ``LONG`` longest vectors.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite
 components take no part, nor do null ids or vectors with another length than the
 commonest one. Of rows that repeat an id the smallest vector counts. Ties in score go
 to the smaller id. Fewer candidates than ``k`` give fewer rows; an empty table none.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +46,16 @@ DEGREE = 32
 REVERSE = 24
 BLOCK = 1024
 ORDERS = 6
-ROUNDS = 6
+#: Rounds of either kind end by themselves; more than these mean that something is wrong, and raise.
+MOST_ROUNDS, MOST_STEPS = 60, 200
 LEAST_CHANGE = 0.02
 RERANK = 64
 BEAM = 192
 OPEN = 32
-SEARCH_ROUNDS = 6
+#: The longest vectors that every query is scored against.
+LONG = 64
+#: Components are coded in units of the median length, and cut at this many.
+MOST_UNITS = 1e15
 SALTS = 16
 PLANES = 32
 SEED = 7
@@ -82,27 +90,42 @@ def _flat(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), width)
 
 
-def _opened(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(components, scale) of coded vectors."""
-    return rows[:, :-4].astype(np.float32), np.ascontiguousarray(rows[:, -4:]).view("<f4")[:, 0]
+#: Bytes of a code beyond its components: their scale and the two parts of the lift.
+EXTRA = 12
 
 
-def _code(vectors: DataFrame, greatest: float, centre: list[float]) -> DataFrame:
-    """``id, code, o0, o1, ...``: components in 8 bits with their scale, and a sort key for each first order."""
+def _opened(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components, h, c) of coded vectors; see ``_lifted``."""
+    tail = np.ascontiguousarray(rows[:, -EXTRA:]).view("<f4")
+    return rows[:, :-EXTRA].astype(np.float32) * tail[:, :1], tail[:, 1], tail[:, 2]
+
+
+def _lifted(x: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of lifted vectors, less the square of the common length.
+
+    With lift = G - c the product of two lifts is G^2 - G(c + c') + cc'; h = Gc is about half a vector's
+    squared length, so what is left has the size of the vectors' own products, however great G is.
+    """
+    return x @ x.T - h[:, None] - h[None, :] + c[:, None] * c[None, :]
+
+
+def _code(vectors: DataFrame, greatest: float, unit: float, centre: list[float]) -> DataFrame:
+    """``id, code, o0, o1, ...``: components in 8 bits with their own scale and the lift apart, and a sort key for each first order."""
     d = len(centre)
     random = np.random.default_rng(SEED)
     planes = random.normal(size=(ORDERS, PLANES, d)).astype(np.float32)
-    middle = np.array(centre, np.float32)
+    in_units = lambda v: np.clip(v / unit, -MOST_UNITS, MOST_UNITS)
+    middle, common = in_units(np.array(centre, float)).astype(np.float32), min(greatest / unit, MOST_UNITS * np.sqrt(d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
-            lift = np.sqrt(np.maximum(greatest**2 - (x**2).sum(1), 0))
-            lifted = np.hstack([x, lift[:, None]])
-            scale = (np.abs(lifted).max(1) / 127).astype("<f4")
-            small = np.rint(lifted / scale[:, None]).astype(np.int8)
-            coded = np.hstack([small, scale[:, None].view(np.int8)])
+            x = in_units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d))
+            squared = (x**2).sum(1)
+            c = squared / (common + np.sqrt(np.maximum(common**2 - squared, 0)))
+            scale = np.maximum(np.abs(x).max(1) / 127, 1e-30)
+            small = np.rint(x / scale[:, None]).astype(np.int8)
+            coded = np.hstack([small, np.stack([scale, common * c, c], 1).astype("<f4").view(np.int8)])
             signs = (x.astype(np.float32) - middle) @ planes.reshape(-1, d).T > 0
             keys = signs.reshape(len(x), ORDERS, PLANES) @ (1 << np.arange(PLANES - 1, -1, -1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in coded], pa.binary())] + [pa.array(keys[:, o]) for o in range(ORDERS)], ["id", "code"] + [f"o{o}" for o in range(ORDERS)])
@@ -110,13 +133,11 @@ def _code(vectors: DataFrame, greatest: float, centre: list[float]) -> DataFrame
     return vectors.select("id", "vec").mapInArrow(run, "id long, code binary, " + ", ".join(f"o{o} long" for o in range(ORDERS)))
 
 
-def _block_neighbours(degree: int, width: int):
+def _block_neighbours(degree: int, width: int, block: int):
     """Each node's nearest within blocks of consecutive rows."""
 
     def compare(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch | None:
-        x, scale = _opened(rows)
-        x *= scale[:, None]
-        sim = x @ x.T
+        sim = _lifted(*_opened(rows))
         np.fill_diagonal(sim, -np.inf)
         most = min(degree, len(ids) - 1)
         if most < 1:
@@ -129,10 +150,10 @@ def _block_neighbours(degree: int, width: int):
         for batch in batches:
             ids = np.concatenate([ids, batch.column(0).to_numpy()])
             rows = np.concatenate([rows, _flat(batch.column(1), width)])
-            while len(ids) >= 2 * BLOCK:  # what is left at the end is never a short block
-                if (out := compare(ids[:BLOCK], rows[:BLOCK])) is not None:
+            while len(ids) >= 2 * block:  # what is left at the end is never a short block
+                if (out := compare(ids[:block], rows[:block])) is not None:
                     yield out
-                ids, rows = ids[BLOCK:], rows[BLOCK:]
+                ids, rows = ids[block:], rows[block:]
         if len(ids) and (out := compare(ids, rows)) is not None:
             yield out
 
@@ -143,9 +164,7 @@ def _local_joins(width: int):
     """Rows ``center, member, fresh, floor, code`` sorted by centre -> pairs of members that beat the first one's ``floor``."""
 
     def pairs(member, fresh, floor, rows):
-        x, scale = _opened(rows)
-        x *= scale[:, None]
-        sim = x @ x.T
+        sim = _lifted(*_opened(rows))
         good = (sim > floor[:, None]) & (fresh[:, None] | fresh[None, :]) & (member[:, None] != member[None, :])
         a, b = np.nonzero(good)
         return member[a], member[b], sim[a, b]
@@ -185,17 +204,17 @@ def _nearest(offers: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("r", place).where(F.col("r") <= degree).drop("r")
 
 
-def neighbour_graph(codes: DataFrame, width: int, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """``u, v, sim, fresh``: about the ``degree`` nearest nodes of every node, by NN-descent."""
+def neighbour_graph(codes: DataFrame, width: int, degree: int = DEGREE, reverse: int = REVERSE, block: int = BLOCK, rounds: int | None = None) -> DataFrame:
+    """``u, v, sim, fresh``: about the ``degree`` nearest nodes of every node, by NN-descent until it converges (or for ``rounds``)."""
     offers = None
-    parts = min(10_000, max(1, codes.count() // (4 * BLOCK)))  # enough rows in each for whole blocks
+    parts = min(10_000, max(1, codes.count() // (4 * block)))  # enough rows in each for whole blocks
     for o in range(ORDERS):
         placed = codes.select("id", "code", f"o{o}").repartitionByRange(parts, f"o{o}", "id").sortWithinPartitions(f"o{o}", "id").select("id", "code")
-        found = placed.mapInArrow(_block_neighbours(degree, width), "u long, v long, sim float")
+        found = placed.mapInArrow(_block_neighbours(degree, width, block), "u long, v long, sim float")
         offers = found if offers is None else offers.unionByName(found)
     graph = cut_lineage(_nearest(offers.withColumn("fresh", F.lit(1)), degree))
     size = graph.count()
-    for step in range(rounds):
+    for step in range(MOST_ROUNDS if rounds is None else rounds):
         priority = F.xxhash64("u", "v", F.lit(step))
         back = graph.select(F.col("v").alias("center"), F.col("u").alias("member"), "fresh", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("fresh"), priority)).alias("r")).where(F.col("r") <= reverse).drop("r")
         members = graph.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh").unionByName(back)
@@ -204,8 +223,11 @@ def neighbour_graph(codes: DataFrame, width: int, degree: int = DEGREE, reverse:
         gathered = members.join(held, "member").select("center", "member", "fresh", "floor", "code")
         offered = gathered.repartition("center").sortWithinPartitions("center").mapInArrow(_local_joins(width), "u long, v long, sim float")
         graph = cut_lineage(_nearest(graph.withColumn("fresh", F.lit(0)).unionByName(offered.withColumn("fresh", F.lit(1))), degree))
-        if graph.where("fresh = 1").count() < LEAST_CHANGE * size:
+        if graph.where("fresh = 1").count() <= LEAST_CHANGE * size:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError("the graph has not settled")
     return graph
 
 
@@ -214,14 +236,14 @@ def _scores(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (a, s), (b, t) = _opened(_flat(batch.column(2), width)), _opened(_flat(batch.column(3), width))
-            sim = np.einsum("ij,ij->i", a[:, :-1], b[:, :-1]) * s * t
+            a, b = (_opened(_flat(batch.column(k), width))[0] for k in (2, 3))
+            sim = np.einsum("ij,ij->i", a, b)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim.astype(np.float32))], ["q", "v", "sim"])
 
     return run
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, starts: DataFrame, width: int, reverse: int = REVERSE, beam: int = BEAM, open_at_once: int = OPEN, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def greedy_search(graph: DataFrame, codes: DataFrame, starts: DataFrame, width: int, reverse: int = REVERSE, beam: int = BEAM, open_at_once: int = OPEN) -> DataFrame:
     """``q, v, sim``: up to ``beam`` near nodes of each node ``q`` in ``starts`` (q), from its own place in the graph on."""
     near = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), near.alias("r")).where(F.col("r") <= reverse).drop("r")
@@ -236,7 +258,7 @@ def greedy_search(graph: DataFrame, codes: DataFrame, starts: DataFrame, width:
     state = cut_lineage(score(own.unionByName(roads.withColumnRenamed("u", "q").join(asked.select("q"), "q", "left_semi")).distinct()))
     state = state.withColumn("opened", F.when(F.col("q") == F.col("v"), 1).otherwise(0))
     rank = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
-    for step in range(rounds):
+    for step in range(MOST_STEPS):
         waiting = state.where("opened = 0").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= (DEGREE + REVERSE if not step else open_at_once)).select("q", "v")
         chosen = cut_lineage(waiting)
         if not chosen.limit(1).count():
@@ -246,27 +268,61 @@ def greedy_search(graph: DataFrame, codes: DataFrame, starts: DataFrame, width:
         marked = state.join(chosen.withColumn("now", F.lit(1)), ["q", "v"], "left").select("q", "v", "sim", F.greatest("opened", F.coalesce("now", F.lit(0))).alias("opened"))
         every = marked.unionByName(fresh).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= beam).drop("r")
         state = cut_lineage(every)
+    else:
+        raise RuntimeError("the search has not ended")
     return state.select("q", "v", "sim")
 
 
-def nearest(table: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE) -> DataFrame:
+def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int, turned: bool):
+    """Rows ``id, vec`` against a few bounded vectors: each row's ``k`` nearest of those, or (turned) of each batch each one's ``k`` nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), matrix.shape[1])
+            with np.errstate(over="ignore", invalid="ignore"):
+                sim = np.nan_to_num(x @ matrix.T, nan=-np.inf)
+            if turned:
+                order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k].T
+                pairs = [np.repeat(ids, order.shape[1]), own[order].ravel()]
+            else:
+                order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
+                pairs = [np.repeat(own, order.shape[1]), ids[order].ravel()]
+            yield pa.record_batch([pa.array(p) for p in pairs], ["q", "v"])
+
+    return run
+
+
+def nearest(table: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other rows of every row that meets ``query`` (a condition on ``id``)."""
     vectors = _vectors(table, vec_id, vector)
     belongs, members = _nodes(vectors, k)
     belongs = cut_lineage(belongs)
-    own = vectors.join(members.select(F.col("node").alias("id")), "id", "left_semi")
     first = vectors.select(F.size("vec").alias("d")).first()
     if first is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = first.d
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    greatest, *centre = own.agg(F.max(length), *[F.avg(F.col("vec")[i]) for i in range(d)]).first()
-    width = d + 1 + 4
-    codes = cut_lineage(_code(own, greatest, centre))
-    graph = neighbour_graph(codes, width, degree)
+    # without squares that overflow: relative to the largest component
+    largest = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    own = vectors.join(members.select(F.col("node").alias("id")), "id", "left_semi").withColumn("most", largest)
+    own = cut_lineage(own.select("id", "vec", (F.col("most") * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x / F.col("most") * (x / F.col("most"))))).alias("length")))
+    long = own.orderBy(F.desc("length"), "id").limit(LONG).collect()
+    long_ids, longest = np.array([r.id for r in long], np.int64), np.array([r.vec for r in long], float).reshape(len(long), d)
+    rest = own.where(~F.col("id").isin(long_ids.tolist()))
     asking = cut_lineage(belongs.where(query))
-    found = greedy_search(graph, codes, asking.select(F.col("node").alias("q")).distinct(), width)
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= RERANK).select("q", "v")
+    starts = cut_lineage(asking.select(F.col("node").alias("q")).distinct())
+    asked = starts.join(own.select(F.col("id").alias("q"), "vec"), "q").select(F.col("q").alias("id"), "vec")
+    top = asked.mapInArrow(_best_of(long_ids, longest, k + 1, False), "q long, v long")
+    greatest, unit, *centre = rest.agg(F.max("length"), F.percentile_approx("length", F.lit(0.5)), *[F.avg(F.col("vec")[i]) for i in range(d)]).first()
+    if greatest is not None:
+        width = d + EXTRA
+        codes = cut_lineage(_code(rest, greatest, max(unit, 1e-300), centre))
+        graph = neighbour_graph(codes, width, degree, block=block)
+        found = greedy_search(graph, codes, starts.where(~F.col("q").isin(long_ids.tolist())), width)
+        near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= RERANK).select("q", "v")
+        # the long ones among the queries, at most LONG, look at every node
+        scanned = rest.select("id", "vec").mapInArrow(_best_of(long_ids, longest, k + 1, True), "q long, v long").join(F.broadcast(starts.where(F.col("q").isin(long_ids.tolist()))), "q", "left_semi")
+        top = top.unionByName(near).unionByName(scanned)
     exact = own.select(F.col("id").alias("v"), F.col("vec").alias("vvec"))
     dot = F.aggregate(F.zip_with("qvec", "vvec", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     scored = top.join(exact, "v").join(own.select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "q").select("q", "v", dot.alias("score"))
