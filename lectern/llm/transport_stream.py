@@ -4,15 +4,19 @@
 and a program map table in front of every random-access point, access units in
 PES packets with a presentation timestamp, adaptation fields with the clock
 reference, continuity counters, and stuffing in the last packet. ``demultiplex``
-parses the program tables (with their CRC), checks the counters of every stream,
-reassembles the PES packets and reports each unit's timestamp and place, and
-which units are random-access points. The bytes come back exactly.
+parses the program tables (with their CRC, over as many packets as they take), checks
+the counters of the stream, reassembles the PES packets and reports each unit's
+timestamps and place, and which units are random-access points. The bytes come back
+exactly. Streams of other makers are read too: several programs and streams (``program``
+and ``pid`` choose, else the first), units of undeclared length, repeated packets,
+declared discontinuities, decoding timestamps, other streams' packets in between.
 
 Defined results: a null or empty text has a payload of 64 zero bytes. A stream
 with a length that is no multiple of 188, a lost sync byte, or no readable
 program table raises ``ValueError`` from ``demultiplex``; ``decode_media`` turns that into
-a null payload and the reason. Missing packets are counted in ``cc_errors`` and the unit they
-belong to is marked damaged and left out of the payload. Null media gives nulls.
+a null payload and the reason. Missing packets are counted in ``cc_errors`` (a gap each) and the unit
+they belong to is marked damaged and left out of the payload. A counter that stands still is a repeat
+only if the packet has the same bytes, but for its clock. An empty table gives an empty one; null media gives nulls.
 Added columns replace columns of their names; repeated rows give repeated results.
 """
 
@@ -111,7 +115,10 @@ def multiplex(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What ``demultiplex`` found: the payload and its units as (pts, offset, length, random access, damaged)."""
+    """What ``demultiplex`` found: the payload and its units as (pts, offset, length, random access, damaged, dts); -1 for no timestamp.
+
+    ``programs`` has every program's streams as (pid, type).
+    """
 
     payload: bytes = b""
     program: int = 0
@@ -119,59 +126,112 @@ class Stream:
     stream_type: int = 0
     packets: int = 0
     cc_errors: int = 0
-    units: list[tuple[int, int, int, bool, bool]] = field(default_factory=list)
+    units: list[tuple[int, int, int, bool, bool, int]] = field(default_factory=list)
+    programs: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+
+
+def _body(raw: bytes) -> bytes:
+    """A packet's payload."""
+    start = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
+    return raw[start:] if raw[3] & 0x10 else b""
 
 
 def _sections(packets: np.ndarray) -> list[bytes]:
-    """Valid single-packet sections that start in these packets."""
-    found = []
+    """Sections with a right CRC in the packets of one table, however many packets each takes."""
+    found: list[bytes] = []
+    held, counter = None, None
+
+    def taken(held: bytes) -> bytes:
+        """``held`` less the whole sections at its beginning; stuffing ends it."""
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0x0FFF)
+            if len(held) < size:
+                return held
+            section, held = held[:size], held[size:]
+            if size >= 12 and crc32_mpeg(section[:-4]) == struct.unpack(">I", section[-4:])[0]:
+                found.append(section)
+        return held if held[:1] != b"\xff" else b""
+
     for row in packets:
         raw = row.tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[1] & 0x40 or not raw[3] & 0x10 or at >= PACKET:
+        body, now = _body(raw), raw[3] & 15
+        if not body or counter == now:
             continue
-        at += 1 + raw[at]
-        size = 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0x0FFF) if at + 3 <= PACKET else PACKET
-        section = raw[at : at + size]
-        if len(section) == size and size >= 12 and crc32_mpeg(section[:-4]) == struct.unpack(">I", section[-4:])[0]:
-            found.append(section)
+        if counter is not None and now != counter + 1 & 15:
+            held = None
+        counter = now
+        if raw[1] & 0x40:
+            pointer = body[0]
+            if held is not None:
+                taken(held + body[1 : 1 + pointer])
+            held = taken(body[1 + pointer :])
+        elif held is not None:
+            held = taken(held + body)
     return found
 
 
-def demultiplex(media: bytes) -> Stream:
-    """Parse a transport stream and reassemble the first elementary stream of its first program."""
+def _programs(packets: np.ndarray, pids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Program number -> its streams as (pid, type), by the program tables."""
+    where: dict[int, int] = {}
+    for section in _sections(packets[pids == 0]):
+        for at in range(8, len(section) - 4 - 3, 4):
+            number, pid = struct.unpack_from(">HH", section, at)
+            if section[0] == 0 and number:
+                where.setdefault(number, pid & 0x1FFF)
+    if not where:
+        raise ValueError("no program association table")
+    programs: dict[int, list[tuple[int, int]]] = {}
+    for number, table in where.items():
+        for section in _sections(packets[pids == table]):
+            if section[0] != 2 or struct.unpack_from(">H", section, 3)[0] != number or number in programs:
+                continue
+            at, streams = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), []
+            while at + 5 <= len(section) - 4:
+                streams.append((struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF, section[at]))
+                at += 5 + (struct.unpack_from(">H", section, at + 3)[0] & 0x0FFF)
+            programs[number] = streams
+    if not any(programs.values()):
+        raise ValueError("no program map table")
+    return programs
+
+
+def _same(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether a packet repeats another: all bytes alike, but for the clock of its adaptation field."""
+    if one[3] & 0x20 and one[4] >= 7 and one[5] & 0x10:
+        one, two = np.delete(one, np.s_[6:12]), np.delete(two, np.s_[6:12])
+    return bool((one == two).all())
+
+
+def _time(b: bytes) -> int:
+    return (b[0] & 0x0E) << 29 | b[1] << 22 | (b[2] & 0xFE) << 14 | b[3] << 7 | b[4] >> 1
+
+
+def demultiplex(media: bytes, program: int | None = None, pid: int | None = None) -> Stream:
+    """Parse a transport stream and reassemble one elementary stream: the first of the first program, or the one asked for."""
     if not media or len(media) % PACKET:
         raise ValueError("no whole number of packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("a packet has no sync byte")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    stream, where = Stream(packets=len(packets)), None
-    for section in _sections(packets[pids == 0]):
-        for at in range(8, len(section) - 4, 4):
-            number, pid = struct.unpack_from(">HH", section, at)
-            if number and where is None:
-                stream.program, where = number, pid & 0x1FFF
-    if where is None:
-        raise ValueError("no program association table")
-    for section in _sections(packets[pids == where]):
-        at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF)
-        if section[0] == 2 and at + 5 <= len(section) - 4 and not stream.pid:
-            stream.stream_type, stream.pid = section[at], struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF
-    if not stream.pid:
-        raise ValueError("no program map table")
+    stream = Stream(packets=len(packets), programs=_programs(packets, pids))
+    chosen = [(n, p, t) for n, streams in stream.programs.items() for p, t in streams if program in (None, n) and pid in (None, p)]
+    if not chosen:
+        raise ValueError("no such stream in the program tables")
+    stream.program, stream.pid, stream.stream_type = chosen[0]
     own = packets[pids == stream.pid]
+    own = own[own[:, 3] & 0x10 > 0]
     control = own[:, 3]
-    own, control = own[control & 0x10 > 0], control[control & 0x10 > 0]
-    counters = control.astype(np.int16) & 15
-    step = np.diff(counters) & 15
-    fresh = np.concatenate(([True], step != 0)) if len(own) else np.empty(0, bool)  # a counter that stands still repeats a packet
-    gap = np.concatenate(([False], (step != 1) & (step != 0))) if len(own) else fresh
+    adapted = (control & 0x20 > 0) & (own[:, 4] > 0)
+    step = np.concatenate(([1], np.diff(control.astype(np.int16) & 15) & 15))[: len(own)]
+    still = np.flatnonzero(step == 0)
+    fresh = np.ones(len(own), bool)
+    fresh[[k for k in still if _same(own[k], own[k - 1])]] = False
+    gap = fresh & (step != 1) & ~(adapted & (own[:, 5] & 0x80 > 0))  # a declared discontinuity is no error
     stream.cc_errors = int(gap.sum())
-    own, control, gap = own[fresh], control[fresh], gap[fresh]
-    adapted = control & 0x20 > 0
-    start = 4 + np.where(adapted, 1 + own[:, 4].astype(np.int32), 0)
-    random_access = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
+    own, control, gap, adapted = own[fresh], control[fresh], gap[fresh], adapted[fresh]
+    start = 4 + np.where(control & 0x20 > 0, 1 + own[:, 4].astype(np.int32), 0)
+    random_access = adapted & (own[:, 5] & 0x40 > 0)
     body = own[np.arange(PACKET) >= start[:, None]].tobytes()
     ends = np.cumsum(PACKET - np.minimum(start, PACKET))
     heads = np.flatnonzero(own[:, 1] & 0x40)
@@ -180,14 +240,18 @@ def demultiplex(media: bytes) -> Stream:
     for k, head in enumerate(heads):
         after = heads[k + 1] if k + 1 < len(heads) else len(own)
         pes = body[begins[head] : begins[after]]
-        length = struct.unpack_from(">H", pes, 4)[0] if len(pes) >= PES_HEADER else 0
-        good = len(pes) >= PES_HEADER and pes[:3] == b"\0\0\1" and length + 6 == len(pes) and not gap[head + 1 : after].any()
-        pts = -1
-        if good and pes[7] & 0x80:
-            b = pes[9:14]
-            pts = (b[0] & 0x0E) << 29 | b[1] << 22 | (b[2] & 0xFE) << 14 | b[3] << 7 | b[4] >> 1
+        whole = len(pes) >= 9 and pes[:3] == b"\0\0\1" and len(pes) >= 9 + pes[8]
+        length = struct.unpack_from(">H", pes, 4)[0] if whole else 0
+        # length 0 leaves the end to the next unit's beginning, and a gap there may have taken some of it
+        lost = gap[head + 1 : after + (length == 0)].any()
+        good = whole and length + 6 in (6, len(pes)) and not lost
+        pts = dts = -1
+        if good and pes[7] & 0x80 and pes[8] >= 5:
+            pts = dts = _time(pes[9:14])
+            if pes[7] & 0x40 and pes[8] >= 10:
+                dts = _time(pes[14:19])
         data = pes[9 + pes[8] :] if good else b""
-        stream.units.append((pts, offset, len(data), bool(random_access[head]), not good))
+        stream.units.append((pts, offset, len(data), bool(random_access[head]), not good, dts))
         parts.append(data)
         offset += len(data)
     stream.payload = b"".join(parts)
@@ -208,12 +272,12 @@ def feature(stream: Stream) -> str:
     return f"pid={stream.pid};type={stream.stream_type};packets={stream.packets};units={len(stream.units)};rap={raps};pts={pts[0]}-{pts[-1]};cc_errors={stream.cc_errors};sum={int(samples.sum(dtype=np.int64))};max={int(samples.max(initial=0))}"
 
 
-UNITS = "array<struct<pts:long,offset:long,length:long,random_access:boolean,damaged:boolean>>"
-_UNIT_TYPE = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("damaged", pa.bool_())]))
+UNITS = "array<struct<pts:long,offset:long,length:long,random_access:boolean,damaged:boolean,dts:long>>"
+_UNIT_TYPE = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("damaged", pa.bool_()), ("dts", pa.int64())]))
 
 
 def _units(streams: list[Stream | None]) -> pa.Array:
-    names = ("pts", "offset", "length", "random_access", "damaged")
+    names = ("pts", "offset", "length", "random_access", "damaged", "dts")
     return pa.array([None if s is None else [dict(zip(names, u)) for u in s.units] for s in streams], _UNIT_TYPE)
 
 
