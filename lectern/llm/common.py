@@ -15,9 +15,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Rows of a small table that share a file, and the least number of files.
+ROWS_A_FILE, LEAST_FILES = 50_000, 8
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
+    Where a bound on its ``rows`` is known, it takes as many files as it needs, not one for each shuffle partition.
+
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
     session without one (a test on one machine) gets a folder of its own.
     """
@@ -25,7 +31,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // rows_a_file)))).checkpoint(eager=True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, map_text, without
+from lectern.llm.common import LEAST_FILES, ROWS_A_FILE, cut_lineage, map_text, without
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -134,14 +134,16 @@ def components(pairs: DataFrame) -> DataFrame:
     long chains take a logarithmic number of rounds.
     """
     edges = cut_lineage(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct())
-    state = cut_lineage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")))
+    most = edges.count()  # and no more nodes than that
+    edges = edges.coalesce(max(LEAST_FILES, -(-most // ROWS_A_FILE)))
+    state = cut_lineage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), most)
     for _ in range(MAX_ROUNDS):
         seen = edges.join(state.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("q"))
         offered = state.join(seen, "u").select("u", "p", F.least("p", "q").alias("m"))
         hooks = offered.select(F.col("p").alias("u"), "m").union(offered.select("u", "m")).groupBy("u").agg(F.min("m").alias("m"))
         hooked = state.join(hooks, "u").select("u", F.col("p").alias("old"), F.least("p", "m").alias("p"))
         jump = hooked.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        after = cut_lineage(hooked.join(jump, "p").select("u", "old", F.least("p", "g").alias("p")))
+        after = cut_lineage(hooked.join(jump, "p").select("u", "old", F.least("p", "g").alias("p")), most)
         changed = after.where(F.col("old") != F.col("p")).limit(1).count()
         state = after.select("u", "p")
         if not changed:
