@@ -111,6 +111,49 @@ def test_op6_recall_and_scores(spark):
     assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
 
 
+def recall(got, vectors, k=20):
+    """Mean share of the true nearest among those found, by numpy."""
+    shares = []
+    for q in got:
+        sim = vectors @ vectors[q]
+        sim[q] = -np.inf
+        shares.append(len(set(np.argpartition(-sim, k)[:k].tolist()) & set(got[q])) / k)
+    return float(np.mean(shares))
+
+
+def found_lists(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_op6_descent_and_search_in_many_small_blocks(spark):
+    """20,000 vectors in blocks of 32: the first graph is poor, descent and search make it good, and long vectors change nothing."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(20_000, 12)) + 2 * rng.normal(size=(40, 12))[rng.integers(0, 40, 20_000)]
+    vectors[[5, 77, 1000]] *= np.array([[10.0], [1_000.0], [1e150]])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = found_lists(neighbours.nearest(table, F.col("id") % 100 == 0, block=32).collect())
+    assert len(got) == 200 and all(len(v) == 20 for v in got.values()) and recall(got, vectors) >= 0.9
+    vectors[[5, 77, 1000]] = 0
+    rest = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors) if v.any()], "id long, vec array<double>")
+    codes = neighbours.cut_lineage(neighbours._code(rest, 20.0, 5.0, [0.0] * 12))
+    changed = [neighbours.neighbour_graph(codes, 12 + neighbours.EXTRA, block=32, rounds=n).agg(F.sum("sim")).first()[0] for n in (0, 2)]
+    assert changed[1] > changed[0]
+
+
+@pytest.mark.parametrize("many", [1, 100])
+def test_op6_long_vectors(spark, many):
+    """One vector, and more than ``LONG`` of them, a thousand times longer."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(1_200, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[rng.permutation(1_200)[:many]] *= 1_000
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert recall(found_lists(neighbours.nearest(table, F.col("id") % 20 == 0, block=64).collect()), vectors) >= 0.9
+
+
 def test_op6_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=4) * (1 + i % 3)]) for i in range(60)]

@@ -64,6 +64,76 @@ def test_op2_round_trip_and_damage(spark, odd):
         assert r.payload_bytes % 64 == 0 and r.payload_bytes > 0
 
 
+def packet(pid, counter, body=b"", start=False, adaptation=None):
+    """One packet by hand; what the body leaves open is stuffing in the adaptation field."""
+    room = 184 - len(body)
+    if adaptation is None and not room:
+        field = b""
+    else:
+        flags = adaptation or b"\0"
+        field = b"\0" if room == 1 else bytes([room - 1]) + flags + b"\xff" * (room - 1 - len(flags))
+    head = bytes([0x47, 0x40 * start | pid >> 8, pid & 255, 0x20 * bool(field) | 0x10 * bool(body) | counter & 15])
+    return head + field + body
+
+
+def section(table, number, body):
+    head = bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+    crc = 0xFFFFFFFF
+    for bit in (b >> k & 1 for b in head for k in range(7, -1, -1)):
+        crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (crc >> 31) ^ bit else 0)
+    return head + crc.to_bytes(4, "big")
+
+
+def foreign(first_length=True):
+    """Two programs, a program table over two packets, and two streams mixed with each other."""
+    pat = b"\0" + section(0, 1, bytes([0, 1, 0xE1, 0x00, 0, 2, 0xE1, 0x10]))
+    info = b"\x05\x04ABCD" * 32
+    pmt = section(2, 1, bytes([0xE0, 0x50, 0xF0 | len(info) >> 8, len(info) & 255]) + info + bytes([0x1B, 0xE0, 0x50, 0xF0, 0, 0x0F, 0xE0, 0x51, 0xF0, 0]))
+    other = b"\0" + section(2, 2, bytes([0xE0, 0x60, 0xF0, 0, 0x02, 0xE0, 0x60, 0xF0, 0]))
+    pts, dts = b"\x31\x00\x01\x1c\x41", b"\x11\x00\x01\x0e\x21"
+    video = b"\0\0\1\xe0\0\0\x80\xc0\x0a" + pts + dts + bytes(range(256)) * 2
+    sound = b"\0\0\1\xc0" + (3 + 300).to_bytes(2, "big") + b"\x80\0\0" + b"s" * 300
+    return [
+        packet(0, 0, pat, True), packet(0x100, 3, (b"\0" + pmt)[:184], True), packet(0x110, 0, other, True), packet(0x100, 4, (b"\0" + pmt)[184:]),
+        packet(0x50, 14, video[:150], True, b"\x50" + b"\0" * 6), packet(0x51, 0, sound[:184], True), packet(0x50, 15, video[150:334]), packet(0x51, 1, sound[184:]), packet(0x50, 0, video[334:518]), packet(0x50, 1, video[518:]),
+        packet(0x50, 2, video[:184], True), packet(0x50, 3, video[184:368]), packet(0x50, 4, video[368:]), packet(0x1FFF, 0, b"n" * 184),
+    ]
+
+
+def test_op2_streams_of_other_makers():
+    packets, wanted = foreign(), bytes(range(256)) * 2
+    stream = transport_stream.demultiplex(b"".join(packets))
+    assert stream.programs == {1: [(0x50, 0x1B), (0x51, 0x0F)], 2: [(0x60, 0x02)]} and stream.payload == wanted * 2 and stream.cc_errors == 0
+    assert [(u[3], u[4]) for u in stream.units] == [(True, False), (False, False)] and (stream.units[0][0], stream.units[0][5]) == (3600 + 16, 1800 + 8)
+    sound = transport_stream.demultiplex(b"".join(packets), pid=0x51)
+    assert sound.payload == b"s" * 300 and sound.units[0][0] == -1
+    with pytest.raises(ValueError, match="no such stream"):
+        transport_stream.demultiplex(b"".join(packets), program=9)
+    repeated = transport_stream.demultiplex(b"".join(packets[:7] + [packets[6]] + packets[7:]))
+    assert repeated.payload == wanted * 2 and repeated.cc_errors == 0
+    cut = transport_stream.demultiplex(b"".join(packets[:8] + packets[9:]))
+    assert cut.payload == wanted and cut.cc_errors == 1 and [u[4] for u in cut.units] == [True, False]
+
+
+def test_op2_fifteen_lost_packets_are_no_repeat():
+    payload = np.random.default_rng(0).integers(0, 256, 60 * 184, dtype=np.uint8).tobytes()
+    media = transport_stream.multiplex(payload)
+    lost = transport_stream.demultiplex(media[: 188 * 8] + media[188 * 23 :])
+    assert lost.cc_errors == 1 and lost.units[0][4]
+
+
+def test_op2_declared_discontinuity_is_no_error():
+    packets = foreign()
+    packets[10] = packet(0x50, 9, (b"\0\0\1\xe0\0\0\x80\0\0" + b"z" * 150), True, b"\x80")
+    packets[11:13] = []
+    stream = transport_stream.demultiplex(b"".join(packets))
+    assert stream.cc_errors == 0 and stream.payload == bytes(range(256)) * 2 + b"z" * 150
+
+
+def test_op2_empty_table(spark):
+    assert transport_stream.media_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_op2_query(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = entry.queries()["op2_transport_stream"](spark, SF).collect()
