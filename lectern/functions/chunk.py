@@ -8,13 +8,15 @@ Null text gives an empty array everywhere.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from lectern import lexicon
+from lectern.functions.quality import BOUNDARY_LEAST, BOUNDARY_WEIGHTS
 from lectern.functions.text import WS, strip
 
 SIZE, OVERLAP, LEAST = 1200, 120, 80
@@ -121,10 +123,10 @@ def sentences_of(text: str | None) -> list[str]:
     return out
 
 
-def hard_slices(s: str, size: int) -> list[str]:
-    """Pieces of at most ``size`` characters cut between words; only a longer word is cut itself."""
+def hard_slices(s: str, size: int, marks: bool = True) -> list[str]:
+    """Pieces of at most ``size`` characters cut between words (and at verse marks); only a longer word is cut itself."""
     pieces, held = [], ""
-    for token in re.split("(\\s+|׃)", s):
+    for token in re.split("(\\s+|׃)" if marks else "(\\s+)", s):
         if len(held) + len(token) <= size:
             held += token
             continue
@@ -193,6 +195,89 @@ def paragraph_chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERL
     return chunks
 
 
+def candidates_of(text: str | None) -> list[tuple[str, int]]:
+    """Paragraphs with their offsets in the normalised text (paragraphs joined by an empty line)."""
+    out, at = [], 0
+    for p in paragraphs_of(text):
+        out.append((p, at))
+        at += len(p) + 2
+    return out
+
+
+REFERENCE = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(lexicon.ALIAS_TO_BOOK, key=lambda n: (-len(n), n)))})\s*\d+:\d+", re.I)
+
+
+def boundary_score_of(text: str, heading: bool, least: int) -> float:
+    """The same sum of features as the column expression, for one paragraph."""
+    plain = text.strip()
+    last = next((x.strip() for x in reversed(plain.splitlines()) if x.strip()), "")
+    on = {"heading": heading, "paragraph": bool(plain), "tiny": len(plain) < least, "sentence_end": bool(SENTENCE_MARK.search(last) or KOREAN_END.search(last)), "reference": bool(REFERENCE.search(plain[:50]))}
+    return sum(BOUNDARY_WEIGHTS[name] for name, true in on.items() if true)
+
+
+def boundaries_of(paragraphs: list[tuple[str, int]], titles: list[str], contained: Callable, least: int = LEAST, ahead: int = 5) -> list[bool]:
+    """Which paragraphs begin a new part; a heading is looked for among the next ``ahead`` titles that have not been met."""
+    cursor, out = 0, []
+    for text, _ in paragraphs:
+        step = contained(titles[cursor : cursor + ahead], text)
+        if step is not None:
+            cursor += step + 1
+        out.append(boundary_score_of(text, step is not None, least) >= BOUNDARY_LEAST)
+    return out
+
+
+def hierarchical_chunks_of(paragraphs: list[tuple[str, int]], starts: list[bool], size: int = SIZE, least: int = LEAST) -> list[tuple[str, int]]:
+    """Paragraphs gathered until a boundary (after ``least`` characters) or the cap of one and a half sizes; overlong ones are sliced between words."""
+    cap, out, held, n = int(size * 1.5), [], [], 0
+
+    def close() -> None:
+        nonlocal held, n
+        if held:
+            out.append(("\n\n".join(p for p, _ in held).strip(), held[0][1]))
+        held, n = [], 0
+
+    for (text, at), starts_part in zip(paragraphs, starts):
+        if starts_part and n >= least or len(text) > cap:
+            close()
+        if len(text) > cap:
+            cursor = 0
+            for piece in hard_slices(text, size, marks=False):
+                cursor = text.index(piece, cursor)
+                out.append((piece, at + cursor))
+                cursor += len(piece)
+            continue
+        held.append((text, at))
+        n += len(text) + 2
+        if n > cap:
+            close()
+    close()
+    return out
+
+
+def offsets_in(text: str, pieces: list[str], probe: int = 40, back: int = 50) -> list[int]:
+    """Where each piece begins in ``text``, looked for from a little before the last one on, else from the beginning; pieces not found have none."""
+    out, cursor = [], 0
+    for piece in pieces:
+        head = piece[:probe]
+        at = text.find(head, max(0, cursor - back)) if head else -1
+        at = text.find(head) if head and at < 0 else at
+        if at >= 0:
+            out.append(at)
+            cursor = at
+    return out
+
+
+def token_batches(lengths: list[int], most: int = 1600) -> list[int]:
+    """The batch of each text for a service that takes ``most`` estimated tokens (half the characters, one at least) at a time."""
+    out, batch, held = [], 0, 0
+    for n in (max(1, x // 2) for x in lengths):
+        if held and held + n > most:
+            batch, held = batch + 1, 0
+        out.append(batch)
+        held += n
+    return out
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def paragraph_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(paragraph_chunks_of)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions.text import WORD, let
+from lectern.functions.text import WORD, keywords, let
 
 REFERENCE = "struct<book_id:string,chapter:int,verse_start:int,verse_end:int>"
 
@@ -47,6 +47,18 @@ def references(c: Column, names: dict[str, str] | None = None) -> Column:
     )
 
 
+def question_references(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """References by full names, then by aliases at a word's beginning ("Rom5:3"), as a question is read; a full name that is an alias too counts twice."""
+    table = aliases or lexicon.ALIAS_TO_BOOK
+    alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
+    whole = rf"(?i)(?<![{WORD}])({alternatives})\s*([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
+    code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(whole), 0)
+    part = lambda m, k: F.regexp_extract(m, whole, k)
+    short = F.transform(found, lambda m: F.struct(code[F.lower(part(m, 1))].alias("book_id"), part(m, 2).cast("int").alias("chapter"), part(m, 3).cast("int").alias("verse_start"), F.nullif(part(m, 4), F.lit("")).cast("int").alias("verse_end")))
+    return F.concat(references(c), short)
+
+
 def passage_references(c: Column) -> Column:
     return references(c, {n: b for n, b in lexicon.NAME_TO_BOOK.items() if b not in lexicon.NOT_IN_PASSAGES})
 
@@ -68,12 +80,37 @@ def reference_text(book: Column, chapter: Column, start: Column, end: Column) ->
 
 
 def names_in(c: Column, names: dict[str, str] | None = None) -> Column:
-    """Codes whose name stands in the text as a whole word, longest names first, each once."""
-    table = names or lexicon.NAME_TO_BOOK
-    alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
+    """Codes of the books that a text names, longest names first, each once.
+
+    Numbers go first, so numbered books are found by ``numbered_books`` alone. A name begins where no letter stands
+    before it; its end is open, as particles attach to it. What a longer name covers no shorter one takes.
+    """
+    table = {n: b for n, b in (names or lexicon.ALIAS_TO_BOOK).items() if len(n) > 1}
+    ordered = sorted(table, key=lambda n: -len(n))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[0-9]+장|[0-9]+\\s*:?\\s*[0-9]*", ""))
+    edge = r"(?<![\p{L}\p{N}])"
+    # an alternation in this order claims the longest name at each place; letters of a claimed name are not looked at again
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(f"{edge}({'|'.join(ordered)})"), 1))
     code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"(?<![{WORD}])({alternatives})(?![{WORD}])"), 1)
-    return F.array_distinct(F.transform(found, lambda n: code[n]))
+    place = F.create_map(*[F.lit(x) for pair in zip(ordered, range(len(ordered))) for x in pair])
+    longest = F.array_sort(F.transform(found, lambda n: F.struct(place[n].alias("k"), n.alias("n"))))
+    return F.array_distinct(F.transform(longest, lambda x: code[x["n"]]))
+
+
+def numbered_books(c: Column) -> Column:
+    """Codes of the numbered books that a text names ("1 Kings", "II Kings", "2Kings"), in canonical order."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    signs = {"1": "(?:1|i|first)", "2": "(?:2|ii|second)", "3": "(?:3|iii|third)"}
+    hits = [F.when(low.rlike(rf"(?<![{WORD}]){signs[name[0]]}\s*{name[2:].lower()}"), code) for code, name in lexicon.BOOKS.items() if name[0].isdigit()]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
+def parse(c: Column) -> Column:
+    """``struct<intent, books, refs, chapters, themes, keywords>`` of a question."""
+    refs, chapters = question_references(c), chapter_references(c)
+    of = lambda rows: F.transform(rows, lambda r: r["book_id"])
+    books = F.array_distinct(F.concat(of(refs), names_in(c), numbered_books(c), of(chapters)))
+    return F.struct(intent(c).alias("intent"), books.alias("books"), refs.alias("refs"), chapters.alias("chapters"), themes(c).alias("themes"), keywords(c).alias("keywords"))
 
 
 # What each sign of good evidence adds.
@@ -81,10 +118,13 @@ EVIDENCE = {"in_range": 0.3, "verse": 0.2, "range": 0.1, "repeated": 0.2, "own_b
 
 
 def evidence(refs: Column, book: Column) -> Column:
-    """The reference with the most evidence as ``struct<score, ref>``; the first wins ties, null without any."""
+    """The reference with the most evidence as ``struct<score, ref>``; the first wins ties, null without any.
+
+    Only the books with known chapter limits can be in range.
+    """
     last = F.create_map(*[F.lit(x) for pair in lexicon.CHAPTERS.items() for x in pair])
     part = lambda on, name: F.when(on, EVIDENCE[name]).otherwise(0.0)
     repeated = lambda r: F.size(F.filter(refs, lambda x: (x["book_id"] == r["book_id"]) & (x["chapter"] == r["chapter"]))) > 1
-    score = lambda r: part(r["chapter"].between(1, last[r["book_id"]]), "in_range") + part(r["verse_start"] > 0, "verse") + part(r["verse_end"].isNotNull(), "range") + part(repeated(r), "repeated") + part(r["book_id"] == book, "own_book")
+    score = lambda r: part(r["chapter"].between(1, last[r["book_id"]]), "in_range") + part(r["verse_start"] > 0, "verse") + part(r["verse_end"].isNotNull(), "range") + part(repeated(r), "repeated") + part(F.coalesce(r["book_id"] == book, F.lit(False)), "own_book")
     best = F.array_max(F.transform(refs, lambda r, i: F.struct(F.round(score(r), 4).alias("score"), (-i).alias("earlier"), r.alias("ref"))))
     return F.when(F.size(refs) > 0, F.struct(best["score"].alias("score"), best["ref"].alias("ref")))

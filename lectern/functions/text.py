@@ -10,8 +10,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern import lexicon
 
@@ -66,6 +68,34 @@ def clean_paged(c: Column, recognised: bool = False) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+# Korean particles that a line break may have cut off.
+PARTICLES = "이|가|을|를|은|는|의|에서|에게|에|으로|로|와|과|도|만|까지|보다|처럼|부터|한테|께|서|고|며|면|야|랑|이랑|란|이란|만큼|대로|같이|님|적"
+
+
+def postprocess_paged(c: Column) -> Column:
+    """Extracted pages without glyph leftovers, with hyphenated words, soft breaks, split words and Korean particles joined; page breaks stay."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFF}]|[\x00-\x08\x0B\x0E-\x1F\x7F]", "")
+    c = F.regexp_replace(c, r"[\x{A0}\x{AD}\x{200B}\x{200C}\x{200D}\x{FEFF}]", " ")
+    c = F.regexp_replace(c, rf"(?m)^[{WS}]*(?:[lIifl·•※◆▶→←↑↓]|ff|fi|fl)[{WS}]*$", "")
+    c = F.regexp_replace(c, r"([A-Za-z])-\n([a-z])", "$1$2")
+    c = F.regexp_replace(F.regexp_replace(c, r"([.!?])\n([A-Z가-힣])", "$1\n\n$2"), r"([a-zA-Z])\n([a-zA-Z])", "$1 $2")
+    c = repair_word_splits(c)
+    for _ in range(5):
+        c = F.regexp_replace(c, rf"([가-힣])\n({PARTICLES})(?=[가-힣{WS}.,!?;:\n]|$)", "$1$2")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def nfc(c: Column) -> Column:
+    """Canonically composed text; only what is beyond Latin-1 is handed to Python, other rows as nulls."""
+    beyond = c.rlike(r"[^\x00-\xFF]")
+    return F.coalesce(_composed(F.when(beyond, c)), c)
+
+
 def normalise_identity(c: Column) -> Column:
     c = F.translate(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
@@ -134,7 +164,8 @@ def front_matter(c: Column) -> Column:
 
 PAGE = "\f"
 MAX_FRONT_PAGES = 15
-FRONT_WORDS = r"(?im)(Copyright|ISBN|All rights reserved|Table of Contents|판권|발행처|발행인|옮김|저작권|목차|초판|재판\s*발행|Abbreviations|Acknowledge?ments?|Preface|Glossary|약어표?|서문|감사의\s*글|색인|\AIndex\s*\z)"
+# Words that make a page front matter.
+FRONT_WORDS = rf"(?im)(Copyright|ISBN|All rights reserved|Table of Contents|판권|발행처|발행인|(?<![{WORD}])인쇄(?![{WORD}])|옮김|저작권|목차|초판|재판\s*발행|Abbreviations|Acknowledge?ments?|Preface|Glossary|약어표?|서문|감사의\s*글|색인|\AIndex\s*\z)"
 
 
 def split_front_pages(c: Column) -> Column:

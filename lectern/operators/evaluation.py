@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.operators.retrieval import small
 
 SHINGLE = 5
+#: Mean noise and share of short chunks up to which a document's chunks pass.
+MOST_NOISE, MOST_SHORT = 35.0, 0.2
 
 
 def verbatim_gold(questions: DataFrame, docs: DataFrame, question: str = "question", text: str = "text") -> DataFrame:
@@ -36,15 +38,23 @@ def judged(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(gold.select("query_id", "doc_id").distinct().withColumn("__hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("__hit", F.lit(0))).drop("__hit")
 
 
-def per_query(judged_rows: DataFrame, k: int = 10) -> DataFrame:
-    """Per question: hits at 1 and 5, reciprocal rank, nDCG at ``k`` against the hits in it, hits in ``k``."""
+def per_query(judged_rows: DataFrame, k: int = 10, gold: DataFrame | None = None) -> DataFrame:
+    """Per question: hits at 1 and 5, reciprocal rank, nDCG at ``k``, hits in ``k``.
+
+    The ideal has the hits found in ``k``; with ``gold`` (query_id, doc_id) it has as many as are expected, at most ``k``.
+    """
     rank, hit = F.col("rank"), F.col("hit")
     gain = F.sum(F.when((hit == 1) & (rank <= k), 1 / F.log2(rank + 1.0)).otherwise(0.0))
     rows = judged_rows.groupBy("query_id").agg(
         F.sum(F.when(rank <= 1, hit).otherwise(0)).alias("hit1"), F.sum(F.when(rank <= 5, hit).otherwise(0)).alias("hit5"), F.sum(F.when(rank <= k, hit).otherwise(0)).alias("hits"),
         F.min(F.when(hit == 1, rank)).alias("first"), gain.alias("dcg"),
     )
-    ideal = F.aggregate(F.when(F.col("hits") > 0, F.sequence(F.lit(1), F.col("hits").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    if gold is None:
+        rows = rows.withColumn("many", F.col("hits"))
+    else:
+        expected = gold.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("many"))
+        rows = rows.join(expected, "query_id", "left").withColumn("many", F.coalesce("many", F.lit(0)))
+    ideal = F.aggregate(F.when(F.col("many") > 0, F.sequence(F.lit(1), F.col("many").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return rows.select("query_id", "hit1", "hit5", "hits", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), F.when(ideal > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))
 
 
@@ -53,9 +63,9 @@ def _averages(k: int) -> list[Column]:
     return [F.count("*").alias("n"), mean(F.col("hit1").cast("double"), "p_at_1"), mean(F.col("hit5") / 5.0, "p_at_5"), mean(F.col("rr"), "mrr"), mean(F.col("ndcg"), "ndcg"), mean(F.col("hits") / float(k), "hit_rate")]
 
 
-def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """One row of averages over the questions that got a result."""
-    return per_query(judged(ranked, gold), k).agg(*_averages(k))
+def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10, expected_ideal: bool = False) -> DataFrame:
+    """One row of averages over the questions that got a result; ``expected_ideal`` takes the ideal of nDCG from the gold set."""
+    return per_query(judged(ranked, gold), k, gold if expected_ideal else None).agg(*_averages(k))
 
 
 def metrics_by(ranked: DataFrame, gold: DataFrame, attributes: DataFrame, sets: list[list[str]], k: int = 10) -> DataFrame:
@@ -89,11 +99,32 @@ def histogram(df: DataFrame, value: Column, width: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """``max(1, round(n * fraction))`` rows of each stratum, the same ones at every run."""
-    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.round(F.count("*") * fraction)).alias("__want"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return ranked.join(sizes, ranked[stratum].eqNullSafe(sizes[stratum]), "left").where(F.col("__r") <= F.col("__want")).select(*[ranked[c] for c in df.columns])
+    """``max(1, round(n * fraction))`` rows of each stratum, the same ones at every run.
+
+    Rows stand in the order of a hash. Its first three digits make 4,096 classes, whose counts tell which are taken
+    whole; only the class at the edge is ranked, so no task sorts a stratum.
+    """
+    marked = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("__c", F.substring("__h", 1, 3))
+    before = Window.partitionBy(stratum).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(stratum)
+    counts = marked.groupBy(stratum, "__c").agg(F.count("*").alias("__n"))  # at most 4,096 rows for each stratum
+    counts = counts.select(F.col(stratum).alias("__s"), F.col("__c").alias("__k"), "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.greatest(F.lit(1.0), F.round(F.sum("__n").over(whole) * fraction)).alias("__want"))
+    part = marked.join(counts.where(F.col("__before") < F.col("__want")), F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__c") == F.col("__k")))
+    inside = F.col("__before") + F.col("__n") <= F.col("__want")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key))
+    edge = part.where(~inside).withColumn("__r", place).where(F.col("__before") + F.col("__r") <= F.col("__want"))
+    return part.where(inside).select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def band_join(left: DataFrame, right: DataFrame, by: list[str], at: str, width: int, right_at: str) -> DataFrame:
+    """Rows of both sides with equal ``by`` whose places differ by at most ``width``.
+
+    The equi-join is on the key and a class of ``width`` places; the right side is given out for its own class and both
+    neighbours, so that a hot key costs what lies near each row, not its square.
+    """
+    one = left.withColumn("__b", F.floor(F.col(at) / width))
+    two = right.withColumn("__b", F.explode(F.array(*[F.floor(F.col(right_at) / width) + k for k in (-1, 0, 1)])))
+    return one.join(two, [*by, "__b"]).where(F.abs(F.col(at) - F.col(right_at)) <= width).drop("__b")
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, by: list[str], at: str = "at") -> DataFrame:
@@ -121,15 +152,36 @@ def regression(current: DataFrame, baseline: DataFrame, tolerance: float = 0.05)
     return both.select("metric", "now", "then", delta.alias("delta"), F.when(delta.isNull(), "missing").when(delta < -tolerance, "regressed").when(delta > tolerance, "improved").otherwise("stable").alias("status"))
 
 
+def exact_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, median``: exact, though no task sorts a group.
+
+    Approximate quantiles (with a rank error of a thousandth) enclose the median; the rows below are counted, and only
+    the two hundredths between are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("__v", F.array(F.lit(0.49), F.lit(0.51)), F.lit(1000)).alias("__q"), F.count("*").alias("__n"))
+    bounds = bounds.select(*[F.col(c).alias(f"__{c}") for c in by], "__q", "__n")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    near = rows.join(bounds, same).where(F.col("__v") <= F.col("__q")[1])
+    below = F.count(F.when(F.col("__v") < F.col("__q")[0], 1))
+    held = near.groupBy(*by).agg(below.alias("__below")).select(*[F.col(c).alias(f"__of_{c}") for c in by], "__below")
+    ranked = near.where(F.col("__v") >= F.col("__q")[0]).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")))
+    placed = ranked.join(held, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by])
+    place = F.col("__below") + F.col("__r")
+    return placed.where((place == F.floor((F.col("__n") + 1) / 2)) | (place == F.floor(F.col("__n") / 2) + 1)).groupBy(*by).agg(F.avg("__v").alias("median"))
+
+
 def timing(df: DataFrame, value: str, ok: str, by: list[str]) -> DataFrame:
     """Mean, median, extremes of a time and the share of successes per group."""
-    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(F.col(ok).cast("double")), 6).alias("success"))
+    rows = df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(F.col(ok).cast("double")), 6).alias("success"))
+    middle = exact_median(df, value, by).select(*[F.col(c).alias(f"__{c}") for c in by], F.round("median", 6).alias("median"))
+    return rows.join(middle, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").select(*by, "mean", "median", "least", "most", "success")
 
 
 def chunk_quality(chunks: DataFrame, noise: Column, doc: str = "doc_id", index: str = "chunk_index", text: str = "chunk", least: int = 80) -> DataFrame:
-    """Per document: mean and greatest noise, mean overlap of adjacent chunks, share of short ones."""
+    """Per document: mean and greatest noise, mean overlap of adjacent chunks, share of short ones, and whether all is well (``passed``)."""
     marked = chunks.withColumns({"__noise": noise, "__dup": adjacent_jaccard(F.col(text), [doc], index)})
-    return marked.groupBy(doc).agg(F.count("*").alias("chunks"), F.round(F.avg("__noise"), 4).alias("avg_noise"), F.max("__noise").alias("max_noise"), F.round(F.avg("__dup"), 4).alias("avg_overlap"), F.round(F.avg((F.length(F.trim(text)) < least).cast("double")), 4).alias("short_ratio"))
+    return marked.groupBy(doc).agg(F.count("*").alias("chunks"), F.round(F.avg("__noise"), 4).alias("avg_noise"), F.max("__noise").alias("max_noise"), F.round(F.avg("__dup"), 4).alias("avg_overlap"), F.round(F.avg((F.length(F.trim(text)) < least).cast("double")), 4).alias("short_ratio")).withColumn("passed", (F.col("avg_noise") <= MOST_NOISE) & (F.col("short_ratio") <= MOST_SHORT))
 
 
 def adjacent_jaccard(text: Column, by: list[str], order: str) -> Column:
@@ -140,14 +192,19 @@ def adjacent_jaccard(text: Column, by: list[str], order: str) -> Column:
     return F.when(last.isNull() | (union == 0), 0.0).otherwise(F.size(F.array_intersect(here, last)) / F.greatest(union, F.lit(1)))
 
 
-def best_combination(results: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Mean score of each combination with ``best`` on the highest (the first by key among equals)."""
+def best_combination(results: DataFrame, keys: list[str], score: str, by: list[str] | None = None) -> DataFrame:
+    """Mean score of each combination with ``best`` on the highest (the first by key among equals), overall or for each ``by``.
+
+    There are as many rows as combinations, however many results.
+    """
     means = results.groupBy(*keys).agg(F.round(F.avg(score), 6).alias("score"))
-    return means.withColumn("best", F.row_number().over(Window.orderBy(F.desc("score"), *keys)) == 1)
+    return means.withColumn("best", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(F.desc("score"), *keys)) == 1)
 
 
 def gold_questions(books: DataFrame, templates: DataFrame) -> DataFrame:
-    """``id, question, book_id, intent, language``: every template with every selected book (a small stated set)."""
-    rows = templates.join(F.broadcast(books.limit(10_000)))
-    ordered = rows.withColumn("n", F.row_number().over(Window.orderBy("book_id", "language", "intent")))
-    return ordered.select(F.format_string("Q%05d", "n").alias("id"), F.replace("template", F.lit("{name}"), F.col("name")).alias("question"), "book_id", "intent", "language")
+    """``id, question, book_id, intent, language``: every template (a stated handful) with every selected book, numbered in order of book, language and intent."""
+    rows = books.join(F.broadcast(templates))
+    before = Window.orderBy("book_id").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("book_id").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row for each book
+    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("book_id").orderBy("language", "intent", "template"))).join(counts, "book_id")
+    return numbered.select(F.format_string("Q%05d", F.col("__before") + F.col("__r")).alias("id"), F.replace("template", F.lit("{name}"), F.col("name")).alias("question"), "book_id", "intent", "language")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import nfc
+
 ZONES = ((300_000, "GREEN"), (700_000, "YELLOW"))
 #: Memory of one row held by a single process, in KB, with and without the term index.
 ROW_KB = {"plain": 4.81, "indexed": 23.9}
@@ -40,8 +43,9 @@ def throughput(events: DataFrame, done: Column, by: list[str] | None = None, ts:
     return out.select(*by, F.round("active_s", 3).alias("active_s"), "finished", F.when((F.col("active_s") > 0) & (F.col("finished") > 0), F.round(F.col("finished") / F.col("active_s"), 6)).alias("per_second"))
 
 
-def event_counts(events: DataFrame, name: str = "event", status: str = "status") -> DataFrame:
-    return events.groupBy(name).agg(F.count("*").alias("n"), F.count(F.when(F.col(status) == "DONE", 1)).alias("done"))
+def event_counts(events: DataFrame, name: str = "event", status: str = "status", prefix: str = "") -> DataFrame:
+    """Events and finished ones by name, of those whose name begins with ``prefix``."""
+    return events.where(F.col(name).startswith(prefix)).groupBy(name).agg(F.count("*").alias("n"), F.count(F.when(F.col(status) == "DONE", 1)).alias("done"))
 
 
 STAGES = ("extract", "clean", "chunk", "index", "query")
@@ -64,10 +68,12 @@ def capacity(rows: int) -> dict:
 
 
 def library_search(docs: DataFrame, needle: str, columns: list[str], kind: tuple[str, str] | None = None) -> DataFrame:
-    """Documents with ``needle`` in any of the columns (without regard to case), of one type if given."""
-    hit = F.lit(not needle)
+    """Documents with ``needle`` in any of the columns (without regard to case or composition), of one type if given."""
+    hit, needle = F.lit(not needle), unicodedata.normalize("NFC", needle).lower()
+    # only a needle beyond Latin-1 can be composed in several ways
+    composed = nfc if any(ord(c) > 255 for c in needle) else lambda c: c
     for c in columns:
-        hit = hit | F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(needle.lower())
+        hit = hit | F.lower(composed(F.coalesce(F.col(c).cast("string"), F.lit("")))).contains(needle)
     found = docs.where(hit)
     return found.where(F.col(kind[0]) == kind[1]) if kind else found
 

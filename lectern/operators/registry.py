@@ -78,10 +78,23 @@ def purge(table: DataFrame, registry: DataFrame) -> DataFrame:
     return table.join(registry.where(F.col("superseded_by").isNotNull()).select("document_id"), "document_id", "left_anti")
 
 
-def supersede(registry: DataFrame, source: str = "source_file") -> DataFrame:
-    """Versions of one source linked in order: each row's ``supersedes`` and ``superseded_by``."""
-    line = Window.partitionBy(source).orderBy("ord", "document_id")
-    return registry.withColumns({"supersedes": F.lag("document_id").over(line), "superseded_by": F.lead("document_id").over(line)})
+def supersede(registry: DataFrame, source: str = "source_file", parts: int = 256) -> DataFrame:
+    """Versions of one source linked in order: each row's ``supersedes`` and ``superseded_by``.
+
+    Rows are linked within ``parts`` ranges of ``ord``; the ends of the ranges, ``parts`` rows for a source at most, are
+    linked across. So a source with a third of all rows is spread over many tasks.
+    """
+    low, high = registry.agg(F.min("ord"), F.max("ord")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    rows = registry.drop("supersedes", "superseded_by").withColumn("__part", F.floor((F.coalesce("ord", F.lit(low or 0)) - (low or 0)) / width))
+    line = Window.partitionBy(source, "__part").orderBy("ord", "document_id")
+    order = F.struct(F.col("ord").isNotNull(), "ord", "document_id")
+    ends = rows.groupBy(source, "__part").agg(F.min_by("document_id", order).alias("first"), F.max_by("document_id", order).alias("last"))
+    across = Window.partitionBy(source).orderBy("__part")
+    ends = ends.select(F.col(source).alias("__source"), F.col("__part").alias("__p"), F.lag("last").over(across).alias("__before"), F.lead("first").over(across).alias("__after"))
+    linked = rows.withColumns({"__lag": F.lag("document_id").over(line), "__lead": F.lead("document_id").over(line)})
+    joined = linked.join(ends, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__part") == F.col("__p")))
+    return joined.withColumns({"supersedes": F.coalesce("__lag", "__before"), "superseded_by": F.coalesce("__lead", "__after")}).drop("__part", "__p", "__source", "__before", "__after", "__lag", "__lead")
 
 
 def chain(registry: DataFrame, start: str, most: int = 10_000) -> DataFrame:

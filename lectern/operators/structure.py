@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.quality import boundary_score
+from lectern.functions import chunk, references
+from lectern.functions.quality import BOUNDARY_LEAST, boundary_score
+from lectern.functions.text import lines, strip
 
 
 def heading_paths(marked: DataFrame, doc: str = "doc_id", order: str = "at") -> DataFrame:
@@ -33,61 +36,161 @@ def heading_paths(marked: DataFrame, doc: str = "doc_id", order: str = "at") ->
 
 
 LOOKAHEAD = 5
+LEAST_HEADING = 2
+# What makes a line of paged text a heading.
+LETTERS, MOST_LETTERS, LEAST_RATIO, LARGER, LEAST_HITS = "[가-힣A-Za-z]", 80, 0.6, 1.15, 3
+
+
+def plain_line(text: str | None) -> str:
+    """A line as headings and chunks are compared: without number signs, with breaks and blanks joined."""
+    return "\n\n".join(chunk.paragraphs_of(re.sub(r"^#{1,6}[ \t]+", "", (text or "").strip())))
+
+
+def first_contained(titles: list[str], line: str) -> int | None:
+    """Which of the titles stands in ``line`` as whole words, the first one that does."""
+    return next((k for k, t in enumerate(titles) if t and re.search(rf"(?<!\w){re.escape(t)}(?!\w)", line)), None)
 
 
 def assign_headings(chunks: DataFrame, headings: DataFrame) -> DataFrame:
-    """``doc_id, chunk_index, heading, level``: known headings matched to chunks in order.
+    """``doc_id, chunk_index, path, depth, level``: known headings matched to chunks in order.
 
-    A cursor over the document's headings moves to the last of the next
-    ``LOOKAHEAD`` ones whose title stands in the chunk; a chunk without one keeps the
-    heading before. One document's chunks and headings are one ordered fold.
+    A cursor over the document's headings looks for the next ``LOOKAHEAD`` titles in each line of a chunk and moves
+    behind the first that stands there; found headings form a stack that a heading of the same or a smaller level
+    cuts back. Headings and chunks of one document come as one ordered stream, headings first, so that a row is
+    held once: only the titles of the document at hand stay in memory.
     """
-    listed = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "title", "level"))).alias("hs"))
-    joined = chunks.join(listed, "doc_id", "left").select("doc_id", "chunk_index", "chunk", "hs").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, cursor, current = None, 0, None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.doc_id != doc:
-                    doc, cursor, current = row.doc_id, 0, None
-                known = [] if row.hs is None else list(row.hs)
-                text = f" {' '.join((row.chunk or '').split())} ".lower()
-                for k, h in enumerate(known[cursor : cursor + LOOKAHEAD]):
-                    if f" {' '.join(h['title'].split())} ".lower() in text:
-                        current, step = h, k + 1
-                        cursor_next = cursor + step
-                        break
-                else:
-                    cursor_next = cursor
-                cursor = cursor_next
-                out.append((row.doc_id, row.chunk_index, current["title"] if current else None, current["level"] if current else None))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "heading", "level"]).astype({"level": "Int32"})
-
-    return joined.mapInPandas(fold, "doc_id long, chunk_index int, heading string, level int")
+    stream = headings.select("doc_id", F.lit(0).alias("kind"), F.col("at").cast("long").alias("at"), F.col("title").alias("text"), F.col("level").cast("int").alias("level"))
+    stream = stream.unionByName(chunks.select("doc_id", F.lit(1).alias("kind"), F.col("chunk_index").cast("long").alias("at"), F.col("chunk").alias("text"), F.lit(None).cast("int").alias("level")))
+    ordered = stream.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, known, stack, cursor = object(), [], [], 0
+        for batch in batches:
+            out: list[tuple] = []
+            for owner, kind, at, text, level in zip(*(c.to_pylist() for c in batch.columns)):
+                if owner != doc:
+                    doc, known, stack, cursor = owner, [], [], 0
+                if kind == 0:
+                    if len((text or "").strip()) >= LEAST_HEADING:
+                        known.append((level, text, plain_line(text)))
+                    continue
+                for line in (text or "").splitlines():
+                    step = first_contained([h[2] for h in known[cursor : cursor + LOOKAHEAD]], plain_line(line)) if cursor < len(known) else None
+                    if step is not None:
+                        own = known[cursor + step]
+                        cursor += step + 1
+                        stack = [h for h in stack if h[0] < own[0]] + [own]
+                out.append((owner, at, [h[1] for h in stack], len(stack), stack[-1][0] if stack else None))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()))], ["doc_id", "chunk_index", "path", "depth", "level"])
+
+    return ordered.mapInArrow(fold, "doc_id long, chunk_index int, path array<string>, depth int, level int")
+
+
+def heading_source(source_type: Column) -> Column:
+    """Which kind of headings a source type has: number signs in text, spans in paged files, none elsewhere."""
+    kind = F.lower(source_type)
+    return F.when(kind.isin("md", "txt"), "atx").when(kind == "pdf", "spans").otherwise("none")
+
+
+def letter_ratio(c: Column) -> Column:
+    text = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(LETTERS)) / F.greatest(F.length(text), F.lit(1))).otherwise(0.0)
 
 
 def page_profile(spans: DataFrame) -> DataFrame:
-    """Per document of ``spans`` (doc_id, text, size, bold, page, is_block_top): the body size (most text), and larger or bold lines."""
-    lengths = spans.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n"))
-    body = lengths.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("body"))
-    joined = spans.join(body, "doc_id")
-    return joined.groupBy("doc_id").agg(F.first("body").alias("body"), F.count(F.when(F.col("size") > F.col("body") * 1.15, 1)).alias("size_hits"), F.count(F.when(F.col("bold"), 1)).alias("bold_hits"))
+    """Per document of ``spans`` (doc_id, text, size, bold, page, is_block_top): the body size, how many lines are plausible
+    headings by size and by weight, and the ``signal`` that has more (null below ``LEAST_HITS``).
+
+    The body size is that of most characters, among equals the one on the earliest page.
+    """
+    lines = spans.where(F.col("text") != "")
+    sizes = lines.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min("page").alias("page"))
+    body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("page"), -F.col("size"))).alias("body"))
+    plausible = (F.length("text") < MOST_LETTERS) & (letter_ratio(F.col("text")) >= LEAST_RATIO)
+    hits = lambda on: F.count(F.when(plausible & on, 1))
+    counted = lines.join(body, "doc_id").groupBy("doc_id").agg(F.first("body").alias("body"), hits(F.col("size") > F.col("body") * LARGER).alias("size_hits"), hits(F.col("bold") & (F.col("size") == F.col("body"))).alias("bold_hits"))
+    signal = F.when(F.greatest("size_hits", "bold_hits") < LEAST_HITS, F.lit(None).cast("string")).when(F.col("bold_hits") >= F.col("size_hits"), "bold").otherwise("size")
+    return counted.withColumn("signal", signal)
 
 
 def page_headings(spans: DataFrame) -> DataFrame:
-    """Spans that look like headings, with ``confidence`` 0 to 1."""
-    joined = spans.join(page_profile(spans), "doc_id")
-    letters = F.regexp_count("text", F.lit(r"\p{L}")) / F.greatest(F.length("text"), F.lit(1))
-    larger = F.col("size") > F.col("body") * 1.15
-    candidate = (F.length(F.trim("text")).between(2, 120)) & (letters >= 0.5) & ~F.col("text").rlike(r"[.!?。]\s*$") & F.when(F.col("size_hits") > 0, larger).otherwise(F.col("bold"))
-    strength = F.when(larger, F.least((F.col("size") / F.col("body") - 1) / 0.5, F.lit(1.0))).otherwise(0.5)
-    return joined.where(candidate).withColumn("confidence", F.round(F.least(0.6 * strength + F.when(F.col("is_block_top"), 0.3).otherwise(0.0) + F.when(F.col("bold"), 0.1).otherwise(0.0), F.lit(1.0)), 4)).select(*spans.columns, "confidence")
-
-
-def boundary_candidates(chunks: DataFrame, least: float = 50) -> DataFrame:
-    """Chunks (with ``chunk``, ``is_heading``, ``has_reference``) with ``score`` and ``is_boundary``."""
-    text = F.col("chunk")
-    score = boundary_score({"heading": F.col("is_heading"), "paragraph": F.lit(True), "tiny": F.length(text) < 20, "sentence_end": text.rlike(r"[.!?。]\s*$"), "reference": F.col("has_reference")})
-    return chunks.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least)
+    """Spans that are headings by their document's signal, with ``signal``, ``validity`` and ``confidence`` 0 to 1."""
+    own = spans.where(F.col("text") != "").join(page_profile(spans), "doc_id").where(F.col("signal").isNotNull())
+    validity, n = letter_ratio(F.col("text")), F.length("text")
+    by_size = F.col("signal") == "size"
+    on = F.when(by_size, F.col("size") > F.col("body") * LARGER).otherwise(F.col("bold") & (F.col("size") == F.col("body")))
+    strength = F.when(by_size, F.when(F.col("body") > 0, F.greatest(F.lit(0.0), F.least((F.col("size") / F.col("body") - 1.0) / 0.5, F.lit(1.0)))).otherwise(0.0)).otherwise(0.8)
+    bonus = F.when((n < 40) & F.col("is_block_top"), 0.2).when((n < 40) | F.col("is_block_top"), 0.1).otherwise(0.0)
+    sure = F.round(F.greatest(F.lit(0.0), F.least(0.5 * strength + 0.4 * F.col("validity") + 0.1 * bonus, F.lit(1.0))), 4)
+    fits = own.withColumn("validity", validity).where((n < MOST_LETTERS) & (F.col("validity") >= LEAST_RATIO) & on)
+    return fits.withColumn("confidence", sure).withColumn("validity", F.round("validity", 4)).select(*spans.columns, "signal", "validity", "confidence")
+
+
+HEAD = 50
+
+
+def boundary_features(text: Column, heading: Column | None = None, least: int = chunk.LEAST) -> dict[str, Column]:
+    """The boolean features of a candidate boundary: its text, and whether it holds the next heading."""
+    plain = strip(F.coalesce(text, F.lit("")))
+    every = lines(plain)
+    last = F.when(F.size(every) > 0, F.element_at(every, -1)).otherwise("")
+    return {
+        "heading": F.coalesce(heading, F.lit(False)) if heading is not None else F.lit(False),
+        "paragraph": plain != "",
+        "tiny": F.length(plain) < least,
+        "sentence_end": last.rlike(chunk.SENTENCE_MARK.pattern) | last.rlike(chunk.KOREAN_END.pattern),
+        "reference": F.size(references.question_references(F.substring(plain, 1, HEAD))) > 0,
+    }
+
+
+def boundary_candidates(paragraphs: DataFrame, text: str = "text", heading: str | None = None, least: float = BOUNDARY_LEAST) -> DataFrame:
+    """``paragraphs`` with ``score`` and ``is_boundary``; ``heading`` names a boolean column, where headings are known."""
+    score = boundary_score(boundary_features(F.col(text), F.col(heading) if heading else None))
+    return paragraphs.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least)
+
+
+CAP = int(chunk.SIZE * 1.5)
+
+
+def structured_chunks(docs: DataFrame, headings: DataFrame, text: str = "text", size: int = chunk.SIZE, least: int = chunk.LEAST) -> DataFrame:
+    """Per document: ``paragraphs``, ``boundaries`` (offsets), ``chunks`` of the hierarchical builder and ``existing`` ones' offsets.
+
+    A document's headings (title, in order) are one short list; a document is one row.
+    """
+    titles = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "title"))).alias("hs"))
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(titles, "doc_id", "left").select("doc_id", "text", F.col("hs.title").alias("titles"))
+    spot = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                paragraphs = chunk.candidates_of(value)
+                found = chunk.boundaries_of(paragraphs, [plain_line(t) for t in known or []], first_contained, least)
+                own = chunk.hierarchical_chunks_of(paragraphs, found, size, least)
+                whole = "\n\n".join(p for p, _ in paragraphs)
+                old = chunk.offsets_in(whole, chunk.paragraph_chunks_of(value, size))
+                outliers = sum(len(p) > CAP and len(chunk.sentences_of(p)) < 2 for p, _ in paragraphs)
+                out.append(([{"text": p, "at": k} for p, k in paragraphs], [k for (_, k), on in zip(paragraphs, found) if on], [{"text": c, "at": k} for c, k in own], old, outliers))
+            columns = list(zip(*out)) or [()] * 5
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, (spot, ints, spot, ints, pa.int32()))], ["doc_id", "paragraphs", "boundaries", "chunks", "existing", "outliers"])
+
+    spots = "array<struct<text:string,at:int>>"
+    return rows.mapInArrow(run, f"doc_id long, paragraphs {spots}, boundaries array<int>, chunks {spots}, existing array<int>, outliers int")
+
+
+def structure_metrics(structured: DataFrame, tolerance: int = 50) -> DataFrame:
+    """Per profile (B if a document has an overlong paragraph, else A): how many boundaries that the existing chunks miss
+    the hierarchical ones recover, the share of chunks that begin at a boundary, and of paragraphs that cannot be split."""
+    starts = F.transform("chunks", lambda c: c["at"])
+    beyond = lambda b, targets: F.coalesce(F.array_min(F.transform(targets, lambda t: F.abs(t - b))), F.lit(10**9)) > tolerance
+    missed = F.filter("boundaries", lambda b: beyond(b, F.col("existing")))
+    rows = structured.select(
+        F.when(F.exists("paragraphs", lambda p: F.length(p["text"]) > CAP), "B").otherwise("A").alias("profile"), missed.alias("missed"), starts.alias("starts"), "boundaries", F.size("chunks").alias("chunks"), F.size("paragraphs").alias("paragraphs"), "outliers"
+    ).withColumns({"recovered": F.size(F.filter("missed", lambda b: ~beyond(b, F.col("starts")))), "semantic": F.size(F.filter("starts", lambda s: F.array_contains("boundaries", s)))})
+    total = lambda c: F.sum(c).cast("long")
+    sums = rows.groupBy("profile").agg(F.count("*").alias("docs"), total(F.size("missed")).alias("missed"), total("recovered").alias("recovered"), total("chunks").alias("chunks"), total("semantic").alias("semantic"), total("paragraphs").alias("paragraphs"), total("outliers").alias("outliers"))
+    rate = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 6)).otherwise(0.0)
+    return sums.withColumns({"recovery_rate": rate("recovered", "missed"), "semantic_ratio": rate("semantic", "chunks"), "outlier_ratio": rate("outliers", "paragraphs")})

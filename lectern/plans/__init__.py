@@ -1 +1,3 @@
-"""Part of the engine; see README.md."""
+"""Registered queries and their SQL."""
+
+from lectern.plans import extended  # noqa: F401  (registers its queries)

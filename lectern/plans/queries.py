@@ -51,8 +51,8 @@ S_COUNT = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
 S_BASIC = lambda x: S_STRIP(f"regexp_replace(regexp_replace(translate(replace(coalesce({x}, ''), chr(13) || chr(10), chr(10)), chr(13) || chr(9), chr(10) || ' '), '[ \\x{{00A0}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 S_LINES = lambda x: f"list_filter(list_transform(string_split_regex({x}, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {S_STRIP('l')}), lambda l: l <> '')"
 
-BM25 = f"""
-q AS (SELECT item_id AS query_id, text AS question FROM benchmark),
+PLAIN_QUESTIONS = "q AS (SELECT item_id AS query_id, text AS question FROM benchmark),"
+BM25_OF_Q = f"""
 qt AS (
   SELECT query_id, w AS term, min(p) AS pos FROM (SELECT query_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT query_id, {S_WORDS("question")} AS ws FROM q)) WHERE w NOT IN ({STOPS}) GROUP BY query_id, w
 ),
@@ -62,9 +62,10 @@ tf AS (SELECT doc_id, term, doc_len, count(*) AS tf FROM dt WHERE term IN (SELEC
 s AS (SELECT query_id, doc_id, avg((ln(2.0 / (tf + 1)) + 1.0) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * doc_len / greatest(doc_len, 100.0)))) AS s FROM tf JOIN qk USING (term) GROUP BY query_id, doc_id),
 bm AS (SELECT query_id, doc_id, round(least(ln(1 + greatest(s, 0.0)) / ln(2.0), 1.0), 6) AS bm25 FROM s WHERE round(least(ln(1 + greatest(s, 0.0)) / ln(2.0), 1.0), 6) > 0)"""
 
+BM25 = PLAIN_QUESTIONS + BM25_OF_Q
+
 DIVERSE = """
-hundred AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) <= 100),
-once AS (SELECT h.*, d.source FROM hundred h JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(d.text[1:200])[1:8] ORDER BY bm25 DESC, doc_id) = 1),
+once AS (SELECT h.*, d.source FROM bm h JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, md5(d.text[1:200])[1:8] ORDER BY bm25 DESC, doc_id) = 1),
 nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY bm25 DESC, doc_id) > 2 AS over FROM once),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY over, bm25 DESC, doc_id) AS rank, doc_id, source, bm25 FROM nth QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY over, bm25 DESC, doc_id) <= 10)"""
 
@@ -75,7 +76,7 @@ cnt AS (SELECT doc_id, term, count(*) AS tf FROM allt GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln(((SELECT n FROM n) + 1) / (count(*) + 1)) + 1 AS idf FROM cnt GROUP BY term),
 dw AS (SELECT doc_id, term, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY doc_id)) * idf AS w FROM cnt JOIN idf USING (term)),
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
-qc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({S_TOKENS("text")}) AS term FROM benchmark) GROUP BY ALL),
+qc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({S_TOKENS("question")}) AS term FROM q) GROUP BY ALL),
 qm AS (SELECT query_id, term, tf, max(tf) OVER (PARTITION BY query_id) AS mx FROM qc),
 qw AS (SELECT query_id, term, (0.5 + 0.5 * tf / mx) * idf AS qw FROM qm JOIN idf USING (term)),
 qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY query_id),
@@ -108,7 +109,7 @@ def bm25_top100(spark, sf_dir):
     return retrieval.top(retrieval.lexical_scores(documents(spark, sf_dir), questions(spark, sf_dir)), 100, ["query_id"], F.desc("bm25"), F.col("doc_id"))
 
 
-@query(f"WITH {TFIDF} SELECT query_id, doc_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs QUALIFY rank <= 10")
+@query(f"WITH {PLAIN_QUESTIONS}{TFIDF} SELECT query_id, doc_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs QUALIFY rank <= 10")
 def tfidf_cosine_topk(spark, sf_dir):
     return retrieval.top(retrieval.tfidf_scores(documents(spark, sf_dir), questions(spark, sf_dir)), 10, ["query_id"], F.desc("cosine"), F.col("doc_id"))
 
@@ -137,24 +138,38 @@ fu AS (
   SELECT *, CASE WHEN len = 0 THEN 0.0 ELSE least((CASE WHEN len BETWEEN 200 AND 800 THEN 0.5 WHEN len >= 100 THEN 0.3 ELSE 0.0 END + CASE WHEN marks >= 2 THEN 0.3 WHEN marks = 1 THEN 0.15 ELSE 0.0 END + CASE WHEN terms >= 3 THEN 0.2 WHEN terms >= 1 THEN 0.1 ELSE 0.0 END) * 0.75, 1.0) END AS usable
   FROM f
 ),
-qf AS (SELECT item_id AS query_id, {S_THEMES("text")} AS qth, list_distinct({S_WORDS("text")}) AS qwords FROM benchmark)"""
+qf AS (SELECT query_id, {S_THEMES("question")} AS qth, list_distinct({S_WORDS("question")}) AS qwords FROM q)"""
+# needs q (query_id, question), qb (query_id, books, refs, score_refs), p (doc_id, book_id, chapter, confidence)
+S_FITS = "(list_contains(qb.books, p.book_id) AND (len(qb.refs) = 0 OR len(list_filter(qb.refs, lambda r: r.b = p.book_id AND abs(coalesce(p.chapter, 0) - r.c) <= 2)) > 0))"
 HYBRID = f"""
-pair AS (SELECT bm.query_id, bm.doc_id, bm25, coalesce(cosine, 0.0) AS cosine FROM bm LEFT JOIN cs ON cs.query_id = bm.query_id AND cs.doc_id = bm.doc_id),{FEATURES},
+narrow AS (SELECT DISTINCT qb.query_id FROM qb JOIN p ON {S_FITS}),
+pool AS (SELECT qb.*, narrow.query_id IS NOT NULL AS narrow FROM qb LEFT JOIN narrow ON narrow.query_id = qb.query_id),
+lex AS (SELECT bm.query_id, bm.doc_id, bm.bm25 FROM bm JOIN pool qb ON qb.query_id = bm.query_id JOIN p ON p.doc_id = bm.doc_id WHERE NOT qb.narrow OR coalesce({S_FITS}, false)),
+hundred AS (SELECT query_id, doc_id FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) <= 100),
+bare AS (SELECT qb.query_id, p.doc_id FROM pool qb JOIN p ON NOT qb.narrow OR coalesce({S_FITS}, false) WHERE qb.query_id NOT IN (SELECT query_id FROM lex)),
+pair AS (SELECT query_id, doc_id, bm25 FROM lex UNION ALL SELECT query_id, doc_id, 0.0 FROM bare),
+seen AS (SELECT * FROM hundred UNION ALL SELECT * FROM bare),
+scored AS (SELECT pair.*, coalesce(cs.cosine, 0.0) AS cosine FROM pair LEFT JOIN (SELECT cs.* FROM cs JOIN seen USING (query_id, doc_id)) cs ON cs.query_id = pair.query_id AND cs.doc_id = pair.doc_id),{FEATURES},
 dom AS (
-  SELECT p.*, source, head, round(0.35 * least(0.6 * CASE WHEN list_has_any(qth, dth) THEN 1.0 WHEN len(qth) + len(dth) > 0 THEN 0.5 ELSE 0.0 END
+  SELECT s.*, source, head, coalesce(p.confidence, 0.5) AS confidence, round(0.45 * CASE WHEN p.book_id IS NULL THEN 0.0 WHEN len(qb.score_refs) = 0 THEN CASE WHEN contains(upper(coalesce(source, '')), p.book_id) THEN 0.5 ELSE 0.1 END
+    ELSE least(coalesce(list_sum(list_transform(qb.score_refs, lambda r: CASE WHEN r.b = p.book_id AND r.c = coalesce(p.chapter, 1) THEN 0.8 WHEN r.b = p.book_id AND abs(r.c - coalesce(p.chapter, 1)) = 1 THEN 0.3 ELSE 0.0 END)), 0.0), 1.0) END
+    + 0.35 * least(0.6 * CASE WHEN list_has_any(qth, dth) THEN 1.0 WHEN len(qth) + len(dth) > 0 THEN 0.5 ELSE 0.0 END
     + 0.4 * CASE WHEN len(qwords) > 0 AND len(dwords) > 0 THEN len(list_intersect(qwords, dwords)) / len(list_distinct(list_concat(qwords, dwords))) ELSE 0.0 END, 1.0) + 0.20 * usable, 4) AS domain
-  FROM pair p JOIN fu USING (doc_id) JOIN qf USING (query_id)
+  FROM scored s JOIN fu USING (doc_id) JOIN qf USING (query_id) JOIN qb ON qb.query_id = s.query_id JOIN p ON p.doc_id = s.doc_id
 ),
 fin AS (
-  SELECT *, round(0.30 * CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25) OVER w ELSE 0.5 END + 0.25 * CASE WHEN max(cosine) OVER w > 0 THEN cosine / max(cosine) OVER w ELSE 0.0 END + 0.45 * domain, 4) AS final
+  SELECT *, round((0.30 * CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25) OVER w ELSE 0.5 END + 0.25 * CASE WHEN max(cosine) OVER w > 0 THEN cosine / max(cosine) OVER w ELSE 0.0 END + 0.45 * domain) * (0.9 + 0.1 * confidence), 4) AS final
   FROM dom WINDOW w AS (PARTITION BY query_id)
 ),
 uniq AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY final DESC, doc_id) = 1),
-capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY final DESC, doc_id) > 2 AS over FROM uniq)"""
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY final DESC, doc_id) > 2 AS over FROM uniq)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY over, final DESC, doc_id) AS rank, doc_id, source, bm25, cosine, domain, final FROM capped QUALIFY rank <= 10"""
+NO_BOOKS = "qb AS (SELECT query_id, CAST([] AS VARCHAR[]) AS books, CAST([] AS STRUCT(b VARCHAR, c INTEGER)[]) AS refs, CAST([] AS STRUCT(b VARCHAR, c INTEGER)[]) AS score_refs FROM q), p AS (SELECT doc_id, CAST(NULL AS VARCHAR) AS book_id, CAST(NULL AS INTEGER) AS chapter, CAST(NULL AS DOUBLE) AS confidence FROM documents)"
 
 
-@query(f"WITH {BM25},{TFIDF},{HYBRID} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY over, final DESC, doc_id) AS rank, doc_id, source, bm25, cosine, domain, final FROM capped QUALIFY rank <= 10")
+@query(f"WITH {BM25},{TFIDF},{NO_BOOKS},{HYBRID}")
 def hybrid_rank(spark, sf_dir):
+    """The whole ranking over documents without known places: lexical hits or else all, cosines of the first hundred, domain score, evidence factor."""
     return retrieval.rank_hybrid(documents(spark, sf_dir), questions(spark, sf_dir))
 
 
@@ -287,7 +302,15 @@ def fixed_chunks(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
-@query()
+HEAD = "^(#{1,3}[ \\t]+[^\\n]+|[0-9]+[.)][ \\t]+[^\\n]+)$"
+MARKED = f"regexp_replace(t, '(?m)^(#{{1,3}}[ \\t]+[^\\n]|[0-9]+[.)][ \\t]+[^\\n])', chr(1) || '\\1', 'g')"
+FIXED_OF = lambda source: f"SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS chunk_index, c FROM (SELECT k, i, {S_STRIP('CASE WHEN inner_ AND strpos(reverse(p), $$ $$) > 0 AND length(p) - strpos(reverse(p), $$ $$) > 500 THEN p[1:length(p) - strpos(reverse(p), $$ $$)] ELSE p END')} AS c FROM (SELECT k, i, t, text[i:i + 999] AS p, i + 999 < t AS inner_ FROM (SELECT k, text, length(text) AS t, unnest(range(1, length(text) + 1, 900)) AS i FROM ({source})))) WHERE length(c) >= 50"
+
+
+@query(f"""WITH s AS (SELECT page_id AS k, {HTML} AS t FROM pages), h AS (SELECT *, len(regexp_extract_all(t, '(?m){HEAD}')) AS heads FROM s),
+parts AS (SELECT k, generate_subscripts(x, 1) AS pos, unnest(x) AS c FROM (SELECT k, list_filter(list_transform(list_filter(string_split({MARKED}, chr(1)), lambda y: regexp_matches(y, '(?m){HEAD}')), lambda y: {S_STRIP('y')}), lambda y: length(y) >= 50) AS x FROM h WHERE heads > 1)),
+every AS (SELECT k, pos - 1 AS chunk_index, c FROM parts UNION ALL {FIXED_OF("SELECT k, t AS text FROM h WHERE heads <= 1")})
+SELECT k AS page_id, chunk_index, length(c) AS n, md5(c) AS digest FROM every""")
 def structure_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(chunk.structure_chunks(strip_tags(F.col("html")))).alias("chunk_index", "c"))
     return rows.select("page_id", "chunk_index", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
@@ -300,7 +323,13 @@ def paragraph_chunks(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
-@query()
+NOISE_C = NOISE_TXT.replace("coalesce(text, $$$$)", "chunk")
+
+
+@query(f"""WITH ch AS ({FIXED_OF("SELECT doc_id AS k, text FROM documents")}), n AS (SELECT *, list_distinct(list_filter(string_split_regex(chunk, '\\s+'), lambda x: x <> '')) AS ws FROM (SELECT k, chunk_index, c AS chunk, {S_BASIC('c')} AS c, {S_LINES(S_BASIC('c'))} AS ls FROM ch)),
+m AS (SELECT *, CASE WHEN length(c) > 0 THEN {S_COUNT('c', SYM)} / length(c) ELSE 0.0 END AS sym, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda l: length(l) <= 3)) / len(ls) ELSE 0.0 END AS short, lag(ws) OVER (PARTITION BY k ORDER BY chunk_index) AS last FROM n),
+f AS (SELECT k, chunk, {NOISE_C} AS noise, CASE WHEN last IS NULL OR len(list_distinct(list_concat(ws, last))) = 0 THEN 0.0 ELSE len(list_intersect(ws, last)) / len(list_distinct(list_concat(ws, last))) END AS dup FROM m)
+SELECT k AS doc_id, count(*) AS chunks, round(avg(noise), 4) AS avg_noise, max(noise) AS max_noise, round(avg(dup), 4) AS avg_overlap, round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) AS short_ratio, round(avg(noise), 4) <= 35 AND round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) <= 0.2 AS passed FROM f GROUP BY k""")
 def chunk_quality(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunk.fixed_windows(F.col("text"))).alias("chunk_index", "chunk"))
     return evaluation.chunk_quality(rows, quality.noise_score(F.col("chunk"), "txt"))
@@ -456,8 +485,9 @@ def nearest_event(spark, sf_dir):
 def band_join(spark, sf_dir):
     """Orders of one customer whose keys differ by at most 200: an equi-join with a band as its residual."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    p = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
-    return o.join(p, (F.col("o_custkey") == F.col("c")) & (F.col("o_orderkey") != F.col("k")) & (F.abs(F.col("o_orderkey") - F.col("k")) <= 200)).groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("near"))
+    p = o.select(F.col("o_orderkey").alias("k"), "o_custkey")
+    near = evaluation.band_join(o, p, ["o_custkey"], "o_orderkey", 200, "k").where(F.col("o_orderkey") != F.col("k"))
+    return near.groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("near"))
 
 
 @query("WITH a AS (SELECT lang AS metric, avg(n_chars) / 1000 AS v FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), b AS (SELECT lang AS metric, avg(n_chars) / 1000 AS v FROM documents WHERE doc_id % 2 = 1 GROUP BY lang) SELECT coalesce(a.metric, b.metric) AS metric, round(a.v, 6) AS now, round(b.v, 6) AS then, round(round(a.v, 6) - round(b.v, 6), 6) AS delta, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'missing' WHEN round(round(a.v, 6) - round(b.v, 6), 6) < -0.05 THEN 'regressed' WHEN round(round(a.v, 6) - round(b.v, 6), 6) > 0.05 THEN 'improved' ELSE 'stable' END AS status FROM a FULL JOIN b ON a.metric = b.metric")

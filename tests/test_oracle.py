@@ -22,4 +22,4 @@ def test_entry_and_registration(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).columns == ["query_id", "rank", "doc_id", "source", "bm25"]
+    assert e.entry(spark).columns == ["query_id", "rank", "doc_id", "source", "bm25", "cosine", "domain", "final"]

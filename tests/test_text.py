@@ -51,6 +51,15 @@ def test_front_pages(spark):
     assert front == "Copyright 1990\n\nPreface" and body == f"{long.strip()}\n\n{long.strip()}"
     assert tuple(one(spark, "Copyright\fISBN", text.split_front_pages(T))) == ("Copyright", "ISBN")
     assert tuple(one(spark, "no pages", text.split_front_pages(T))) == ("", "no pages")
+    assert one(spark, f"{long}\f이 책의 인쇄 장소", text.split_front_pages(T))[0] == "이 책의 인쇄 장소"
+
+
+def test_paged_leftovers(spark):
+    value = "\ue000fulfil-\nment of\nthe law.\nNext\nline\n  l \nT he m em bers\x01\u200bof 교회\n를 위한 \f page"
+    got = one(spark, value, text.postprocess_paged(T))
+    assert "fulfilmentofthe law.\n\nNext line" in got and "교회를 위한" in got and "\f" in got and "\ue000" not in got and "\x01" not in got
+    assert one(spark, "한글", text.nfc(T)) == "한글" and one(spark, None, text.nfc(T)) is None
+    assert [one(spark, 70.0, f(F.lit(s))) for s, f in ((70.0, quality.noise_level), (16.0, quality.noise_level), (61.0, quality.noise_label), (3.0, quality.noise_label))] == ["high", "low", "high", "good"]
 
 
 @pytest.mark.parametrize(
@@ -82,7 +91,14 @@ def test_references(spark):
     best = one(spark, "Mark 99:1, Romans 8:1-2 and Romans 8:5", references.evidence(references.references(T), F.lit("ROM")))
     assert best.score == 1.0 and best.ref.verse_start == 1
     assert one(spark, "no reference", references.evidence(references.references(T), F.lit("ROM"))) is None
-    assert one(spark, "1 Samuel and Luke", references.names_in(T)) == ["1SA", "LUK"]
+    assert one(spark, "1 Samuel and Luke, actually", references.names_in(T)) == ["LUK", "ACT"] and one(spark, "요한복음을 읽고", references.names_in(T)) == ["JHN"]
+    assert one(spark, "First Samuel and II Kings, 3John", references.numbered_books(T)) == ["1SA", "2KI", "3JN"]
+    both = one(spark, "Rom5:3 and John 3:16-17", references.question_references(T))
+    assert [tuple(r) for r in both] == [("JHN", 3, 16, 17), ("ROM", 5, 3, None), ("JHN", 3, 16, 17)]
+    parsed = one(spark, "Explain 1 Kings 8 and Romans 5:3 on mercy", references.parse(T))
+    assert parsed.intent == "exegesis" and parsed.books == ["ROM", "1KI"] and [tuple(r) for r in parsed.chapters] == [("1KI", 8)] and parsed.themes[0] == "mercy"
+    assert one(spark, "Genesis 2:1", references.evidence(references.references(T), F.lit("GEN"))).score == 0.4  # no limit is known for this book
+    assert one(spark, None, references.reference_text(F.lit("GEN"), F.lit(1), F.lit(0), F.lit(None).cast("int"))) == "GEN 1"
 
 
 def test_windows(spark):
