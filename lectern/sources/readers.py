@@ -8,10 +8,12 @@ library. Paged files need a parser of the user's own, a function bytes -> text.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,16 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.functions.text import front_matter, safe_stem, strip
+
 EXTENSIONS = ("pdf", "docx", "epub", "html", "htm", "rtf", "txt", "md")
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr")
 
 
 def scan_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = False, content: bool = False) -> DataFrame:
-    """``name, path, size, mtime, ext`` (and ``content``) of the files with one of the extensions."""
+    """``name, path, size, mtime, ext`` (and ``content``) of the files with one of the extensions, in order of their lower-cased names; contents come unsorted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), *(["content"] if content else []))
-    return rows.where(F.col("ext").isin(*extensions))
+    found = rows.where(F.col("ext").isin(*extensions))
+    return found if content else found.orderBy(F.lower("name"))  # contents are not shuffled for an order
 
 
 def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -83,12 +88,46 @@ def docx_text(raw: bytes) -> str:
 
 
 def epub_text(raw: bytes) -> str:
-    """The visible text of each page in the archive, by name."""
+    """The visible text of each page, in the order of the package's spine; pages that it does not name follow by name."""
     book = zipfile.ZipFile(io.BytesIO(raw))
-    pages = sorted(n for n in book.namelist() if n.lower().endswith((".xhtml", ".html", ".htm")))
+    names = book.namelist()
+    pages = sorted(n for n in names if n.lower().endswith((".xhtml", ".html", ".htm")))
+    package = next((n for n in sorted(names) if n.lower().endswith(".opf")), None)
+    if package is not None:
+        local = lambda e: e.tag.rsplit("}", 1)[-1]
+        every = list(ElementTree.fromstring(book.read(package)).iter())
+        folder = posixpath.dirname(package)
+        place = {e.get("id"): posixpath.normpath(posixpath.join(folder, unquote(e.get("href") or ""))) for e in every if local(e) == "item"}
+        spine = [place[e.get("idref")] for e in every if local(e) == "itemref" and place.get(e.get("idref")) in pages]
+        pages = list(dict.fromkeys(spine)) + [p for p in pages if p not in spine]
     return "\n\n".join(t for t in (html_text(book.read(n)) for n in pages) if t)
 
 
+def docx_properties(raw: bytes) -> tuple[str | None, str | None]:
+    """(title, author) that a text file in the zipped format declares."""
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    if "docProps/core.xml" not in book.namelist():
+        return None, None
+    found = {e.tag.rsplit("}", 1)[-1]: (e.text or "").strip() or None for e in ElementTree.fromstring(book.read("docProps/core.xml")).iter()}
+    return found.get("title"), found.get("creator")
+
+
+def embedded_metadata(files: DataFrame) -> DataFrame:
+    """``files`` (ext, content) with the ``title`` and ``author`` that they declare in place of the content; broken files have none."""
+
+    @F.pandas_udf("title string, author string")
+    def parse(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
+        out = []
+        for kind, raw in zip(ext, content):
+            try:
+                out.append(docx_properties(raw) if kind == "docx" and raw is not None else (None, None))
+            except Exception:  # a broken file declares nothing
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["title", "author"])
+
+    return files.withColumn("__p", parse("ext", "content")).select(*[c for c in files.columns if c != "content"], "__p.title", "__p.author")
+
+
 def rtf_text(raw: bytes) -> str:
     """Plain text of a rich-text file: groups of settings go, escapes become characters."""
     text = raw.decode("latin-1")
@@ -137,7 +176,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, chunk_index, chunk`` of text files whose chunks begin with a "[chunk N]" line."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = F.filter(F.transform(F.split("value", r"(?m)^\[chunk \d+\][ \t]*\n?"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
     return whole.select("path", F.posexplode(parts).alias("chunk_index", "chunk"))
 
@@ -150,3 +189,30 @@ def newest(spark: SparkSession, path: str, pattern: str = "*.json") -> str | Non
     """The latest file of a folder."""
     row = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).agg(F.max_by("path", "modificationTime").alias("p")).first()
     return row.p if row else None
+
+
+def read_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One row per JSON file that holds one object (chunk meta data, batch states, manifests)."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_processed(spark: SparkSession, path: str) -> DataFrame:
+    """``name`` of every file that a batch state (``{"processed": [...]}``) lists, each once."""
+    return read_object(spark, path, "processed array<string>").select(F.explode("processed").alias("name")).distinct()
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """``path, front, body`` of saved documents: the keys of their header, and the text without it."""
+    whole = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", front_matter("value").alias("front"), strip(F.regexp_replace("value", r"(?s)^---\n.*?\n---\n?", "")).alias("body"))
+
+
+def resolve_sources(saved: DataFrame, raw: DataFrame) -> DataFrame:
+    """Saved documents (name) with the file they were made from: the raw file (name, path) with the same safe stem."""
+    return saved.withColumn("stem", safe_stem(F.col("name"))).join(raw.select(safe_stem(F.col("name")).alias("stem"), F.col("path").alias("raw_path")), "stem", "left")
+
+
+def discover(spark: SparkSession, path: str, most: int = 10) -> DataFrame:
+    """The first ``most`` text files by name (a limit that is the feature's own)."""
+    return scan_directory(spark, path, ("txt", "md")).orderBy("name").limit(most)

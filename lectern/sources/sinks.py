@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +21,18 @@ def manifest(df: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def replace_table(df: DataFrame, root: str) -> str:
-    """Write ``df`` as a new version below ``root`` and add it to the version list; readers see whole versions only."""
+    """Write ``df`` as a new version below ``root`` and add it to the version list; readers see whole versions only.
+
+    Versions are ordered by the time they were finished and then by name, so that two writers cannot share a place.
+    """
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{root}/v-{version}")
-    n = versions(spark, root).count() if _exists(spark, root) else 0
-    spark.createDataFrame([(n, f"v-{version}")], "n long, version string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    spark.createDataFrame([(time.time_ns(), f"v-{version}")], "n long, version string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
+def _exists(spark: SparkSession, root: str, below: str = "/versions") -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}{below}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
@@ -38,18 +42,68 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 def read_table(spark: SparkSession, root: str) -> DataFrame:
     """The latest version of a table."""
-    row = versions(spark, root).agg(F.max_by("version", "n").alias("v")).first()
+    row = versions(spark, root).agg(F.max_by("version", F.struct("n", "version")).alias("v")).first()
     return spark.read.parquet(f"{root}/{row.v}")
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """One text row per document with a header of title, language and noise, a folder per stem."""
+def markdown(docs: DataFrame) -> DataFrame:
+    """``stem, value``: each document as text with a header of title, language and noise."""
     header = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), "title"), F.concat(F.lit("language: "), "language"), F.concat(F.lit("noise: "), F.col("noise").cast("string")), F.lit("---"), F.lit(""), "text")
-    docs.select("stem", header.alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    return docs.select("stem", header.alias("value"))
+
+
+def write_markdown(docs: DataFrame, path: str) -> None:
+    """The documents as a table of texts; not a file each, which no file system bears at scale."""
+    markdown(docs).write.mode("overwrite").parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").partitionBy("stem").json(path)
+    """Chunks (stem, chunk_index, chunk) as JSON lines, and beside them one line of meta data for each document."""
+    chunks.write.mode("overwrite").json(f"{path}/chunks")
+    meta = chunks.groupBy("stem").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("characters"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col("chunk").cast("binary"), 256))), ",").cast("binary"), 256).alias("digest"))
+    meta.write.mode("overwrite").json(f"{path}/meta")
+
+
+def chunk_markdown(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``doc, value``: a document's chunks (bounded by its length) under numbered headings."""
+    block = F.concat(F.lit("## Chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("\n\n"), "chunk")
+    return chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("chunk_index", block.alias("b")))).alias("x")).select(doc, F.array_join("x.b", "\n\n").alias("value"))
+
+
+def mark_processed(names: DataFrame, path: str) -> None:
+    """Add names to a list of processed files, each once."""
+    spark = names.sparkSession
+    new = names.select("name").distinct()
+    if _exists(spark, path, ""):
+        new = new.join(spark.read.schema("name string").json(path), "name", "left_anti")
+    new.write.mode("append").json(path)
+
+
+def write_report(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """A benchmark's rows as CSV with a header, and its summary (a few rows) as JSON."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/rows")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``name, size, sha256`` of every file below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def backup_table(df: DataFrame, path: str) -> bool:
+    """Copy a table and compare the copy's manifest with its own; True if nothing differs."""
+    df.write.mode("overwrite").parquet(path)
+    told = lambda x: x.select("rows", "digest_xor", "digest_sum").first()
+    key = df.columns[0]
+    return told(manifest(df, key)) == told(manifest(df.sparkSession.read.parquet(path), key))
+
+
+def fingerprint(tables: dict[str, DataFrame], settings: dict[str, str]) -> str:
+    """One digest of an evaluation's tables (order of rows apart) and settings."""
+    parts = [f"{name}={'-'.join(map(str, manifest(df, df.columns[0]).select('rows', 'digest_xor', 'digest_sum').first()))}" for name, df in sorted(tables.items())]
+    parts += [f"{k}={v}" for k, v in sorted(settings.items())]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
 def append(df: DataFrame, path: str) -> None:

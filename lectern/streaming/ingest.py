@@ -15,21 +15,27 @@ EVENTS = "event string, status string, delta int, note string, run_id string, ts
 def ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, schema: str = "name string, source string, text string") -> StreamingQuery:
     """Take in what is new below ``inbox`` (JSON lines) and stop; running it again changes nothing.
 
-    Each batch keeps the documents whose content the registry does not know and upserts
-    them; the checkpoint makes each file count once, the content hash each document.
+    Each batch adds the documents whose content is not known yet as a folder of its own, without rewriting what is
+    there; the checkpoint makes each file count once, the content hash each document.
     """
     stream = spark.readStream.schema(schema).json(inbox)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        docs = reg.identify(batch, "text", "source").dropDuplicates(["document_id"]).withColumn("batch", F.lit(batch_id))
-        if sinks._exists(spark, root):
-            known = sinks.read_table(spark, root)
-            docs = known.unionByName(docs.join(known.select("document_id"), "document_id", "left_anti"))
-        sinks.replace_table(docs, root)
+        docs = reg.identify(batch, "text", "source").dropDuplicates(["document_id"])
+        # a batch that runs again after a failure writes its own folder again
+        if sinks._exists(spark, root, ""):
+            known = documents(spark, root).where(F.col("batch") != batch_id).select("document_id")
+            docs = docs.join(known, "document_id", "left_anti")
+        docs.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """What has been taken in, with the ``batch`` that brought it; only columns that are used are read."""
+    return spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+
+
 def activity(events: DataFrame, gap: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """Active seconds per session of events (a gap over ``gap`` ends it), on a stream or a table.
 
