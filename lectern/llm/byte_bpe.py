@@ -13,7 +13,7 @@ a matrix; it takes the same merges from a heap of pairs in n log n instead.
 
 Defined results: null text counts as empty and has no ids; special tokens do not
 exist, their spelling is ordinary text. Added columns replace columns of their
-names; repeated rows give repeated results.
+names; repeated rows give repeated results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from lectern.llm.common import map_text
 MATRIX_WIDTH = 256
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, MATRIX_WIDTH)
 ROWS = 16_384
+#: Matches of at most ``MATRIX_WIDTH`` bytes that a worker keeps.
 CACHE = 150_000
 #: Characters of text whose matches are held at once.
 STEP = 500_000
@@ -106,6 +107,7 @@ class ByteBPE:
             spelled[rank] = token
         self.spelled, self.decimal = Gather(spelled), Gather(decimal)
         self.known: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -199,6 +201,7 @@ class ByteBPE:
                 by_width.setdefault(width, []).append((match, raw))
             else:
                 self.known[match] = self._heap(raw)
+                self.long.append(match)
         for width, found in by_width.items():
             for start in range(0, len(found), ROWS):
                 part = found[start : start + ROWS]
@@ -221,6 +224,8 @@ class ByteBPE:
             self.learn(fresh)
             find = self.known.__getitem__
             out += [np.frombuffer(b"".join(map(find, matches)), "<u4") for matches in split]
+            while self.long:  # of any length, so they stay for their split only; what is kept is bounded in bytes as well
+                self.known.pop(self.long.pop(), None)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
