@@ -222,6 +222,47 @@ def test_op5_held_out_ranking_and_odd_rows(spark, odd):
     assert quality.score_quality(odd.limit(0), model).count() == 0
 
 
+def test_op5_model_by_brute_force(spark):
+    """Standardisation, feature map, normal equations and isotonic means over all rows at once."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half")
+    rows = docs.join(known, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").select("text", "y", half).collect()
+    model = quality.train(docs, labels, F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    stats, y, half = np.array([quality.statistics(r.text) for r in rows]), np.array([r.y for r in rows]), np.array([r.half for r in rows])
+    mean, scale = stats.mean(0), stats.std(0)
+    scale[scale < 1e-9] = 1.0
+    np.testing.assert_allclose(model.mean, mean, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(model.scale, scale, rtol=1e-5)
+    z = np.clip((stats - mean) / scale, -6, 6)
+    phi = np.column_stack([np.sqrt(2 / len(model.phases)) * np.cos(sum(z[:, k] * w[k] for k in range(z.shape[1])) + b) for w, b in zip(model.frequencies.T, model.phases)] + [np.ones(len(z))])
+    ridge = lambda own: np.linalg.lstsq(np.vstack([phi[own], np.sqrt(quality.RIDGE) * np.eye(phi.shape[1])]), np.concatenate([y[own], np.zeros(phi.shape[1])]), rcond=None)[0]
+    np.testing.assert_allclose(phi @ model.weights, phi @ ridge(slice(None)), atol=1e-5)
+    raw = np.where(half == 0, phi @ ridge(half == 1), phi @ ridge(half == 0))
+    bins = np.floor(raw * quality.BINS).astype(int)
+    n, p = (np.array([f(bins == b) for b in np.unique(bins)], float) for f in (np.sum, lambda own: y[own].sum()))
+    # isotonic regression by its definition: the greatest over beginnings of the least over ends of the mean between
+    total, good = np.concatenate(([0], n.cumsum())), np.concatenate(([0], p.cumsum()))
+    fit = [max(min((good[k] - good[j]) / (total[k] - total[j]) for k in range(i + 1, len(total))) for j in range(i + 1)) for i in range(len(n))]
+    blocks = [np.flatnonzero(np.isclose(fit, v)) for v in sorted(set(np.round(fit, 9)))]
+    want = np.maximum.accumulate([(p[b].sum() + 0.5) / (n[b].sum() + 1) for b in blocks])
+    assert abs(len(model.levels) - len(want)) <= 2 and np.abs(np.interp(raw, model.knots, model.levels) - np.interp(raw, [raw[np.isin(bins, np.unique(bins)[b])].mean() for b in blocks], want)).max() < 0.02
+
+
+@pytest.mark.parametrize("labels", ["one of each", "contradicting", "repeated"])
+def test_op5_odd_labels(spark, labels):
+    docs = spark.createDataFrame([(k, "good words stand here. " * 9 if k % 2 else "@@ ## !! 99") for k in range(40)] + [(1, "good words stand here again.")] * 3, "doc_id long, text string")
+    rows = [(k, k % 2) for k in range(40)]
+    rows = {"one of each": rows[:2], "contradicting": rows + [(k, 1 - k % 2) for k in range(40)], "repeated": rows * 3}[labels]
+    model = quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"), F.lit(True))
+    got = quality.score_quality(docs, model).collect()
+    assert len(got) == 43 and all(0 <= r.score <= 1 for r in got)
+    if labels == "contradicting":
+        assert model == 0.5
+    if labels == "repeated":
+        assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_op5_isotonic_is_monotone():
     x, n = np.arange(50.0), np.full(50, 4.0)
     _, levels = quality.isotonic(x, n, np.random.default_rng(1).integers(0, 5, 50).astype(float))
