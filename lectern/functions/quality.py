@@ -114,8 +114,8 @@ def noise_level(score: Column) -> Column:
 
 
 def caps_density(c: Column) -> Column:
-    caps = F.size(F.filter(F.regexp_extract_all(c, F.lit(f"[{WORD}]+"), 0), lambda w: w.rlike("^[A-Z]{2,6}$")))
-    return share(caps, F.size(F.filter(F.split(c, f"[{WS}]+"), lambda x: x != "")))
+    """Words of two to six capitals against all words, each counted in one pass."""
+    return share(count(c, rf"(?<![{WORD}])[A-Z]{{2,6}}(?![{WORD}])"), count(c, f"[^{WS}]+"))
 
 
 def byline_block(c: Column) -> Column:

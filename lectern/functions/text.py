@@ -8,6 +8,7 @@ blanks are all Unicode white space. Null text gives null unless a function says
 from __future__ import annotations
 
 import string
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,6 +20,8 @@ from lectern import lexicon
 
 WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
+#: The same blanks one by one, for functions that take characters and no pattern.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c).startswith("Z"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,7 +35,7 @@ def count_chars(c: Column, chars: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalise_basic(c: Column) -> Column:
@@ -120,8 +123,9 @@ def short_hash(c: Column, digits: int = 8) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words; punctuation is deleted, not replaced ("well-known" is one token)."""
-    plain = F.translate(F.lower(F.coalesce(c, F.lit(""))), string.punctuation, "")
-    return F.filter(F.split(plain, f"[{WS}]+"), lambda t: t != "")
+    # one pass makes every blank the same and drops punctuation, so that the split needs no pattern
+    plain = F.translate(F.lower(F.coalesce(c, F.lit(""))), BLANKS + string.punctuation, " " * len(BLANKS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def words(c: Column) -> Column:
