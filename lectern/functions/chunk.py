@@ -267,6 +267,54 @@ def offsets_in(text: str, pieces: list[str], probe: int = 40, back: int = 50) ->
     return out
 
 
+def reflow_of(text: str | None) -> str | None:
+    """A text for reading: each block of lines as one sentence a line."""
+    if not text or not text.strip():
+        return text
+    blocks = [b for b in re.split(r"\n[ \t]*\n", text) if b.strip()]
+    return "\n\n".join("\n".join(sentences_of(b)) or b.strip() for b in blocks)
+
+
+# Where text is split, from the coarsest to single characters.
+SEPARATORS = ("\n\n", "\n", "다. ", "요. ", ". ", "! ", "? ", "\u05c3 ", "\u05c3", " ", "")
+
+
+def recursive_chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters: split at the coarsest separator that occurs, finer where a part is too long, small parts merged with ``overlap``."""
+
+    def split(value: str, finer: tuple[str, ...]) -> Iterator[str]:
+        at = next((k for k, x in enumerate(finer) if not x or x in value), len(finer) - 1)
+        mark, rest = finer[at], finer[at + 1 :]
+        # a separator stays at the beginning of what follows it
+        parts = list(value) if not mark else [p for k, x in enumerate(value.split(mark)) for p in ([mark + x] if k else [x]) if p]
+        together: list[str] = []
+        for part in parts:
+            if len(part) < size:
+                together.append(part)
+                continue
+            yield from merge(together)
+            together = []
+            if rest:
+                yield from split(part, rest)
+            else:
+                yield part
+        yield from merge(together)
+
+    def merge(parts: list[str]) -> Iterator[str]:
+        held, n = [], 0
+        for part in parts:
+            if held and n + len(part) > size:
+                yield "".join(held).strip()
+                while n > overlap or held and n + len(part) > size:
+                    n -= len(held.pop(0))
+            held.append(part)
+            n += len(part)
+        if held:
+            yield "".join(held).strip()
+
+    return [c for c in split(text or "", separators) if len(c) >= least]
+
+
 def token_batches(lengths: list[int], most: int = 1600) -> list[int]:
     """The batch of each text for a service that takes ``most`` estimated tokens (half the characters, one at least) at a time."""
     out, batch, held = [], 0, 0
@@ -293,6 +341,29 @@ def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(sentences_of)
 
 
+@F.pandas_udf(StringType())
+def reflow(texts: pd.Series) -> pd.Series:
+    return texts.map(reflow_of)
+
+
+def recursive_chunks(size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Callable[[Column], Column]:
+    return F.pandas_udf(lambda texts: texts.map(lambda t: recursive_chunks_of(t, size, overlap, least)), ArrayType(StringType()), F.PandasUDFType.SCALAR)
+
+
+# Size and overlap by source type, and the named strategies of comparisons.
+PRESETS = {
+    "pdf": (900, 120), "txt": (1000, 120), "md": (1200, 150), "docx": (1000, 120), "epub": (1000, 120), "html": (1000, 120), "htm": (1000, 120), "rtf": (1000, 100), "default": (1200, 200),
+}
+STRATEGIES = {"fixed_500": ("fixed", 500, 60), "fixed_1000": ("fixed", 1000, 120), "fixed_1500": ("fixed", 1500, 180), "semantic_1000": ("semantic", 1000, 120), "structure_based": ("structure", 1000, 120)}
+
+
+def chunks_by(strategy: str, c: Column, size: int = 1000, overlap: int = 120) -> Column:
+    """Chunks by the kind of strategy: fixed, semantic or structure; any other counts as fixed."""
+    if strategy == "semantic":
+        return sentence_chunks(c, size)
+    return structure_chunks(c, size, overlap) if strategy == "structure" else fixed_windows(c, size, overlap)
+
+
 def broken_sentence_ratio(sentences_column: Column) -> Column:
     """Share of sentences, but for the last, that end in a letter or digit without a full ending."""
     n = F.size(sentences_column)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicon
+from lectern.functions import chunk
 from lectern.functions.references import themes
+from lectern.operators import retrieval
 from lectern.operators.retrieval import top
 
 
@@ -77,6 +79,23 @@ def response(ranked: DataFrame, cited: DataFrame, summary: DataFrame, asked: Dat
     return rows.withColumns({c: F.coalesce(F.col(c), F.array()) for c in ("results", "citations", "themes")})
 
 
+def answer(docs: DataFrame, questions: DataFrame, k: int = 10, **options) -> DataFrame:
+    """The response package of every question, straight from documents: ranking, citations, themes. ``options`` go to ``rank_hybrid``."""
+    ranked = retrieval.rank_hybrid(docs, questions, k, **options)
+    return response(ranked, retrieval.citations(ranked, docs), theme_summary(ranked, docs), questions)
+
+
+def compare_chunking(docs: DataFrame, strategies: dict[str, tuple[str, int, int]] | None = None, text: str = "text") -> DataFrame:
+    """Per strategy: chunks, mean length, and the share of documents that give any."""
+    rows = None
+    for name, (kind, size, overlap) in (strategies or chunk.STRATEGIES).items():
+        own = docs.select(F.lit(name).alias("strategy"), chunk.chunks_by(kind, F.col(text), size, overlap).alias("chunks"))
+        rows = own if rows is None else rows.unionByName(own)
+    length = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c))
+    sums = rows.groupBy("strategy").agg(F.count("*").alias("docs"), F.sum(F.size("chunks")).alias("chunks"), F.sum(length).alias("characters"), F.count(F.when(F.size("chunks") > 0, 1)).alias("some"))
+    return sums.select("strategy", "docs", "chunks", F.when(F.col("chunks") > 0, F.round(F.col("characters") / F.col("chunks"), 2)).alias("mean_length"), F.round(F.col("some") / F.col("docs"), 6).alias("covered"))
+
+
 def shares(df: DataFrame, by: str) -> DataFrame:
     """``by, n, percent`` of all rows."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))

@@ -329,7 +329,7 @@ NOISE_C = NOISE_TXT.replace("coalesce(text, $$$$)", "chunk")
 @query(f"""WITH ch AS ({FIXED_OF("SELECT doc_id AS k, text FROM documents")}), n AS (SELECT *, list_distinct(list_filter(string_split_regex(chunk, '\\s+'), lambda x: x <> '')) AS ws FROM (SELECT k, chunk_index, c AS chunk, {S_BASIC('c')} AS c, {S_LINES(S_BASIC('c'))} AS ls FROM ch)),
 m AS (SELECT *, CASE WHEN length(c) > 0 THEN {S_COUNT('c', SYM)} / length(c) ELSE 0.0 END AS sym, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda l: length(l) <= 3)) / len(ls) ELSE 0.0 END AS short, lag(ws) OVER (PARTITION BY k ORDER BY chunk_index) AS last FROM n),
 f AS (SELECT k, chunk, {NOISE_C} AS noise, CASE WHEN last IS NULL OR len(list_distinct(list_concat(ws, last))) = 0 THEN 0.0 ELSE len(list_intersect(ws, last)) / len(list_distinct(list_concat(ws, last))) END AS dup FROM m)
-SELECT k AS doc_id, count(*) AS chunks, round(avg(noise), 4) AS avg_noise, max(noise) AS max_noise, round(avg(dup), 4) AS avg_overlap, round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) AS short_ratio, round(avg(noise), 4) <= 35 AND round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) <= 0.2 AS passed FROM f GROUP BY k""")
+SELECT k AS doc_id, count(*) AS chunks, round(avg(noise), 4) AS avg_noise, max(noise) AS max_noise, round(avg(dup), 4) AS avg_overlap, round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) AS short_ratio, max(noise) <= 18 AND round(avg(dup), 4) <= 0.3 AND round(avg(CASE WHEN length(trim(chunk)) < 80 THEN 1.0 ELSE 0.0 END), 4) <= 0.2 AS passed FROM f GROUP BY k""")
 def chunk_quality(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunk.fixed_windows(F.col("text"))).alias("chunk_index", "chunk"))
     return evaluation.chunk_quality(rows, quality.noise_score(F.col("chunk"), "txt"))

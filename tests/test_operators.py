@@ -240,6 +240,14 @@ def test_small_reports(spark):
     assert tuple(r[0] for r in frame(spark, [("x" * 3602,), ("x" * 3601,)], "t string").select(corpus.oversized(F.col("t"))).collect()) == (True, False)
 
 
+def test_answers_and_chunking_compared(spark):
+    docs = frame(spark, [(1, "grace and mercy abound here. " * 20, "s"), (2, "the law of kings. " * 30, "t"), (3, None, "u")], "doc_id long, text string, source string")
+    got = {r.query_id: r for r in reports.answer(docs, frame(spark, [(1, "mercy"), (2, "law")], "query_id long, question string"), 2).collect()}
+    assert [x.doc_id for x in got[1].results][0] in (1, 2) and len(got[1].citations) == len(got[1].results) and got[2].themes
+    rows = {r.strategy: r for r in reports.compare_chunking(docs).collect()}
+    assert len(rows) == 5 and rows["fixed_500"].chunks >= rows["fixed_1500"].chunks and rows["fixed_500"].covered == pytest.approx(2 / 3, abs=1e-6)
+
+
 def test_response_package(spark):
     ranked = frame(spark, [(1, 2, 11, 0.5), (1, 1, 10, 0.9)], "query_id long, rank int, doc_id long, final double")
     cited = frame(spark, [(1, 1, 10, "s", "text")], "query_id long, rank int, doc_id long, source string, excerpt string")

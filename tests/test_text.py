@@ -131,3 +131,14 @@ def test_paragraph_chunks():
     assert chunk.word_tail("one two three", 8) == "three" and chunk.word_tail("abcdefghij", 4) == ""
     assert chunk.paragraphs_of("a line\nwraps on\n\nnext") == ["a line wraps on", "next"]
     assert chunk.sentences_of("- first\n\n- second\n\nplain words\n\nend here.") == ["- first", "- second", "plain words end here."]
+
+
+def test_recursive_chunks_and_reflow(spark):
+    body = "\n\n".join(" ".join(f"word{k}{j}" for j in range(30)) + "." for k in range(8))
+    got = chunk.recursive_chunks_of(body, 300, 40, 20)
+    assert max(map(len, got)) <= 300 and all(w in " ".join(got) for w in body.split())
+    assert chunk.recursive_chunks_of("x" * 700, 300, 0, 20) == ["x" * 300, "x" * 300, "x" * 100] and chunk.recursive_chunks_of(None) == []
+    assert chunk.reflow_of("a line\nwraps here.\n\nnext") == "a line wraps here.\n\nnext" and chunk.reflow_of(" ") == " "
+    by = [one(spark, "One is here. " * 40, chunk.chunks_by(kind, T, 200, 20)) for kind in ("fixed", "semantic", "structure", "other")]
+    assert by[0] == by[2] == by[3] and by[0] != by[1] and all(len(c) <= 200 for c in by[0])
+    assert one(spark, body, F.size(chunk.recursive_chunks(300, 40, 20)(T))) == len(got) and one(spark, "a\nb", chunk.reflow(T)) == "a b"
