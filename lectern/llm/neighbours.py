@@ -51,7 +51,7 @@ MOST_ROUNDS, MOST_STEPS = 60, 200
 LEAST_CHANGE = 0.02
 RERANK = 64
 BEAM = 192
-OPEN = 32
+OPEN = 96
 #: The longest vectors that every query is scored against.
 LONG = 64
 #: Components are coded in units of the median length, and cut at this many.
