@@ -151,8 +151,8 @@ pair AS (SELECT query_id, doc_id, bm25 FROM lex UNION ALL SELECT query_id, doc_i
 seen AS (SELECT * FROM hundred UNION ALL SELECT * FROM bare),
 scored AS (SELECT pair.*, coalesce(cs.cosine, 0.0) AS cosine FROM pair LEFT JOIN (SELECT cs.* FROM cs JOIN seen USING (query_id, doc_id)) cs ON cs.query_id = pair.query_id AND cs.doc_id = pair.doc_id),{FEATURES},
 dom AS (
-  SELECT s.*, source, head, coalesce(p.confidence, 0.5) AS confidence, round(0.45 * CASE WHEN p.book_id IS NULL THEN 0.0 WHEN len(qb.score_refs) = 0 THEN CASE WHEN contains(upper(coalesce(source, '')), p.book_id) THEN 0.5 ELSE 0.1 END
-    ELSE least(coalesce(list_sum(list_transform(qb.score_refs, lambda r: CASE WHEN r.b = p.book_id AND r.c = coalesce(p.chapter, 1) THEN 0.8 WHEN r.b = p.book_id AND abs(r.c - coalesce(p.chapter, 1)) = 1 THEN 0.3 ELSE 0.0 END)), 0.0), 1.0) END
+  SELECT s.*, source, head, coalesce(p.confidence, 0.5) AS confidence, round(CAST(0.45 AS DOUBLE) * CAST(CASE WHEN p.book_id IS NULL THEN 0.0 WHEN len(qb.score_refs) = 0 THEN CASE WHEN contains(upper(coalesce(source, '')), p.book_id) THEN 0.5 ELSE 0.1 END
+    ELSE least(coalesce(list_sum(list_transform(qb.score_refs, lambda r: CASE WHEN r.b = p.book_id AND r.c = coalesce(p.chapter, 1) THEN 0.8 WHEN r.b = p.book_id AND abs(r.c - coalesce(p.chapter, 1)) = 1 THEN 0.3 ELSE 0.0 END)), 0.0), 1.0) END AS DOUBLE)
     + 0.35 * least(0.6 * CASE WHEN list_has_any(qth, dth) THEN 1.0 WHEN len(qth) + len(dth) > 0 THEN 0.5 ELSE 0.0 END
     + 0.4 * CASE WHEN len(qwords) > 0 AND len(dwords) > 0 THEN len(list_intersect(qwords, dwords)) / len(list_distinct(list_concat(qwords, dwords))) ELSE 0.0 END, 1.0) + 0.20 * usable, 4) AS domain
   FROM scored s JOIN fu USING (doc_id) JOIN qf USING (query_id) JOIN qb ON qb.query_id = s.query_id JOIN p ON p.doc_id = s.doc_id
