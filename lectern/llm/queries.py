@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, language, line_dedup, neighbours, packing, quality, simhash, tool_calls, transport_stream, url_reputation
+from lectern.llm import byte_bpe, impact_index, language, line_dedup, neighbours, packing, periodic_runs, quality, simhash, tool_calls, toxicity, transport_stream, url_reputation
 from lectern.llm.common import fold, read_table
 
 
@@ -171,6 +171,58 @@ SELECT doc_id, CAST(lines_total AS BIGINT) AS lines_total, CAST(lines_removed AS
 """
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where every tenth document, by a hash of its id, repeats its words with some period from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(periodic_runs.WORD), F.lit(0)))
+    # the words are a column of their own, so that the lambda below looks them up and does not split again
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    a = F.col("g") % F.col("n")
+    placed = rows.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, 1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8))))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    planted = F.array_join(F.transform("words", lambda w, i: F.get("words", source(i).cast("int"))), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), keep_text=False)
+    # the first of equal ratios stays: runs come by start, then period
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    found = found.withColumn("best", F.aggregate("runs", none, better))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+c AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d) GROUP BY rid, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+s AS (
+  SELECT q.item_id, p.rid, p.doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM p JOIN w ON w.term = p.term JOIN q ON q.term = p.term, c GROUP BY q.item_id, p.rid, p.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) <= 50
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels, ~held_out)
+    return toxicity.score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tool_call_linking": op1_tool_call_linking,
@@ -183,8 +235,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_url_reputation": op9_url_reputation,
         "op10_line_dedup": op10_line_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_impact_search": op12_impact_search,
+        "op13_toxicity": op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_call_linking": OP1_SQL, "op9_url_reputation": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_tool_call_linking": OP1_SQL, "op9_url_reputation": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_impact_search": OP12_SQL}
