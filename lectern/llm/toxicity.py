@@ -48,6 +48,8 @@ SMOOTHING = 1.0
 RIDGE = 1.0
 MAX_TRAIN = 20_000
 MOST_STEPS = 40
+#: Tasks that share the sample.
+PARTS = 6
 #: Texts are hashed in pieces of about so many characters, so that a task's memory does not grow with them.
 PIECE = 1_000_000
 #: Odd factors of the hash of n-grams and of its last mixing step.
@@ -133,12 +135,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(some, pa.int64()), pa.array(held[1, some]), pa.array(held[0, some])], ["bucket", "toxic", "clean"])
 
 
-def _sparse(place: np.ndarray) -> Callable:
-    """Rows ``text, label`` -> ``features, label``."""
+def _sparse(place) -> Callable:
+    """Rows ``text, label`` -> ``features, label``; ``place`` is a broadcast table of all buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, features = held_features(batch.column(0).to_pylist(), place)
+            rows, features = held_features(batch.column(0).to_pylist(), place.value)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(features.astype(np.int32))), batch.column(1)], ["features", "label"])
 
@@ -164,7 +166,7 @@ def _losses(scale: np.ndarray, weights: np.ndarray) -> Callable:
     return run
 
 
-def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = MOST_STEPS, memory: int = 8, enough: float = 1e-4) -> np.ndarray:
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = MOST_STEPS, memory: int = 8, enough: float = 1e-3) -> np.ndarray:
     """L-BFGS with a halving line search for a convex ``f`` (value and gradient)."""
     value, slope = f(x)
     first = np.linalg.norm(slope)
@@ -204,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, text: str = "tex
     rows = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), doc_id)
     once = rows.groupBy(doc_id).agg(F.min("text").alias("text"), F.first("__label").alias("label")).select("text", "label")
     # bounded by max_train; a few even partitions, so that as few sums are merged
-    once = once.repartition(8).persist()
+    once = once.repartition(PARTS).persist()
     try:
         n, toxic = once.agg(F.count("*"), F.sum("label")).first()
         if not n or toxic in (0, n):
@@ -222,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, text: str = "tex
         scale = np.log(a / a.sum()) - np.log(b / b.sum())
         place = np.full(BUCKETS, -1, np.int32)
         place[bucket] = np.arange(len(bucket))
-        sparse = once.mapInArrow(_sparse(place), "features array<int>, label int").persist()
+        sparse = once.mapInArrow(_sparse(docs.sparkSession.sparkContext.broadcast(place)), "features array<int>, label int").persist()
         try:
 
             def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
