@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern import lexicon
+from lectern.functions.names import books_claimed, books_of_question
 from lectern.functions.text import WORD, keywords, let
 
 REFERENCE = "struct<book_id:string,chapter:int,verse_start:int,verse_end:int>"
@@ -64,13 +65,35 @@ def passage_references(c: Column) -> Column:
 
 
 def chapter_references(c: Column, names: dict[str, str] | None = None) -> Column:
-    """Distinct "Book c" references that no verse follows, as ``struct<book_id, chapter>``."""
+    """Distinct references to chapters as ``struct<book_id, chapter, verse_start, verse_end>``: "Romans 8" that no verse follows, "롬 8장", "로마서 8장 28절".
+
+    Verse 0 means the chapter alone. English names are full ones; where a Korean name begins is not looked at.
+    """
     table = names or lexicon.NAME_TO_BOOK
-    alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
-    whole = rf"(?i)(?<![{WORD}])({alternatives})\s+(?:chapter\s+)?([0-9]{{1,3}})(?![0-9:])"
-    code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(whole), 0)
-    return F.array_distinct(F.transform(found, lambda m: F.struct(code[F.lower(F.regexp_extract(m, whole, 1))].alias("book_id"), F.regexp_extract(m, whole, 2).cast("int").alias("chapter"))))
+    longest = lambda found: "|".join(sorted(found, key=lambda n: (-len(n), n)))
+    english = rf"(?i)({longest(table)})\s+([0-9]{{1,3}})(?![:0-9])"
+    text = F.coalesce(c, F.lit(""))
+
+    def found(pattern: str, book: dict[str, str]) -> Column:
+        code = F.create_map(*[F.lit(x) for pair in book.items() for x in pair])
+        part = lambda m, k: F.regexp_extract(m, pattern, k)
+        verse = (lambda m: F.lit(None).cast("int")) if book is table else (lambda m: F.nullif(part(m, 3), F.lit("")).cast("int"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(code[F.regexp_replace(F.lower(part(m, 1)), r"\s+", " ")].alias("book_id"), part(m, 2).cast("int").alias("chapter"), F.coalesce(verse(m), F.lit(0)).alias("verse_start"), verse(m).alias("verse_end")))
+
+    # the published alternation takes the first listed name that fits; names before a number and 장 never fit at two lengths
+    chapter = r"([0-9]{1,3})\s*장\s*(?:절|[:：])?\s*([0-9]{1,3})?"
+    short, full = rf"({longest(lexicon.KOREAN_CHAPTER)})\s*{chapter}", rf"({longest(lexicon.KOREAN_FULL)})\s+{chapter}"
+    return F.array_distinct(F.concat(found(english, table), found(short, lexicon.KOREAN_CHAPTER), found(full, lexicon.KOREAN_FULL)))
+
+
+def asked_references(c: Column) -> Column:
+    """A question's references: those with verses, then chapters that none of those is of; of one book, chapter and first verse the first."""
+    verses, chapters = question_references(c), chapter_references(c)
+    place = lambda r: F.struct(r["book_id"].alias("b"), r["chapter"].alias("c"))
+    # a chapter is kept unless a reference before it, with verses or of the same chapter, is of its place
+    join = lambda kept, r: F.when(F.array_contains(F.transform(kept, place), place(r)), kept).otherwise(F.array_append(kept, r))
+    once = lambda kept, r: F.when(F.exists(kept, lambda x: (x["book_id"] == r["book_id"]) & (x["chapter"] == r["chapter"]) & (x["verse_start"] == r["verse_start"])), kept).otherwise(F.array_append(kept, r))
+    return F.aggregate(F.aggregate(chapters, verses, join), F.lit([]).cast(f"array<{REFERENCE}>"), once)
 
 
 def reference_text(book: Column, chapter: Column, start: Column, end: Column) -> Column:
@@ -80,37 +103,18 @@ def reference_text(book: Column, chapter: Column, start: Column, end: Column) ->
 
 
 def names_in(c: Column, names: dict[str, str] | None = None) -> Column:
-    """Codes of the books that a text names, longest names first, each once.
-
-    Numbers go first, so numbered books are found by ``numbered_books`` alone. A name begins where no letter stands
-    before it; its end is open, as particles attach to it. What a longer name covers no shorter one takes.
-    """
-    table = {n: b for n, b in (names or lexicon.ALIAS_TO_BOOK).items() if len(n) > 1}
-    ordered = sorted(table, key=lambda n: -len(n))
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[0-9]+장|[0-9]+\\s*:?\\s*[0-9]*", ""))
-    edge = r"(?<![\p{L}\p{N}])"
-    # an alternation in this order claims the longest name at each place; letters of a claimed name are not looked at again
-    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(f"{edge}({'|'.join(ordered)})"), 1))
-    code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    place = F.create_map(*[F.lit(x) for pair in zip(ordered, range(len(ordered))) for x in pair])
-    longest = F.array_sort(F.transform(found, lambda n: F.struct(place[n].alias("k"), n.alias("n"))))
-    return F.array_distinct(F.transform(longest, lambda x: code[x["n"]]))
+    """Codes of the books that a text names; see ``books_claimed``."""
+    return books_claimed(c, None if names is None else list(names.items()))
 
 
-def numbered_books(c: Column) -> Column:
-    """Codes of the numbered books that a text names ("1 Kings", "II Kings", "2Kings"), in canonical order."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    signs = {"1": "(?:1|i|first)", "2": "(?:2|ii|second)", "3": "(?:3|iii|third)"}
-    hits = [F.when(low.rlike(rf"(?<![{WORD}]){signs[name[0]]}\s*{name[2:].lower()}"), code) for code, name in lexicon.BOOKS.items() if name[0].isdigit()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+def asked_books(c: Column, refs: Column) -> Column:
+    """Books that a question asks for: those of its references with verses, those it names, numbered and Korean ones."""
+    return F.array_distinct(F.concat(F.transform(refs, lambda r: r["book_id"]), names_in(c), books_of_question(c)))
 
 
 def parse(c: Column) -> Column:
-    """``struct<intent, books, refs, chapters, themes, keywords>`` of a question."""
-    refs, chapters = question_references(c), chapter_references(c)
-    of = lambda rows: F.transform(rows, lambda r: r["book_id"])
-    books = F.array_distinct(F.concat(of(refs), names_in(c), numbered_books(c), of(chapters)))
-    return F.struct(intent(c).alias("intent"), books.alias("books"), refs.alias("refs"), chapters.alias("chapters"), themes(c).alias("themes"), keywords(c).alias("keywords"))
+    """``struct<intent, books, refs, themes, keywords>`` of a question."""
+    return F.struct(intent(c).alias("intent"), asked_books(c, question_references(c)).alias("books"), asked_references(c).alias("refs"), themes(c).alias("themes"), keywords(c).alias("keywords"))
 
 
 # What each sign of good evidence adds.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import quality, references
+from lectern.functions.names import longest_name
 from lectern.functions.text import chunk_id, nfc, strip
 from lectern.operators import structure
 
@@ -17,12 +18,7 @@ PIPELINE_STATES = ("NEW", "IDENTIFIED", "EXTRACTED", "PROCESSED", "TSU_READY", "
 
 def book_of_file(name: Column, names: dict[str, str] | None = None) -> Column:
     """The book that a file is named after: the longest name of at least two characters in it, null without one."""
-    table = {n: b for n, b in (names or lexicon.ALIAS_TO_BOOK).items() if len(n) > 1}
-    low = F.lower(nfc(name))
-    found = F.lit(None).cast("string")
-    for n in reversed(sorted(table, key=lambda n: -len(n))):
-        found = F.when(low.contains(n), table[n]).otherwise(found)
-    return found
+    return longest_name(F.lower(nfc(name)), None if names is None else list(names.items()))
 
 
 def document_type(name: Column) -> Column:

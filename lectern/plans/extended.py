@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions import quality, references, text
+from lectern.functions import names, quality, references, text
 from lectern.operators import corpus, evaluation, registry, reports, retrieval, structure
 from lectern.plans.queries import BM25, BM25_OF_Q, DIVERSE, HYBRID, IDENTIFIED, NOISE_FROM, NOISE_TXT, S_LINES, S_STRIP, S_THEMES, TFIDF, documents, query, questions, table
 
@@ -36,21 +36,53 @@ def placed_documents(spark, sf_dir) -> DataFrame:
 PLACED = f"p AS (SELECT doc_id, {sql_pick(CODES, 'doc_id')} AS book_id, CAST(doc_id % 20 + 1 AS INTEGER) AS chapter, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 10) / 10.0 END AS confidence FROM documents)"
 
 
+#: What questions begin with, by turns; the references that are in it, and those of them that a passage's reading finds. "c" is a chapter of 1 to 40, so that some fit no passage.
+KINDS = [
+    ("", [], []),
+    ("Concerning Romans {c}:3 ", [("ROM", "c", 3, None)], [("ROM", "c")]),
+    ("See Mk {c}:4-6, ", [("MRK", "c", 4, 6)], []),
+    ("요한복음 {c}장 16절은 ", [("JHN", "c", 16, 16)], []),
+    ("로마서 {c}장에서 ", [("ROM", "c", 0, None)], []),
+    ("First Corinthians and II Kings on ", [], []),
+    ("Mark {c} and Acts {c} on ", [("MRK", "c", 0, None), ("ACT", "c", 0, None)], []),
+    ("요3:16 ", [("JHN", 3, 16, None)], []),
+    ("필요한가 마가복음을 ", [], []),
+    ("고후 {c}장과 역대하의 ", [("2CO", "c", 0, None)], []),
+    ("Is 2 Cor {c}:1 or Acts {c}:2 ", [("ACT", "c", 2, None), ("2CO", "c", 1, None)], [("ACT", "c")]),
+]
+
+
 def placed_questions(spark, sf_dir) -> DataFrame:
-    """Every other question begins with a reference; chapters go up to 40, so that some fit no passage."""
+    """Questions that begin by turns with references and names of all kinds, as ``KINDS`` has them."""
     q = questions(spark, sf_dir)
     i = F.col("query_id")
-    about = F.concat(F.lit("Concerning "), pick(NAMES, i / 2), F.lit(" "), (i % 40 + 1).cast("string"), F.lit(":3 "), "question")
-    return q.withColumn("question", F.when(i % 2 == 0, about).otherwise(F.col("question")))
+    about = F.replace(pick([k for k, _, _ in KINDS], i), F.lit("{c}"), (i % 40 + 1).cast("string"))
+    return q.withColumn("question", F.concat(about, F.col("question")))
+
+
+def _sql_structs(rows: list[dict]) -> str:
+    return "[" + ", ".join("{" + ", ".join(f"'{k}': '{v}'" for k, v in r.items()) + "}" for r in rows) + "]"
+
+
+def _sql_refs(at: int) -> str:
+    """Per kind its references as a list of structs; all lists have one type."""
+    value = lambda x: "c" if x == "c" else "CAST(NULL AS INTEGER)" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS INTEGER)"
+    ref = lambda r: "{" + ", ".join(f"'{k}': {value(x) if k != 'b' else chr(39) + x + chr(39)}" for k, x in zip("bcvw", r)) + "}"
+    return "CASE query_id % " + str(len(KINDS)) + " " + " ".join(f"WHEN {k} THEN [{', '.join(map(ref, kind[at]))}]" for k, kind in enumerate(KINDS) if kind[at]) + " ELSE [] END"
 
 
-ALIASES = sorted((n for n in lexicon.ALIAS_TO_BOOK if len(n) > 1), key=lambda n: -len(n))
-ALIAS_MAP = "MAP {" + ", ".join(f"'{n}': '{lexicon.ALIAS_TO_BOOK[n]}'" for n in ALIASES) + "}"
-PLACED_Q = f"q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'Concerning ' || {sql_pick(NAMES, '(item_id // 2)')} || ' ' || (item_id % 40 + 1) || ':3 ' || text ELSE text END AS question FROM benchmark),"
-NAMED = f"list_distinct(list_transform(regexp_extract_all(trim(regexp_replace(lower(coalesce(question, '')), '[0-9]+장|[0-9]+\\s*:?\\s*[0-9]*', '', 'g')), '(?:^|[^\\p{{L}}\\p{{N}}])({'|'.join(ALIASES)})', 1), lambda n: {ALIAS_MAP}[n]))"
-# the full name is an alias too, so the question's reference counts twice; a passage's reading finds it once
-PLACED_QB = f"""qb AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN list_distinct(list_concat([b], n)) ELSE n END AS books, CASE WHEN query_id % 2 = 0 THEN [{{'b': b, 'c': c}}, {{'b': b, 'c': c}}] ELSE [] END AS refs, CASE WHEN query_id % 2 = 0 THEN [{{'b': b, 'c': c}}] ELSE [] END AS score_refs
-  FROM (SELECT query_id, {sql_pick(CODES, '(query_id // 2)')} AS b, CAST(query_id % 40 + 1 AS INTEGER) AS c, {NAMED} AS n FROM q))"""
+CLAIMS = sorted(dict.fromkeys(n for n, _ in lexicon.SPELLINGS if len(n) > 1), key=lambda n: -len(n))
+CLAIM_MAP = "MAP {" + ", ".join(f"'{n}': '{c}'" for n, c in {n: c for n, c in reversed(lexicon.SPELLINGS) if len(n) > 1}.items()) + "}"
+PLACED_Q = f"q AS (SELECT item_id AS query_id, replace({sql_pick([k for k, _, _ in KINDS], 'item_id')}, '{{c}}', CAST(item_id % 40 + 1 AS VARCHAR)) || text AS question FROM benchmark),"
+NAMED = f"list_distinct(list_transform(regexp_extract_all(trim(regexp_replace(low, '[0-9]+장|[0-9]+\\s*:?\\s*[0-9]*', '', 'g')), '(?:^|[^\\p{{L}}\\p{{N}}])({'|'.join(CLAIMS)})', 1), lambda n: {CLAIM_MAP}[n]))"
+BY_NUMBER = _sql_structs([{"c": c, "p": p.pattern} for p, c in names.NUMBERED])
+FULL_KOREAN = _sql_structs([{"c": c, "n": n} for n, c in lexicon.KOREAN_FULL.items()])
+SPELLED_KOREAN = _sql_structs([{"c": c, "n": n} for n, c in lexicon.ALIAS_TO_BOOK.items() if len(n) > 1 and n[0] >= "가"])
+ANYWHERE = _sql_structs([{"c": c, "n": n} for n, c in [*lexicon.NUMBERED_NAMES.items(), *lexicon.KOREAN_NUMBERED.items()]])
+PLACED_QB = f"""named AS (SELECT query_id, CAST(query_id % 40 + 1 AS INTEGER) AS c, low, {NAMED} AS claimed, list_transform(list_filter({BY_NUMBER}, lambda x: regexp_matches(low, x.p)), lambda x: x.c) AS numbered, list_transform(list_filter({FULL_KOREAN}, lambda x: contains(low, x.n)), lambda x: x.c) AS full_korean,
+  list_transform(list_filter({SPELLED_KOREAN}, lambda x: contains(low, x.n) AND (instr(low, x.n) = 1 OR NOT regexp_matches(low[instr(low, x.n) - 1], '[\\p{{L}}\\p{{N}}]'))), lambda x: x.c) AS korean, list_transform(list_filter({ANYWHERE}, lambda x: contains(low, x.n) AND length(x.n) >= CASE WHEN regexp_matches(low, '[가-힣]') THEN 6 ELSE 3 END), lambda x: x.c) AS anywhere
+  FROM (SELECT query_id, lower(coalesce(question, '')) AS low FROM q)),
+qb AS (SELECT query_id, refs, score_refs, list_distinct(list_concat(list_transform(refs, lambda r: r.b), claimed, numbered, full_korean, korean, anywhere)) AS books FROM (SELECT *, {_sql_refs(1)} AS refs, {_sql_refs(2)} AS score_refs FROM named))"""
 
 
 @query(f"WITH {PLACED_Q}{BM25_OF_Q},{TFIDF},{PLACED_QB},{PLACED},{HYBRID}")
@@ -66,7 +98,7 @@ def metadata_pool(spark, sf_dir):
     return pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query(f"WITH {PLACED_Q}{PLACED_QB} SELECT query_id, array_to_string(list_sort(books), ' ') AS books, coalesce(array_to_string(list_transform(refs, lambda r: r.b || ' ' || r.c || ':3'), ' '), '') AS refs FROM qb")
+@query(f"WITH {PLACED_Q}{PLACED_QB} SELECT query_id, array_to_string(list_sort(books), ' ') AS books, coalesce(array_to_string(list_transform(refs, lambda r: r.b || ' ' || r.c || CASE WHEN r.v > 0 THEN ':' || r.v || coalesce('-' || r.w, '') ELSE '' END), ' '), '') AS refs FROM qb")
 def parse_questions(spark, sf_dir):
     """Books and references that each question names."""
     rows = retrieval.asked_questions(placed_questions(spark, sf_dir))

@@ -84,7 +84,7 @@ def test_references(spark):
     refs = one(spark, "see Genesis 1:2-3 and 1 John 4:8, Prov 3:5", references.references(T))
     assert [tuple(r) for r in refs] == [("GEN", 1, 2, 3), ("1JN", 4, 8, None), ("PRO", 3, 5, None)]
     assert [r.book_id for r in one(spark, "2 John 1:5", references.passage_references(T))] == ["JHN"]
-    assert [tuple(r) for r in one(spark, "Romans 8, Romans chapter 8 and Mark 2:1", references.chapter_references(T))] == [("ROM", 8)]
+    assert [tuple(r) for r in one(spark, "Romans 8, Romans 8 and Mark 2:1", references.chapter_references(T))] == [("ROM", 8, 0, None)]
     assert one(spark, "Explain grace", references.intent(T)) == "exegesis"
     assert one(spark, "covenant", references.intent(T)) == "theological" and one(spark, "xyz", references.intent(T)) == "unknown"
     assert one(spark, "asking of mercy", references.themes(T)) == ["mercy", "kingdom"]
@@ -92,11 +92,11 @@ def test_references(spark):
     assert best.score == 1.0 and best.ref.verse_start == 1
     assert one(spark, "no reference", references.evidence(references.references(T), F.lit("ROM"))) is None
     assert one(spark, "1 Samuel and Luke, actually", references.names_in(T)) == ["LUK", "ACT"] and one(spark, "요한복음을 읽고", references.names_in(T)) == ["JHN"]
-    assert one(spark, "First Samuel and II Kings, 3John", references.numbered_books(T)) == ["1SA", "2KI", "3JN"]
+    assert one(spark, "First Samuel and Second Kings, 3John", references.books_of_question(T)) == ["3JN", "2KI", "1SA"]
     both = one(spark, "Rom5:3 and John 3:16-17", references.question_references(T))
     assert [tuple(r) for r in both] == [("JHN", 3, 16, 17), ("ROM", 5, 3, None), ("JHN", 3, 16, 17)]
     parsed = one(spark, "Explain 1 Kings 8 and Romans 5:3 on mercy", references.parse(T))
-    assert parsed.intent == "exegesis" and parsed.books == ["ROM", "1KI"] and [tuple(r) for r in parsed.chapters] == [("1KI", 8)] and parsed.themes[0] == "mercy"
+    assert parsed.intent == "exegesis" and parsed.books == ["ROM", "1KI"] and [tuple(r) for r in parsed.refs] == [("ROM", 5, 3, None), ("1KI", 8, 0, None)] and parsed.themes[0] == "mercy"
     assert one(spark, "Genesis 2:1", references.evidence(references.references(T), F.lit("GEN"))).score == 0.4  # no limit is known for this book
     assert one(spark, None, references.reference_text(F.lit("GEN"), F.lit(1), F.lit(0), F.lit(None).cast("int"))) == "GEN 1"
 
@@ -142,3 +142,63 @@ def test_recursive_chunks_and_reflow(spark):
     by = [one(spark, "One is here. " * 40, chunk.chunks_by(kind, T, 200, 20)) for kind in ("fixed", "semantic", "structure", "other")]
     assert by[0] == by[2] == by[3] and by[0] != by[1] and all(len(c) <= 200 for c in by[0])
     assert one(spark, body, F.size(chunk.recursive_chunks(300, 40, 20)(T))) == len(got) and one(spark, "a\nb", chunk.reflow(T)) == "a b"
+
+
+PARSED = {
+    "Mt 5:3": (["MAT"], [("MAT", 5, 3, None)]),
+    "Jn 3:16 and 1 Cor 13:4": (["JHN", "1CO"], [("JHN", 3, 16, None), ("1CO", 13, 4, None)]),
+    "Phil 4:13": (["PHP"], [("PHP", 4, 13, None)]),
+    "롬 8:28": (["ROM"], [("ROM", 8, 28, None)]),
+    "요3:16": (["JHN"], [("JHN", 3, 16, None)]),
+    "필요3:16": ([], []),
+    "누가복음 2장": (["LUK"], [("LUK", 2, 0, None)]),
+    "로마서 8장 28절": (["ROM"], [("ROM", 8, 28, 28)]),
+    "요한복음 3장 16절": (["JHN"], [("JHN", 3, 16, 16)]),
+    "롬 8장과 Romans 8": (["ROM"], [("ROM", 8, 0, None)]),
+    "Romans 8:28 and Romans 8": (["ROM"], [("ROM", 8, 28, None)]),
+    "마가복음은 무엇인가": (["MRK"], []),
+    "이것이 필요한가": ([], []),
+    "에스 라": (["EZR", "EST"], []),
+    "II Peter": (["1PE", "2PE"], []),
+    "1 King and 2 Corinthian": (["1KI", "2CO"], []),
+    "First Thessalonian": (["1TH"], []),
+    "데살로니가전서": (["1TH"], []),
+    "아가서": (["SOT"], []),
+    "romance of the market": (["MRK", "ROM"], []),
+    "Song of Solomon": (["SOL"], []),
+    "": ([], []),
+}
+
+
+def test_names_of_all_kinds(spark):
+    rows = spark.createDataFrame([(t,) for t in PARSED] + [(None,)], "t string").select("t", references.parse(F.col("t")).alias("p")).collect()
+    got = {r.t: (r.p.books, [tuple(x) for x in r.p.refs]) for r in rows}
+    assert got == PARSED | {None: ([], [])}
+
+
+def test_longest_claim_is_global():
+    from lectern.functions import names
+
+    find = names.finder((("a b", "SHORT"), ("b c d", "LONG"), ("c d", "INSIDE"), ("x", "X"), ("b c d", "LATER")))
+    assert find.claimed("a b c d") == ["LONG"] and find.claimed("a b cd x") == ["SHORT", "X"] and find.claimed("ax") == []
+    assert find.longest("zzab c dz") == "LONG" and find.longest("") is None and names.finder(()).claimed("a b") == []
+
+
+def test_names_by_brute_force():
+    import random
+
+    from lectern.functions import names
+
+    rng = random.Random(5)
+    for _ in range(300):
+        pairs = tuple((" ".join("".join(rng.choices("ab", k=rng.randrange(1, 3))) for _ in range(rng.randrange(1, 4))), f"c{k % 4}") for k in range(8))
+        text = " ".join("".join(rng.choices("ab", k=rng.randrange(1, 4))) for _ in range(12))
+        taken, found = set(), []
+        for name, code in sorted(dict(reversed(pairs)).items(), key=lambda p: (-len(p[0]), [n for n, _ in pairs].index(p[0]))):
+            for at in range(len(text)):
+                own = set(range(at, at + len(name)))
+                if text.startswith(name, at) and (at == 0 or text[at - 1] == " ") and not own & taken:
+                    taken |= own
+                    if code not in found:
+                        found.append(code)
+        assert names.finder(pairs).claimed(text) == found
