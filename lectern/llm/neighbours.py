@@ -1,28 +1,31 @@
 """Approximate nearest neighbours: an NN-descent graph built by joins, searched greedily.
 
-Nearness is the inner product. For the graph, vectors get one more component that
-lifts them all to the same length, so that it can be built on a symmetric measure
-whatever their lengths are; searches use the plain inner product. The ``LONG`` longest
-vectors stand outside: lifting all others to their length would hide what tells those
-apart. They are so few (a stated bound) that every query is scored against all of
-them, and those of them that are queries against all nodes.
+Nearness is the inner product. It favours long vectors, which hardly ever are near in
+direction to the rows that look for them; so vectors are put into bands of one doubling
+of length each, and a query searches every band that may hold one of its nearest. What a
+band of greatest length ``G`` can score is at most ``G`` times the query's length; bands below the
+query's ``k``-th score so far are left out, which loses nothing.
 
 1. Equal vectors become one node. Only the smallest ids of a node can be among the
    ``k`` nearest, so a node carries ``k + 1`` of them, whatever the size of its group.
-2. First neighbours come from a few orders of the nodes by random-hyperplane signs:
+2. First neighbours come from a few orders of each band's nodes by random-hyperplane signs:
    nodes that stand together in blocks of ``BLOCK`` are compared with each other.
-3. NN-descent rounds: each node gathers its neighbours and some of the nodes that
-   have it as a neighbour (a join by id brings their vectors, in 8 bits a component),
-   compares the ones that have not met, and offers each what beats its farthest
+3. NN-descent rounds, on the angle between vectors: each node gathers its neighbours and
+   some of the nodes that have it as a neighbour (a join by id brings their vectors, in 8 bits
+   a component), compares the ones that have not met, and offers each what beats its farthest
    neighbour; a ranking window keeps the ``degree`` nearest. Rounds end when fewer
-   than ``LEAST_CHANGE`` of all places changed.
-4. A query starts at its node's neighbours and goes on greedily: the nearest nodes
-   not yet opened are opened, their neighbours joined in and scored, until all of its
-   ``BEAM`` nearest have been opened. All queries take each step together, as one set of joins.
-5. The nearest ``RERANK`` nodes are scored again in double precision with the original vectors.
+   than ``LEAST_CHANGE`` of all places changed. Neighbours are of one band.
+4. In its own band a query starts at its node's neighbours. Into other bands' orders its vector is put
+   as a guest, and starts at what stands nearest there and at ``ENTRIES`` nodes of the band.
+   Then it goes on greedily by inner product: the nearest nodes not yet opened are opened,
+   their neighbours joined in and scored, until all of its ``BEAM`` nearest in the band have been
+   opened. All queries and bands take each step together, as one set of joins.
+5. A stated sample of queries is also answered exactly, in one pass. While less than
+   ``LEAST_RECALL`` of those answers are found, all beams are doubled and the search goes on.
+6. The nearest ``RERANK`` nodes of each band are scored again in double precision with the original vectors.
 
 Each round is written to the checkpoint folder; no link or score reaches the
-driver, which only sees counts, the mean vector, lengths and the ``LONG`` longest vectors.
+driver, which only sees counts, the bands, the mean direction and the sample's vectors.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite
 components take no part, nor do null ids or vectors with another length than the
@@ -52,10 +55,12 @@ LEAST_CHANGE = 0.02
 RERANK = 64
 BEAM = 192
 OPEN = 96
-#: The longest vectors that every query is scored against.
-LONG = 64
-#: Components are coded in units of the median length, and cut at this many.
-MOST_UNITS = 1e15
+#: Nodes of each band at which every search of it starts, besides those that stand near.
+ENTRIES = 32
+#: Queries that are answered exactly to measure the search, the share to be found, and how often beams are doubled for it.
+SAMPLE, LEAST_RECALL, MOST_WIDENED = 64, 0.92, 3
+#: What 8 bits a component may add to or take from a score, as a share of the lengths.
+ROUNDING = 0.02
 SALTS = 16
 PLANES = 32
 SEED = 7
@@ -90,81 +95,101 @@ def _flat(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), width)
 
 
-#: Bytes of a code beyond its components: their scale and the two parts of the lift.
-EXTRA = 12
+#: Bytes of a code beyond its components: their scale, and the length within the band.
+EXTRA = 8
 
 
-def _opened(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(components, h, c) of coded vectors; see ``_lifted``."""
+def _opened(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(directions of unit length, lengths as shares of the band's greatest) of coded vectors."""
     tail = np.ascontiguousarray(rows[:, -EXTRA:]).view("<f4")
-    return rows[:, :-EXTRA].astype(np.float32) * tail[:, :1], tail[:, 1], tail[:, 2]
+    return rows[:, :-EXTRA].astype(np.float32) * tail[:, :1], tail[:, 1:]
 
 
-def _lifted(x: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of lifted vectors, less the square of the common length.
-
-    With lift = G - c the product of two lifts is G^2 - G(c + c') + cc'; h = Gc is about half a vector's
-    squared length, so what is left has the size of the vectors' own products, however great G is.
-    """
-    return x @ x.T - h[:, None] - h[None, :] + c[:, None] * c[None, :]
-
-
-def _code(vectors: DataFrame, greatest: float, unit: float, centre: list[float]) -> DataFrame:
-    """``id, code, o0, o1, ...``: components in 8 bits with their own scale and the lift apart, and a sort key for each first order."""
+def _code(vectors: DataFrame, centre: list[float]) -> DataFrame:
+    """``id, band, log_length, direction`` -> ``id, band, code, o0, o1, ...``: components in 8 bits, and a sort key for each first order."""
     d = len(centre)
-    random = np.random.default_rng(SEED)
-    planes = random.normal(size=(ORDERS, PLANES, d)).astype(np.float32)
-    in_units = lambda v: np.clip(v / unit, -MOST_UNITS, MOST_UNITS)
-    middle, common = in_units(np.array(centre, float)).astype(np.float32), min(greatest / unit, MOST_UNITS * np.sqrt(d))
+    planes = np.random.default_rng(SEED).normal(size=(ORDERS, PLANES, d)).astype(np.float32)
+    middle = np.array(centre, np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            x = in_units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d))
-            squared = (x**2).sum(1)
-            c = squared / (common + np.sqrt(np.maximum(common**2 - squared, 0)))
-            scale = np.maximum(np.abs(x).max(1) / 127, 1e-30)
-            small = np.rint(x / scale[:, None]).astype(np.int8)
-            coded = np.hstack([small, np.stack([scale, common * c, c], 1).astype("<f4").view(np.int8)])
+            column = batch.column(3)
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
+            small = np.rint(x / np.abs(x).max(1)[:, None] * 127).astype(np.int8)
+            scale = 1 / np.sqrt((small.astype(np.float64) ** 2).sum(1))
+            share = np.exp2(batch.column(2).to_numpy() - batch.column(1).to_numpy() - 1)
+            coded = np.hstack([small, np.stack([scale, share], 1).astype("<f4").view(np.int8)])
             signs = (x.astype(np.float32) - middle) @ planes.reshape(-1, d).T > 0
             keys = signs.reshape(len(x), ORDERS, PLANES) @ (1 << np.arange(PLANES - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in coded], pa.binary())] + [pa.array(keys[:, o]) for o in range(ORDERS)], ["id", "code"] + [f"o{o}" for o in range(ORDERS)])
-
-    return vectors.select("id", "vec").mapInArrow(run, "id long, code binary, " + ", ".join(f"o{o} long" for o in range(ORDERS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in coded], pa.binary())] + [pa.array(keys[:, o]) for o in range(ORDERS)], ["id", "band", "code"] + [f"o{o}" for o in range(ORDERS)])
 
+    return vectors.select("id", "band", "log_length", "direction").mapInArrow(run, "id long, band int, code binary, " + ", ".join(f"o{o} long" for o in range(ORDERS)))
 
-def _block_neighbours(degree: int, width: int, block: int):
-    """Each node's nearest within blocks of consecutive rows."""
 
-    def compare(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch | None:
-        sim = _lifted(*_opened(rows))
-        np.fill_diagonal(sim, -np.inf)
-        most = min(degree, len(ids) - 1)
-        if most < 1:
-            return None
-        best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
-        return pa.record_batch([pa.array(np.repeat(ids, most)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(sim, best, 1).ravel())], ["u", "v", "sim"])
+def _in_blocks(width: int, block: int, compare):
+    """Rows ``id, band, guest, code`` -> what ``compare`` finds in blocks of consecutive rows; what is left at the end is never a short block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = np.empty(0, np.int64), np.empty((0, width), np.int8)
+        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty((0, width), np.int8)]
         for batch in batches:
-            ids = np.concatenate([ids, batch.column(0).to_numpy()])
-            rows = np.concatenate([rows, _flat(batch.column(1), width)])
-            while len(ids) >= 2 * block:  # what is left at the end is never a short block
-                if (out := compare(ids[:block], rows[:block])) is not None:
-                    yield out
-                ids, rows = ids[block:], rows[block:]
-        if len(ids) and (out := compare(ids, rows)) is not None:
-            yield out
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)] + [_flat(batch.column(3), width)]
+            held = [np.concatenate(p) for p in zip(held, new)]
+            while len(held[0]) >= 2 * block:
+                yield from compare(*[h[:block] for h in held])
+                held = [h[block:] for h in held]
+        if len(held[0]):
+            yield from compare(*held)
 
     return run
 
 
+def _first_neighbours(degree: int):
+    """Each node's nearest directions of its band among the nodes of a block."""
+
+    def compare(ids, bands, guest, rows) -> Iterator[pa.RecordBatch]:
+        x = _opened(rows)[0]
+        sim = x @ x.T
+        sim[bands[:, None] != bands[None, :]] = -np.inf
+        np.fill_diagonal(sim, -np.inf)
+        most = min(degree, len(ids) - 1)
+        if most > 0:
+            best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+            value = np.take_along_axis(sim, best, 1)
+            row, at = np.nonzero(value > -np.inf)
+            yield pa.record_batch([pa.array(ids[row]), pa.array(ids[best[row, at]]), pa.array(value[row, at])], ["u", "v", "sim"])
+
+    return compare
+
+
+def _near_guests(degree: int):
+    """Each guest's nearest nodes of its band, by inner product, in a block."""
+
+    def compare(ids, bands, guest, rows) -> Iterator[pa.RecordBatch]:
+        x, share = _opened(rows)
+        nodes, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
+        if len(nodes) and len(guests):
+            sim = x[guests] @ (x[nodes] * share[nodes]).T
+            sim[bands[guests][:, None] != bands[nodes][None, :]] = -np.inf
+            most = min(degree, len(nodes))
+            best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+            row, at = np.nonzero(np.take_along_axis(sim, best, 1) > -np.inf)
+            yield pa.record_batch([pa.array(ids[guests][row]), pa.array(bands[guests][row]), pa.array(ids[nodes][best[row, at]])], ["q", "band", "v"])
+
+    return compare
+
+
+def _placed(rows: DataFrame, order: int, block: int, size: int) -> DataFrame:
+    """``id, band, guest, code`` by band and sort key, with enough rows in each task for whole blocks."""
+    keys = ["band", f"o{order}", "id"]
+    return rows.select("guest", "code", *keys).repartitionByRange(min(10_000, max(1, size // (4 * block))), *keys).sortWithinPartitions(*keys).select("id", "band", "guest", "code")
+
+
 def _local_joins(width: int):
     """Rows ``center, member, fresh, floor, code`` sorted by centre -> pairs of members that beat the first one's ``floor``."""
 
     def pairs(member, fresh, floor, rows):
-        sim = _lifted(*_opened(rows))
+        x = _opened(rows)[0]
+        sim = x @ x.T
         good = (sim > floor[:, None]) & (fresh[:, None] | fresh[None, :]) & (member[:, None] != member[None, :])
         a, b = np.nonzero(good)
         return member[a], member[b], sim[a, b]
@@ -205,12 +230,11 @@ def _nearest(offers: DataFrame, degree: int) -> DataFrame:
 
 
 def neighbour_graph(codes: DataFrame, width: int, degree: int = DEGREE, reverse: int = REVERSE, block: int = BLOCK, rounds: int | None = None) -> DataFrame:
-    """``u, v, sim, fresh``: about the ``degree`` nearest nodes of every node, by NN-descent until it converges (or for ``rounds``)."""
-    offers = None
-    parts = min(10_000, max(1, codes.count() // (4 * block)))  # enough rows in each for whole blocks
+    """``u, v, sim, fresh``: about the ``degree`` nodes of every node's band that are nearest in direction, by NN-descent until it converges (or for ``rounds``)."""
+    offers, nodes = None, codes.withColumn("guest", F.lit(False))
+    number = codes.count()
     for o in range(ORDERS):
-        placed = codes.select("id", "code", f"o{o}").repartitionByRange(parts, f"o{o}", "id").sortWithinPartitions(f"o{o}", "id").select("id", "code")
-        found = placed.mapInArrow(_block_neighbours(degree, width, block), "u long, v long, sim float")
+        found = _placed(nodes, o, block, number).mapInArrow(_in_blocks(width, block, _first_neighbours(degree)), "u long, v long, sim float")
         offers = found if offers is None else offers.unionByName(found)
     graph = cut_lineage(_nearest(offers.withColumn("fresh", F.lit(1)), degree))
     size = graph.count()
@@ -232,49 +256,78 @@ def neighbour_graph(codes: DataFrame, width: int, degree: int = DEGREE, reverse:
 
 
 def _scores(width: int):
-    """Rows ``q, v, qcode, code`` -> inner products of the original components."""
+    """Rows ``q, band, v, qcode, code`` -> inner products, as shares of the query's length and the band's greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (_opened(_flat(batch.column(k), width))[0] for k in (2, 3))
-            sim = np.einsum("ij,ij->i", a, b)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim.astype(np.float32))], ["q", "v", "sim"])
+            a, (b, share) = _opened(_flat(batch.column(3), width))[0], _opened(_flat(batch.column(4), width))
+            sim = np.einsum("ij,ij->i", a, b) * share[:, 0]
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(sim.astype(np.float32))], ["q", "band", "v", "sim"])
 
     return run
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, starts: DataFrame, width: int, reverse: int = REVERSE, beam: int = BEAM, open_at_once: int = OPEN) -> DataFrame:
-    """``q, v, sim``: up to ``beam`` near nodes of each node ``q`` in ``starts`` (q), from its own place in the graph on."""
-    near = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), near.alias("r")).where(F.col("r") <= reverse).drop("r")
-    roads = cut_lineage(graph.select("u", "v").unionByName(back).distinct())
-    asked = cut_lineage(starts.join(codes.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "q"))
-    coded = codes.select(F.col("id").alias("v"), "code")
-
-    def score(pairs: DataFrame) -> DataFrame:
-        return pairs.join(coded, "v").join(asked, "q").select("q", "v", "qcode", "code").mapInArrow(_scores(width), "q long, v long, sim float").withColumn("opened", F.lit(0))
-
-    own = asked.select("q", F.col("q").alias("v"))
-    state = cut_lineage(score(own.unionByName(roads.withColumnRenamed("u", "q").join(asked.select("q"), "q", "left_semi")).distinct()))
-    state = state.withColumn("opened", F.when(F.col("q") == F.col("v"), 1).otherwise(0))
-    rank = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
-    for step in range(MOST_STEPS):
-        waiting = state.where("opened = 0").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= (DEGREE + REVERSE if not step else open_at_once)).select("q", "v")
-        chosen = cut_lineage(waiting)
-        if not chosen.limit(1).count():
-            break
-        reached = chosen.join(roads.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("q", F.col("w").alias("v")).distinct()
-        fresh = score(reached.join(state.select("q", "v"), ["q", "v"], "left_anti"))
-        marked = state.join(chosen.withColumn("now", F.lit(1)), ["q", "v"], "left").select("q", "v", "sim", F.greatest("opened", F.coalesce("now", F.lit(0))).alias("opened"))
-        every = marked.unionByName(fresh).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= beam).drop("r")
-        state = cut_lineage(every)
-    else:
+class Search:
+    """Greedy searches of all queries (q, band, code) in bands of a graph, step by step together."""
+
+    def __init__(self, graph: DataFrame, codes: DataFrame, asked: DataFrame, width: int, reverse: int = REVERSE) -> None:
+        near = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+        back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), near.alias("r")).where(F.col("r") <= reverse).drop("r")
+        self.roads = cut_lineage(graph.select("u", "v").unionByName(back).distinct())
+        self.codes, self.asked, self.width = codes, asked, width
+        self.coded = codes.select(F.col("id").alias("v"), "code")
+        self.asking = asked.select("q", F.col("code").alias("qcode"))
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.coded, "v").join(self.asking, "q").select("q", "band", "v", "qcode", "code").mapInArrow(_scores(self.width), "q long, band int, v long, sim float")
+
+    def own_starts(self) -> DataFrame:
+        """``q, band, v, sim, opened``: each query's node and that node's neighbours."""
+        own = self.asked.select("q", "band", F.col("q").alias("v"))
+        beside = self.roads.withColumnRenamed("u", "q").join(self.asked.select("q", "band"), "q").select("q", "band", "v")
+        return cut_lineage(self.score(own.unionByName(beside).distinct()).withColumn("opened", F.col("q") == F.col("v")))
+
+    def guest_starts(self, own: DataFrame, k: int, degree: int, block: int) -> DataFrame | None:
+        """Starts in the other bands that may hold one of a query's ``k`` nearest; None if there are none."""
+        bands = sorted(r.band for r in self.codes.select("band").distinct().collect())  # no more than a double has exponents
+        if len(bands) < 2:
+            return None
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))
+        floor = own.where(F.col("q") != F.col("v")).withColumn("r", rank).where(F.col("r") == k).select("q", F.col("sim").alias("floor"))
+        wanted = self.asked.join(floor, "q", "left").select("q", F.col("band").alias("home"), "floor", F.explode(F.array(*map(F.lit, bands))).alias("band"))
+        # in shares of a band's greatest length: floor * 2^home <= 2^band, with what rounding may change
+        reaches = F.col("floor").isNull() | (F.col("floor") <= ROUNDING) | (F.log2(F.col("floor") - ROUNDING) <= F.col("band") - F.col("home"))
+        wanted = cut_lineage(wanted.where((F.col("band") != F.col("home")) & reaches).select("q", "band"))
+        many = wanted.count()
+        if not many:
+            return None
+        keys = self.codes.select(F.col("id").alias("q"), *[f"o{o}" for o in range(ORDERS)])
+        guests = wanted.join(keys, "q").join(self.asking, "q").select(F.col("q").alias("id"), "band", F.lit(True).alias("guest"), F.col("qcode").alias("code"), *[f"o{o}" for o in range(ORDERS)])
+        rows = cut_lineage(self.codes.withColumn("guest", F.lit(False)).unionByName(guests))
+        fixed = self.codes.select("band", F.col("id").alias("v"), F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("id"), "id")).alias("r")).where(F.col("r") <= ENTRIES).drop("r")
+        found = wanted.join(F.broadcast(fixed), "band").select("q", "band", "v")  # as many rows as there are bands, times ENTRIES
+        size = rows.count()
+        for o in range(ORDERS):
+            found = found.unionByName(_placed(rows, o, block, size).mapInArrow(_in_blocks(self.width, block, _near_guests(degree)), "q long, band int, v long"))
+        return self.score(found.distinct()).withColumn("opened", F.lit(False))
+
+    def go_on(self, state: DataFrame, beam: int, open_at_once: int = OPEN) -> DataFrame:
+        """``state`` when all of the ``beam`` nearest of each query and band have been opened."""
+        best = Window.partitionBy("q", "band").orderBy(F.desc("sim"), "v")
+        waiting = Window.partitionBy("q", "band", "opened").orderBy(F.desc("sim"), "v")
+        for _ in range(MOST_STEPS):
+            marked = state.withColumn("now", ~F.col("opened") & (F.row_number().over(waiting) <= open_at_once))
+            reached = marked.where("now").join(self.roads.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("q", "band", F.col("w").alias("v")).distinct()
+            fresh = self.score(reached.join(state.select("q", "band", "v"), ["q", "band", "v"], "left_anti")).withColumn("opened", F.lit(False))
+            every = marked.select("q", "band", "v", "sim", (F.col("opened") | F.col("now")).alias("opened")).unionByName(fresh)
+            state = cut_lineage(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
+            if not state.where("NOT opened").limit(1).count():
+                return state
         raise RuntimeError("the search has not ended")
-    return state.select("q", "v", "sim")
 
 
-def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int, turned: bool):
-    """Rows ``id, vec`` against a few bounded vectors: each row's ``k`` nearest of those, or (turned) of each batch each one's ``k`` nearest."""
+def _exact(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """Rows ``id, vec`` -> of each batch the ``k`` nearest to each of a few bounded vectors, other than itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,18 +335,14 @@ def _best_of(ids: np.ndarray, matrix: np.ndarray, k: int, turned: bool):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), matrix.shape[1])
             with np.errstate(over="ignore", invalid="ignore"):
                 sim = np.nan_to_num(x @ matrix.T, nan=-np.inf)
-            if turned:
-                order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k].T
-                pairs = [np.repeat(ids, order.shape[1]), own[order].ravel()]
-            else:
-                order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-                pairs = [np.repeat(own, order.shape[1]), ids[order].ravel()]
-            yield pa.record_batch([pa.array(p) for p in pairs], ["q", "v"])
+            sim[own[:, None] == ids[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k]
+            yield pa.record_batch([pa.array(np.tile(ids, len(order))), pa.array(own[order].ravel()), pa.array(np.take_along_axis(sim, order, 0).ravel())], ["q", "v", "score"])
 
     return run
 
 
-def nearest(table: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, block: int = BLOCK) -> DataFrame:
+def nearest(table: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, block: int = BLOCK, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other rows of every row that meets ``query`` (a condition on ``id``)."""
     vectors = _vectors(table, vec_id, vector)
     belongs, members = _nodes(vectors, k)
@@ -303,31 +352,43 @@ def nearest(table: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id"
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = first.d
     # without squares that overflow: relative to the largest component
-    largest = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    own = vectors.join(members.select(F.col("node").alias("id")), "id", "left_semi").withColumn("most", largest)
-    own = cut_lineage(own.select("id", "vec", (F.col("most") * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x / F.col("most") * (x / F.col("most"))))).alias("length")))
-    long = own.orderBy(F.desc("length"), "id").limit(LONG).collect()
-    long_ids, longest = np.array([r.id for r in long], np.int64), np.array([r.vec for r in long], float).reshape(len(long), d)
-    rest = own.where(~F.col("id").isin(long_ids.tolist()))
+    most = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    own = vectors.join(members.select(F.col("node").alias("id")), "id", "left_semi").withColumn("most", most).withColumn("part", F.transform("vec", lambda x: x / F.col("most")))
+    own = own.withColumn("size", F.sqrt(F.aggregate("part", F.lit(0.0), lambda a, x: a + x * x))).withColumn("log_length", F.log2("most") + F.log2("size"))
+    own = cut_lineage(own.select("id", "vec", "log_length", F.floor("log_length").cast("int").alias("band"), F.transform("part", lambda x: x / F.col("size")).alias("direction")))
+    centre = own.agg(*[F.avg(F.col("direction")[i]) for i in range(d)]).first()
+    width = d + EXTRA
+    codes = cut_lineage(_code(own, list(centre)))
     asking = cut_lineage(belongs.where(query))
-    starts = cut_lineage(asking.select(F.col("node").alias("q")).distinct())
-    asked = starts.join(own.select(F.col("id").alias("q"), "vec"), "q").select(F.col("q").alias("id"), "vec")
-    top = asked.mapInArrow(_best_of(long_ids, longest, k + 1, False), "q long, v long")
-    greatest, unit, *centre = rest.agg(F.max("length"), F.percentile_approx("length", F.lit(0.5)), *[F.avg(F.col("vec")[i]) for i in range(d)]).first()
-    if greatest is not None:
-        width = d + EXTRA
-        codes = cut_lineage(_code(rest, greatest, max(unit, 1e-300), centre))
-        graph = neighbour_graph(codes, width, degree, block=block)
-        found = greedy_search(graph, codes, starts.where(~F.col("q").isin(long_ids.tolist())), width)
-        near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= RERANK).select("q", "v")
-        # the long ones among the queries, at most LONG, look at every node
-        scanned = rest.select("id", "vec").mapInArrow(_best_of(long_ids, longest, k + 1, True), "q long, v long").join(F.broadcast(starts.where(F.col("q").isin(long_ids.tolist()))), "q", "left_semi")
-        top = top.unionByName(near).unionByName(scanned)
+    asked = cut_lineage(codes.join(asking.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("q"), "band", "code"))
+    search = Search(neighbour_graph(codes, width, degree, block=block), codes, asked, width)
+    state = search.own_starts()
+    guests = search.guest_starts(state, k, degree, block)
+    state = search.go_on(state if guests is None else cut_lineage(state.unionByName(guests)), beam)
     exact = own.select(F.col("id").alias("v"), F.col("vec").alias("vvec"))
     dot = F.aggregate(F.zip_with("qvec", "vvec", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = top.join(exact, "v").join(own.select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "q").select("q", "v", dot.alias("score"))
+
+    def scored() -> DataFrame:
+        near = state.withColumn("r", F.row_number().over(Window.partitionBy("q", "band").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= RERANK).select("q", "v")
+        return cut_lineage(near.join(exact, "v").join(own.select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "q").select("q", "v", dot.alias("score")))
+
+    found = scored()
+    sample = asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE).select(F.col("q").alias("id")).join(own, "id").select("id", "vec").collect()
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+    if sample:
+        ids, matrix = np.array([r.id for r in sample], np.int64), np.array([r.vec for r in sample], float)
+        want = own.select("id", "vec").mapInArrow(_exact(ids, matrix, k), "q long, v long, score double")
+        want = cut_lineage(want.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).select("q", "v"))
+        many = want.count()
+        for _ in range(MOST_WIDENED):
+            got = found.where(F.col("q").isin(ids.tolist()) & (F.col("q") != F.col("v"))).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).join(want, ["q", "v"], "left_semi").count()
+            if got >= LEAST_RECALL * many:
+                break
+            beam *= 2
+            state = search.go_on(state, beam)
+            found = scored()
     # k + 1 ids per query node are enough: a query takes no place in its own list
-    listed = scored.join(members.withColumnRenamed("node", "v"), "v").select("q", "score", F.explode("ids").alias("vec_id"))
+    listed = found.join(members.withColumnRenamed("node", "v"), "v").select("q", "score", F.explode("ids").alias("vec_id"))
     listed = listed.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = cut_lineage(listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")))
     answered = asking.select(F.col("id").alias("query_id"), F.col("node").alias("q")).join(lists, "q")
