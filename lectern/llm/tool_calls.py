@@ -1,11 +1,19 @@
 """Tool-call linking: calls joined to results, ordered, validated and written as canonical JSON.
 
 Calls and results meet in an equi-join on (conversation, identifier). Calls that
-name other calls they depend on get a topological level. Calls with one dependency
-make up chains: pointer doubling along them finds the distance to the chain's head in
-a logarithmic number of joins. What is left are calls with several dependencies;
-rounds of joins settle those whose dependencies are all settled, so a round is spent
-only on each step from one such call to the next. What no round reaches depends on a
+name other calls they depend on get a topological level, the longest way to a call without
+dependencies. A dependency says ``level >= max(floor, level of the needed call + weight)``;
+such bounds compose and merge, so that rounds of joins can shrink the graph from everywhere at once:
+
+1. A dependency that two others in a row imply goes (call 5 needs 4 and 3, 4 needs 3), as
+   long as all three lead to earlier calls.
+2. Calls with one open dependency make up chains: pointer doubling composes the bounds
+   along them, in a logarithmic number of joins, and calls that need them are hung onto the chains' heads.
+3. Dependencies on one head merge into one. Those on calls with a known level become floors;
+   a call without open dependencies gets its level.
+
+Chains, ladders and diamonds are settled in a logarithmic number of joins whatever their
+length; every round settles a call at least. What no round reaches depends on a
 cycle. Every round is written to the checkpoint folder.
 
 Arguments are parsed once (``parse_json``), checked against a table of parameters by
@@ -47,55 +55,95 @@ def json_string(value: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, constraints on its columns included: those a table inherits double with each join to its own successors."""
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(name, before)
+
+
+KEYS = ["conv_id", "call_id"]
+
+
 def chain_heads(single: DataFrame) -> DataFrame:
-    """``conv_id, call_id, head, steps`` of calls that need exactly one other (``needs``): the first call on the way that is none of these.
+    """``conv_id, call_id, head, weight, floor`` of calls with one open dependency (needs, weight, floor): the bound by the first call on the way that has not one.
 
     Calls that lead into a circle of such calls have no head and no row. Each round doubles how far the pointers reach.
     """
-    keys = ["conv_id", "call_id"]
     known = single.select("conv_id", F.col("call_id").alias("needs"), F.lit(False).alias("done"))
-    state = cut_lineage(single.join(known, ["conv_id", "needs"], "left").select(*keys, F.col("needs").alias("head"), F.lit(1).cast("long").alias("steps"), F.coalesce("done", F.lit(True)).alias("done")))
+    state = written(single.join(known, ["conv_id", "needs"], "left").select(*KEYS, F.col("needs").alias("head"), "weight", "floor", F.coalesce("done", F.lit(True)).alias("done")))
     for _ in range(state.count().bit_length()):
         if not state.where(~F.col("done")).limit(1).count():
             break
-        ahead = state.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("done").alias("arrived"))
-        going = state.where(~F.col("done")).join(ahead, ["conv_id", "head"]).select(*keys, F.col("next").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.col("arrived").alias("done"))
-        state = cut_lineage(state.where("done").unionByName(going))
+        ahead = state.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("weight").alias("more"), F.col("floor").alias("below"), F.col("done").alias("arrived"))
+        going = state.where(~F.col("done")).join(ahead, ["conv_id", "head"])
+        going = going.select(*KEYS, F.col("next").alias("head"), (F.col("weight") + F.col("more")).alias("weight"), F.greatest("floor", F.col("weight") + F.col("below")).alias("floor"), F.col("arrived").alias("done"))
+        state = written(state.where("done").unionByName(going))
     return state.where("done").drop("done")
 
 
+def _merged(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(*KEYS, "needs").agg(F.max("weight").alias("weight"), F.max("floor").alias("floor"))
+
+
+def _without_implied(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """``edges`` less those whose bound two others in a row give; only among edges to calls that come earlier, where no circle can be lost."""
+    at = lambda name, to: order.select("conv_id", F.col("call_id").alias(name), F.col("at").alias(to))
+    back = edges.join(at("call_id", "from"), KEYS).join(at("needs", "to"), ["conv_id", "needs"]).where(F.col("from") > F.col("to"))
+    back = back.select(*KEYS, "needs", "weight", "floor")
+    second = back.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("end"), F.col("weight").alias("more"))
+    ways = back.join(second, ["conv_id", "needs"]).groupBy(*KEYS, F.col("end").alias("needs")).agg(F.max(F.col("weight") + F.col("more")).alias("around"))
+    implied = back.join(ways, [*KEYS, "needs"]).where(F.col("around") >= F.col("weight"))
+    # a call's floor stands on all of its edges, of which one at least stays
+    return edges.join(implied.select(*KEYS, "needs"), [*KEYS, "needs"], "left_anti")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: 0 without dependencies, else 1 + the highest level of those; -1 on or after a cycle.
 
-    ``edges`` (conv_id, call_id, needs) hold known calls only.
+    ``edges`` (conv_id, call_id, needs) hold known calls only; ``calls`` may have ``turn``, which tells what comes earlier.
     """
-    keys = ["conv_id", "call_id"]
-    every = cut_lineage(edges.distinct())
-    counted = cut_lineage(every.groupBy(*keys).agg(F.count("*").alias("n"), F.min("needs").alias("needs")))
-    heads = chain_heads(counted.where("n = 1").select(*keys, "needs"))
-    # a call with several dependencies waits for the heads of the chains they stand on; null for a chain without one
-    several = every.join(counted.where("n > 1").select(*keys), keys, "left_semi")
-    on_chain = counted.where("n = 1").select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("chained"))
-    place = heads.select("conv_id", F.col("call_id").alias("needs"), "head", "steps")
-    placed = several.join(on_chain, ["conv_id", "needs"], "left").join(place, ["conv_id", "needs"], "left")
-    waiting = cut_lineage(placed.select(*keys, F.when(F.col("chained"), F.col("head")).otherwise(F.col("needs")).alias("head"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("long").alias("from")))
-    frontier = cut_lineage(calls.select(*keys).join(counted.select(*keys), keys, "left_anti").withColumn("level", F.lit(0).cast("long")))
-    gathered = [frontier]
-    while waiting.limit(1).count():
-        met = waiting.join(frontier.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("now")), ["conv_id", "head"], "left")
-        marked = cut_lineage(met.select(*keys, "head", "steps", F.coalesce("from", F.col("now") + F.col("steps")).alias("from"), F.col("now").isNotNull().alias("new")))
-        ready = marked.groupBy(*keys).agg(F.count(F.when(F.col("from").isNull(), 1)).alias("open"), (F.max("from") + 1).alias("level")).where("open = 0").select(*keys, "level")
-        frontier = cut_lineage(ready)
-        waiting = cut_lineage(marked.drop("new").join(frontier.select(*keys), keys, "left_anti"))
-        if not marked.where("new").limit(1).count():
+    turn = F.col("turn") if "turn" in calls.columns else F.lit(0)
+    order = written(calls.select(*KEYS, F.struct(turn.cast("long").alias("t"), F.col("call_id").alias("c")).alias("at")))
+    left = written(edges.distinct().select(*KEYS, "needs", F.lit(1).cast("long").alias("weight"), F.lit(0).cast("long").alias("floor")))
+    known = written(order.select(*KEYS).join(left.select(*KEYS).distinct(), KEYS, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    settled, chains, size = [known], [], left.count()
+    while size:
+        # dependencies on calls with a level become floors
+        met = left.join(known.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"], "left")
+        met = met.select(*KEYS, F.when(F.col("level").isNull(), F.col("needs")).alias("needs"), "weight", F.coalesce(F.greatest("floor", F.col("level") + F.col("weight")), F.col("floor")).alias("floor"))
+        base = met.groupBy(*KEYS).agg(F.max("floor").alias("base"), F.count("needs").alias("open"))
+        open_edges = written(met.where(F.col("needs").isNotNull()).join(base, KEYS).select(*KEYS, "needs", "weight", F.col("base").alias("floor")))
+        known = written(base.where("open = 0").select(*KEYS, F.col("base").alias("level")))
+        settled.append(known)
+        fewer = written(_merged(_without_implied(open_edges, order)))
+        lone = fewer.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("needs").alias("needs"), F.first("weight").alias("weight"), F.first("floor").alias("floor")).where("n = 1").drop("n")
+        lone = written(lone)
+        heads = written(chain_heads(lone))
+        several = fewer.join(lone.select(*KEYS), KEYS, "left_anti")
+        on_chain = lone.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("chained"))
+        hung = several.join(on_chain, ["conv_id", "needs"], "left").join(heads.select("conv_id", F.col("call_id").alias("needs"), "head", F.col("weight").alias("more"), F.col("floor").alias("below")), ["conv_id", "needs"], "left")
+        # what needs a chain that ends in a circle stays open for ever, as that chain's calls do: it goes on needing it
+        hung = hung.select(*KEYS, F.coalesce("head", "needs").alias("needs"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"), F.greatest("floor", F.coalesce(F.col("weight") + F.col("below"), F.lit(0))).alias("floor"))
+        chains.append(heads)
+        settled_now, old = known.count(), size
+        left = written(_merged(hung))
+        size = left.count()
+        if not settled_now and size == old:
             break
-        gathered.append(frontier)
-        if len(gathered) == GATHERED:
-            gathered = [cut_lineage(reduce(DataFrame.unionByName, gathered))]
-    bases = reduce(DataFrame.unionByName, gathered)
-    settled = heads.join(bases.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base")), ["conv_id", "head"]).select(*keys, (F.col("base") + F.col("steps")).alias("level"))
-    found = cut_lineage(bases.unionByName(settled))
-    return found.unionByName(counted.select(*keys).join(found.select(*keys), keys, "left_anti").withColumn("level", F.lit(-1).cast("long")))
+        if len(settled) == GATHERED:
+            settled = [written(reduce(DataFrame.unionByName, settled))]
+        # a round looks at new levels only; heads of chains get theirs from all that is known
+        known = written(reduce(DataFrame.unionByName, settled).join(left.select("conv_id", F.col("needs").alias("call_id")).distinct(), KEYS, "left_semi")) if size else known
+    found = written(reduce(DataFrame.unionByName, settled))
+    for heads in reversed(chains):
+        more = heads.join(found.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base")), ["conv_id", "head"])
+        found = written(found.unionByName(more.select(*KEYS, F.greatest("floor", F.col("base") + F.col("weight")).alias("level"))))
+    return found.unionByName(order.select(*KEYS).join(found.select(*KEYS), KEYS, "left_anti").withColumn("level", F.lit(-1).cast("long")))
 
 
 #: What ``schema_of_variant`` calls the values of each type of parameter.

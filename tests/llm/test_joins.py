@@ -93,6 +93,37 @@ def test_op1_levels_by_brute_force(spark, seed):
     assert len(rows) == len(needs) and {r.call_id: r.level for r in rows} == plain_levels(needs)
 
 
+def ladder(n):
+    return {f"c{k}": {f"c{k - s}" for s in (1, 2) if k >= s} for k in range(n)}
+
+
+def diamonds(n):
+    return {"j0": set()} | {x: y for k in range(n) for x, y in ((f"a{k}", {f"j{k}"}), (f"b{k}", {f"j{k}"}), (f"j{k + 1}", {f"a{k}", f"b{k}", f"j{k}"}))}
+
+
+@pytest.mark.parametrize("needs, most", [(ladder(24), 40), (ladder(2_000), 55), (diamonds(400), 55), ({f"c{k}": {f"c{j}" for j in range(max(0, k - 5), k)} for k in range(300)}, 50)])
+def test_op1_ladders_in_few_rounds(spark, monkeypatch, needs, most):
+    """However long a ladder is, its levels take a logarithmic number of written tables."""
+    made = []
+    monkeypatch.setattr(tool_calls, "cut_lineage", lambda df, f=tool_calls.cut_lineage: made.append(1) or f(df))
+    calls = spark.createDataFrame([(1, k, c) for k, c in enumerate(needs)], "conv_id long, turn long, call_id string")
+    edges = spark.createDataFrame([(1, c, x) for c, xs in needs.items() for x in xs], "conv_id long, call_id string, needs string")
+    rows = tool_calls.levels(calls, edges).collect()
+    assert {r.call_id: r.level for r in rows} == plain_levels(needs) and len(rows) == len(needs)
+    assert len(made) <= most
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op1_any_graph_with_turns(spark, seed):
+    """Random graphs with circles, needs of later calls and of the call itself."""
+    rng = np.random.default_rng(seed)
+    needs = {(v, f"c{k}"): {f"c{int(x)}" for x in rng.integers(0, 14, rng.integers(0, 3))} if rng.random() < 0.3 else {f"c{int(x)}" for x in rng.integers(0, k, rng.integers(0, 4))} if k else set() for v in range(12) for k in range(14)}
+    calls = spark.createDataFrame([(v, k, c) for k, (v, c) in enumerate(needs)], "conv_id long, turn long, call_id string")
+    edges = spark.createDataFrame([(v, c, x) for (v, c), xs in needs.items() for x in xs], "conv_id long, call_id string, needs string")
+    want = {(v, c): n for v in range(12) for c, n in plain_levels({c: xs for (w, c), xs in needs.items() if w == v}).items()}
+    assert {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls, edges).collect()} == want
+
+
 def exact_top(table, k=20):
     out = {}
     for q in [i for i in table if i % 20 == 0]:
@@ -129,14 +160,14 @@ def found_lists(rows):
 
 
 def test_op6_descent_and_search_in_many_small_blocks(spark):
-    """20,000 vectors in blocks of 32: the first graph is poor, descent and search make it good, and long vectors change nothing."""
+    """10,000 vectors in blocks of 32: the first graph is poor, descent and search make it good, and long vectors change nothing."""
     rng = np.random.default_rng(4)
-    vectors = rng.normal(size=(20_000, 12)) + 2 * rng.normal(size=(40, 12))[rng.integers(0, 40, 20_000)]
+    vectors = rng.normal(size=(10_000, 12)) + 2 * rng.normal(size=(40, 12))[rng.integers(0, 40, 10_000)]
     vectors[[5, 77, 1000]] *= np.array([[10.0], [1_000.0], [1e150]])
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = found_lists(neighbours.nearest(table, F.col("id") % 100 == 0, block=32).collect())
-    assert len(got) == 200 and all(len(v) == 20 for v in got.values()) and recall(got, vectors) >= 0.9
-    own = vectors[np.arange(20_000) % 3 > 0]
+    assert len(got) == 100 and all(len(v) == 20 for v in got.values()) and recall(got, vectors) >= 0.9
+    own = vectors[np.arange(10_000) % 3 > 0]
     length = np.log2(np.linalg.norm(own / np.abs(own).max(1)[:, None], axis=1)) + np.log2(np.abs(own).max(1))
     rest = spark.createDataFrame([(k, int(np.floor(n)), float(n), (v / 2.0**n).tolist()) for k, (v, n) in enumerate(zip(own, length))], "id long, band int, log_length double, direction array<double>")
     codes = neighbours.cut_lineage(neighbours._code(rest, [0.0] * 12))
