@@ -52,6 +52,8 @@ MOST_STEPS = 40
 PARTS = 6
 #: Texts are hashed in pieces of about so many characters, so that a task's memory does not grow with them.
 PIECE = 1_000_000
+#: So many texts are counted at a time.
+LOT = 200
 #: Odd factors of the hash of n-grams and of its last mixing step.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -127,10 +129,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``text, label`` -> how many texts of each label hold each bucket."""
     held = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        label = batch.column(1).to_numpy().astype(bool)
-        rows, buckets = held_features(batch.column(0).to_pylist())
-        for k in (0, 1):
-            np.add.at(held[k], buckets[label[rows] == bool(k)], 1)
+        for at in range(0, batch.num_rows, LOT):
+            part = batch.slice(at, LOT)
+            label = part.column(1).to_numpy().astype(bool)
+            rows, buckets = held_features(part.column(0).to_pylist())
+            for k in (0, 1):
+                np.add.at(held[k], buckets[label[rows] == bool(k)], 1)
     some = np.flatnonzero(held.any(0))
     yield pa.record_batch([pa.array(some, pa.int64()), pa.array(held[1, some]), pa.array(held[0, some])], ["bucket", "toxic", "clean"])
 
