@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern import lexicon
 from lectern.functions import quality, references
-from lectern.functions.names import longest_name
+from lectern.functions.names import books_claimed, longest_name
 from lectern.functions.text import chunk_id, nfc, strip
 from lectern.operators import structure
 
@@ -75,6 +75,41 @@ def atx_paths(rows: DataFrame) -> DataFrame:
     return placed.groupBy("document_id", "chunk_index").agg(F.max_by(F.struct("path", "depth"), "at").alias("p")).select("document_id", "chunk_index", "p.path", "p.depth")
 
 
+# Patterns of book names in file names and titles, in the order in which they are tried.
+BOOK_RULES = [
+    (r"마태복음", "MAT"), (r"로마서", "ROM"), (r"고린도후서|고린도전", "2CO"), (r"1\s*kings?", "1KI"), (r"2\s*kings?", "2KI"), (r"1\s*chronicles?", "1CH"), (r"2\s*chronicles?", "2CH"), (r"1\s*peter", "1PE"), (r"2\s*peter", "2PE"),
+    (r"1\s*thessalonians?", "1TH"), (r"2\s*thessalonians?", "2TH"), (r"1\s*corinthians?|1\s*코린트", "1CO"), (r"2\s*corinthians?|2\s*코린트", "2CO"), (r"romans?", "ROM"), (r"mathew?|matthew?", "MAT"), (r"john|요한|יוחנן", "JHN"),
+]
+
+
+def book_by_rules(c: Column, rules: list[tuple[str, str]] = BOOK_RULES) -> Column:
+    """The book of the first rule whose pattern the lower-cased text shows, null without one."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.coalesce(*[F.when(low.rlike(pattern), code) for pattern, code in rules], F.lit(None).cast("string"))
+
+
+def repair_books(records: DataFrame, rules: list[tuple[str, str]] = BOOK_RULES, text: str = "content", head: int | None = None) -> DataFrame:
+    """``records`` (tsu_id, source_file, title, book_id and ``text``) with ``new_book``, ``decided_by`` and ``new_id``.
+
+    A file's book is that of the first rule its title and name show; else the one that most of its passages name first (by full or
+    longer names; of equally many the first in canonical order); else the one it had; else unknown. Votes are counted by file and book before files are
+    compared, so a file with a third of all passages is not gathered. ``head`` limits a vote to a passage's first characters.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    named = F.get(books_claimed(content if head is None else F.substring(content, 1, head)), 0)
+    place = F.create_map(*[F.lit(x) for pair in zip(lexicon.BOOKS, range(len(lexicon.BOOKS))) for x in pair])
+    votes = records.select("source_file", named.alias("voted")).where(F.col("voted").isNotNull()).groupBy("source_file", "voted").agg(F.count("*").alias("n"))
+    won = votes.groupBy("source_file").agg(F.min_by("voted", F.struct(-F.col("n"), place[F.col("voted")])).alias("voted"))
+    ruled = records.withColumn("__rule", book_by_rules(F.concat_ws(" ", "title", "source_file"), rules))
+    joined = ruled.alias("r").join(won.alias("w"), F.col("r.source_file") == F.col("w.source_file"), "left").select("r.*", F.col("w.voted").alias("__vote"))
+    kept = F.when(F.col("book_id") != UNKNOWN, F.col("book_id"))
+    joined = joined.withColumns({
+        "new_book": F.coalesce("__rule", "__vote", kept, F.lit(UNKNOWN)),
+        "decided_by": F.when(F.col("__rule").isNotNull(), "rule").when(F.col("__vote").isNotNull(), "vote").when(kept.isNotNull(), "record").otherwise("none"),
+    })
+    return joined.withColumn("new_id", rebuilt_id(F.col("tsu_id"), F.col("new_book"))).drop("__rule", "__vote")
+
+
 def rebuilt_id(tsu_id: Column, book: Column) -> Column:
     """A passage's identifier with another book."""
     return F.concat(F.lit("TSU-"), book, F.lit("-"), F.regexp_extract(tsu_id, "^TSU-[^-]*-(.*)$", 1))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import content_hash, document_id
+from lectern.operators.lineage import cut
 
 REGISTRY = (
     "document_id string, file_hash string, source_file string, ingest_status string, retry_count int, max_retries int, last_content_hash string, "
@@ -113,6 +114,69 @@ def chain(registry: DataFrame, start: str, most: int = 10_000) -> DataFrame:
     return every.join(registry.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("document_id"), (F.row_number().over(Window.orderBy("step")) - 1).alias("position"))
 
 
+def version_positions(registry: DataFrame) -> DataFrame:
+    """``document_id, chain, position`` of every version: the oldest version of its chain, and how many are older.
+
+    Pointers to older versions double their reach in each round, so the joins are logarithmic in the longest chain. A version that replaces one
+    the registry does not know is the oldest. Versions on a circle, or that replace one on it, have the position -1 and the
+    smallest id they lead to as their chain. Of rows that repeat an id the smallest pointer counts; null ids have no row.
+    """
+    once = registry.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.min("supersedes").alias("older"))
+    known = once.select(F.col("document_id").alias("older"), F.lit(True).alias("known"))
+    state = cut(once.join(known, "older", "left").select("document_id", F.when(F.col("known"), F.col("older")).otherwise(F.col("document_id")).alias("at"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("position"), F.col("known").isNull().alias("done"), F.when(F.col("known"), F.col("older")).otherwise(F.col("document_id")).alias("least")))
+    for _ in range(state.count().bit_length()):
+        if not state.where(~F.col("done")).limit(1).count():
+            break
+        ahead = state.select(F.col("document_id").alias("at"), F.col("at").alias("next"), F.col("position").alias("more"), F.col("done").alias("arrived"), F.col("least").alias("least_ahead"))
+        going = state.where(~F.col("done")).join(ahead, "at").select("document_id", F.col("next").alias("at"), (F.col("position") + F.col("more")).alias("position"), F.col("arrived").alias("done"), F.least("least", "least_ahead").alias("least"))
+        state = cut(state.where("done").unionByName(going))
+    return state.select("document_id", F.when(F.col("done"), F.col("at")).otherwise(F.col("least")).alias("chain"), F.when(F.col("done"), F.col("position")).otherwise(-1).alias("position"))
+
+
+def digests(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """``document_id, chunks, digest``: what a document's chunks are, in whatever order they come; a sum of their own digests, so that no document is gathered."""
+    part = F.conv(F.substring(F.sha2(F.concat_ws("\0", F.col("chunk_index").cast("string"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(part).cast("string").alias("digest"))
+
+
+#: States in which a document's chunks ought to be in the index.
+TO_INDEX = ("PROCESSED", "TSU_READY", "INDEXED")
+
+
+def reconcile(registry: DataFrame, wanted: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``document_id, action, before, after``: what makes the index agree with registry and chunks.
+
+    ``registry``: document_id, pipeline_state, superseded_by; ``wanted`` and ``indexed``: document_id, digest (see ``digests``). Actions:
+    ``insert``, ``replace``, ``delete`` (superseded, no longer registered, or without chunks; a tombstone with a null ``after``) and ``mark`` (the index is
+    right, the state is not INDEXED yet). Documents in other states stay as they are. What agrees has no row, so a second run gives none.
+    """
+    state = registry.where(F.col("document_id").isNotNull()).groupBy("document_id").agg(F.max(F.struct(F.col("superseded_by").isNotNull().alias("gone"), F.col("pipeline_state").alias("state"))).alias("r"))
+    every = state.join(indexed.select("document_id", F.col("digest").alias("before")), "document_id", "full").join(wanted.select("document_id", F.col("digest").alias("after")), "document_id", "left")
+    gone = F.col("r").isNull() | F.col("r.gone")
+    due = F.coalesce(F.col("r.state").isin(*TO_INDEX), F.lit(False))
+    action = (
+        F.when(gone, F.when(F.col("before").isNotNull(), "delete"))
+        .when(~due, None)
+        .when(F.col("after").isNull(), F.when(F.col("before").isNotNull(), "delete"))
+        .when(F.col("before").isNull(), "insert")
+        .when(F.col("before") != F.col("after"), "replace")
+        .when(F.col("r.state") != "INDEXED", "mark")
+    )
+    return every.withColumn("action", action).where(F.col("action").isNotNull()).select("document_id", "action", "before", F.when(F.col("action") != "delete", F.col("after")).alias("after"))
+
+
+def apply_actions(actions: DataFrame, registry: DataFrame, chunks: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, registry) after ``actions``: rows of changed documents replaced by their chunks, states set to INDEXED.
+
+    ``index`` has the columns of ``chunks``. Applying a log that has been applied before, whole or in part, gives the same.
+    """
+    changed = actions.where(F.col("action") != "mark").select("document_id")
+    new = chunks.join(actions.where(F.col("action").isin("insert", "replace")).select("document_id"), "document_id", "left_semi")
+    done = actions.where(F.col("action") != "delete").select("document_id").distinct().withColumn("__now", F.lit(True))
+    marked = registry.join(done, "document_id", "left").withColumn("pipeline_state", F.when(F.col("__now"), "INDEXED").otherwise(F.col("pipeline_state"))).drop("__now")
+    return index.join(changed, "document_id", "left_anti").unionByName(new.select(*index.columns)), marked
+
+
 def pending(registry: DataFrame, states: DataFrame) -> DataFrame:
     """Registered documents that are processed but not yet indexed (``states``: document_id, pipeline_state)."""
     return registry.join(states.where(F.col("pipeline_state") == "PROCESSED"), "document_id", "left_semi")
