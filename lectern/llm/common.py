@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_A_FILE, LEAST_FILES = 50_000, 8
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; a session on one machine without one gets a new folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="lectern-checkpoint-")
+
+
 def cut_lineage(df: DataFrame, rows: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
@@ -29,8 +38,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None, rows_a_file: int = ROWS_
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // rows_a_file)))).checkpoint(eager=True)
 
 

@@ -168,3 +168,17 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text: str
     Columns of those names in ``docs`` are replaced.
     """
     return map_text(docs, text, "lang_pred string, score double, margin double", _classifier(profiles, profile_size, orders), keep_text)
+
+
+#: A text whose score is under this share of what nearly all known texts reach is of no learned language.
+LEVEL_SHARE, LEVEL_QUANTILE = 0.7, 0.001
+
+
+def least_score(known: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", lang: str = "lang", profile_size: int = PROFILE_SIZE, orders: tuple[int, ...] = ORDERS) -> float:
+    """A level for ``score`` that texts of the learned languages practically never miss; 0 without any.
+
+    It is taken from all rows of ``known``, texts that have not been learned from, whose ``lang`` is the predicted one.
+    """
+    rows = known.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    right = predict_language(rows, profiles, "text", profile_size, orders, keep_text=False).where(F.col("lang") == F.col("lang_pred"))
+    return LEVEL_SHARE * (right.agg(F.percentile_approx("score", F.lit(LEVEL_QUANTILE), F.lit(10_000))).first()[0] or 0.0)
