@@ -313,8 +313,36 @@ def test_pipeline_by_hand(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept <= {r.doc_id for r in before.select("doc_id").collect()}
-        if name == "simhash_near_dedup":
+        if name == "near_duplicates":
             assert kept == plain_kept({r.doc_id: r.text for r in before.collect()})
         if name == "language_id":
             assert kept == {i for i, t in text.items() if any(c.isalpha() for c in t or "")}
     assert {r.doc_id for r in before.collect()} == kept and len(corpus_pipeline.STAGES) == 5
+
+
+def test_language_stage_rejects_what_is_no_language(spark):
+    """Letter junk and unknown scripts go, every clean document stays."""
+    from lectern.llm import language
+
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    junk = [" ".join("".join(rng.choice(list("qxzwkjvñß"), rng.integers(2, 9))) for _ in range(n)) for n in (5, 20, 80, 400) for _ in range(5)] + ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n)) for n in (30, 300, 3000)] + ["Ελληνικά κείμενα με πολλές λέξεις", "русский текст и много слов", "漢字かな交じり文"]
+    planted = spark.createDataFrame([(10_000_000 + k, t, None if k % 2 else "en", "junk", len(t)) for k, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    profiles = language.train_profiles(docs)
+    assert language.least_score(docs.limit(0), profiles) == 0.0 and language.least_score(docs, {}) == 0.0
+    scores = sorted(r.score for r in language.predict_language(docs, profiles).where("lang = lang_pred").collect())
+    assert language.LEVEL_SHARE * scores[0] <= language.least_score(docs, profiles) <= language.LEVEL_SHARE * scores[len(scores) // 100]
+
+
+def test_pipeline_leaves_its_last_table_only(spark):
+    from pathlib import Path
+
+    from lectern.llm.common import shared_folder
+
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.glob("pipeline-*"))
+    rows = corpus_pipeline.run(spark, SF)
+    (own,) = set(shared.glob("pipeline-*")) - before
+    assert [p.name for p in own.iterdir()] == ["4-best_fit_packing"] and rows.count() > 100
