@@ -35,6 +35,7 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
 
 CHUNKERS: dict[str, Chunker] = {
     "windows": windows,
+    "lines": lambda text, size, overlap: [x for x in text.split("\n") if x],
     "paragraph": lambda text, size, overlap: chunk.paragraph_chunks_of(text, size, overlap, 1),
     "recursive": lambda text, size, overlap: chunk.recursive_chunks_of(text, size, overlap, 1),
     "sentence": lambda text, size, overlap: [" ".join(g) for g in chunk.pack_units(chunk.sentences_of(text), size, overlap, " ")],

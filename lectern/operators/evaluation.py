@@ -203,7 +203,7 @@ def best_combination(results: DataFrame, keys: list[str], score: str, by: list[s
 
 def gold_questions(books: DataFrame, templates: DataFrame) -> DataFrame:
     """``id, question, book_id, intent, language``: every template (a stated handful) with every selected book, numbered in order of book, language and intent."""
-    rows = books.join(F.broadcast(templates))
+    rows = books.crossJoin(small(templates))
     before = Window.orderBy("book_id").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("book_id").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row for each book
     numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("book_id").orderBy("language", "intent", "template"))).join(counts, "book_id")

@@ -70,10 +70,8 @@ def capacity(rows: int) -> dict:
 def library_search(docs: DataFrame, needle: str, columns: list[str], kind: tuple[str, str] | None = None) -> DataFrame:
     """Documents with ``needle`` in any of the columns (without regard to case or composition), of one type if given."""
     hit, needle = F.lit(not needle), unicodedata.normalize("NFC", needle).lower()
-    # only a needle beyond Latin-1 can be composed in several ways
-    composed = nfc if any(ord(c) > 255 for c in needle) else lambda c: c
     for c in columns:
-        hit = hit | F.lower(composed(F.coalesce(F.col(c).cast("string"), F.lit("")))).contains(needle)
+        hit = hit | F.lower(nfc(F.coalesce(F.col(c).cast("string"), F.lit("")))).contains(needle)
     found = docs.where(hit)
     return found.where(F.col(kind[0]) == kind[1]) if kind else found
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicon
-from lectern.functions import chunk
+from lectern.functions import chunk, tables
 from lectern.functions.references import themes
 from lectern.operators import retrieval
 from lectern.operators.retrieval import top
@@ -51,10 +52,10 @@ def eligible(gold: DataFrame) -> DataFrame:
     return gold.where(F.col("question").isNotNull() & (F.col("question") != "") & F.col("book_id").isNotNull())
 
 
-def theme_summary(ranked: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+def theme_summary(ranked: DataFrame, docs: DataFrame, most: int = 3, themes_of: dict[str, list[str]] | None = None) -> DataFrame:
     """``query_id, themes``: the commonest themes of each question's first ``most`` results, the lexicon's order among equals."""
-    order = F.create_map(*[F.lit(x) for k, name in enumerate(lexicon.THEMES) for x in (name, k)])
-    first = ranked.where(F.col("rank") <= most).join(docs.select("doc_id", themes(F.col("text")).alias("__t")), "doc_id")
+    order = F.create_map(*[F.lit(x) for k, name in enumerate(themes_of or lexicon.THEMES) for x in (name, k)])
+    first = ranked.where(F.col("rank") <= most).join(docs.select("doc_id", themes(F.col("text"), themes_of).alias("__t")), "doc_id")
     # first seen: by the rank that shows a theme first, then by the lexicon
     shown = first.select("query_id", "rank", F.explode("__t").alias("theme")).groupBy("query_id", "theme").agg(F.count("*").alias("n"), F.min("rank").alias("at"))
     chosen = top(shown.withColumn("k", order[F.col("theme")]), most, ["query_id"], F.desc("n"), F.col("at"), F.col("k"), name="place")
@@ -96,6 +97,38 @@ def compare_chunking(docs: DataFrame, strategies: dict[str, tuple[str, int, int]
     return sums.select("strategy", "docs", "chunks", F.when(F.col("chunks") > 0, F.round(F.col("characters") / F.col("chunks"), 2)).alias("mean_length"), F.round(F.col("some") / F.col("docs"), 6).alias("covered"))
 
 
+MOST_CELLS = 1_000
+
+
+def strategy_grid(docs: DataFrame, grid: list[tuple[str, int, int]], by: str, text: str = "text", short: int = 80) -> DataFrame:
+    """``by, strategy, size, overlap, chunks, mean_length, short_ratio, best`` of every cell of a grid of chunk strategies (see ``tables.CHUNKERS``).
+
+    The grid's rows stand beside each document, which is read once for all of them. The best cell of each kind of document has the
+    smallest share of chunks under ``short`` characters, then the fewest chunks, then comes first by name, size and overlap. Null and
+    blank texts have no chunks; a kind without any chunk has no best cell. A grid has at most ``MOST_CELLS`` cells.
+    """
+    if len(set(grid)) > MOST_CELLS:
+        raise ValueError(f"a grid of more than {MOST_CELLS} cells")
+    chunkers = {name: tables.known(tables.CHUNKERS, name) for name, _, _ in grid}
+
+    @F.arrow_udf("struct<chunks: bigint, characters: bigint, short: bigint>")
+    def measured(texts: pa.Array, names: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
+        rows = []
+        for t, name, size, overlap in zip(*(c.to_pylist() for c in (texts, names, sizes, overlaps))):
+            lengths = [len(c) for c in chunkers[name](t, size, overlap)] if t and t.strip() else []
+            rows.append({"chunks": len(lengths), "characters": sum(lengths), "short": sum(n < short for n in lengths)})
+        return pa.array(rows, pa.struct([(n, pa.int64()) for n in ("chunks", "characters", "short")]))
+
+    cells = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(n).alias("size"), F.lit(o).alias("overlap")) for s, n, o in sorted(set(grid))])
+    beside = docs.select(F.col(by).alias(by), F.col(text).alias("__text"), F.explode(cells).alias("cell")).select(by, "__text", "cell.*")
+    sums = beside.select(by, "strategy", "size", "overlap", measured("__text", "strategy", "size", "overlap").alias("m")).groupBy(by, "strategy", "size", "overlap").agg(*[F.sum(f"m.{n}").alias(n) for n in ("chunks", "characters", "short")])
+    some = F.col("chunks") > 0
+    ratio = F.when(some, F.round(F.col("short") / F.col("chunks"), 6))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("short_ratio"), "chunks", "strategy", "size", "overlap"))
+    rows = sums.select(by, "strategy", "size", "overlap", "chunks", F.when(some, F.round(F.col("characters") / F.col("chunks"), 4)).alias("mean_length"), ratio.alias("short_ratio"))
+    return rows.withColumn("best", (place == 1) & F.col("short_ratio").isNotNull())
+
+
 def shares(df: DataFrame, by: str) -> DataFrame:
     """``by, n, percent`` of all rows."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))

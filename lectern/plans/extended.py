@@ -130,13 +130,13 @@ def best_evidence(spark, sf_dir):
 
 
 def spans(spark, sf_dir) -> DataFrame:
-    """Lines of documents as lines of pages: every seventh is larger, every fifth bold; documents with an even id have no larger ones."""
+    """Lines of documents as lines of pages, every other one cut after its eighth word: every seventh is larger, every fifth bold; documents with an even id have no larger ones."""
     rows = documents(spark, sf_dir).where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     at, even = F.col("at"), F.col("doc_id") % 2 == 0
-    return rows.select("doc_id", F.substring("text", 1, 70).alias("text"), F.when((at % 7 == 3) & ~even, 14.0).otherwise(10.0).alias("size"), (at % 5 == 1).alias("bold"), F.floor(at / 40).cast("int").alias("page"), (at % 3 == 0).alias("is_block_top"))
+    return rows.select("doc_id", F.when(at % 2 == 0, F.col("text")).otherwise(F.substring_index("text", " ", 8)).alias("text"), F.when((at % 7 == 3) & ~even, 14.0).otherwise(10.0).alias("size"), (at % 5 == 1).alias("bold"), F.floor(at / 40).cast("int").alias("page"), (at % 3 == 0).alias("is_block_top"))
 
 
-SPANS = """sp AS (SELECT doc_id, text[1:70] AS text, CASE WHEN pos % 7 = 3 AND doc_id % 2 = 1 THEN 14.0 ELSE 10.0 END AS size, pos % 5 = 1 AS bold, pos // 40 AS page, pos % 3 = 0 AS top
+SPANS = """sp AS (SELECT doc_id, CASE WHEN pos % 2 = 0 THEN text ELSE array_to_string(string_split(text, ' ')[1:8], ' ') END AS text, CASE WHEN pos % 7 = 3 AND doc_id % 2 = 1 THEN 14.0 ELSE 10.0 END AS size, pos % 5 = 1 AS bold, pos // 40 AS page, pos % 3 = 0 AS top
   FROM (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)) WHERE text <> ''),
 bs AS (SELECT doc_id, size, sum(length(text)) AS n, min(page) AS page FROM sp GROUP BY ALL), body AS (SELECT doc_id, size AS body FROM bs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page, size) = 1),
 ln AS (SELECT sp.*, body, CASE WHEN length(trim(text)) > 0 THEN len(regexp_extract_all(text, '[가-힣A-Za-z]')) / length({strip}) ELSE 0.0 END AS ratio FROM sp JOIN body USING (doc_id)),
@@ -293,12 +293,10 @@ def best_combinations(spark, sf_dir):
 
 TEMPLATES = [("exegesis", "en", "Explain {name}"), ("comparison", "en", "Compare {name} with others"), ("exegesis", "ko", "{name} 설명")]
 TEMPLATE_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TEMPLATES)
-BOOK_ROWS = ", ".join(f"('{b}', '{n}')" for b, n in lexicon.BOOKS.items())
-
-
-@query(f"SELECT printf('Q%05d', row_number() OVER (ORDER BY b, l, i, t)) AS id, replace(t, '{{name}}', n) AS question, b AS book_id, i AS intent, l AS language FROM (VALUES {BOOK_ROWS}) AS books(b, n) CROSS JOIN (VALUES {TEMPLATE_ROWS}) AS tm(i, l, t)")
+@query(f"SELECT printf('Q%05d', row_number() OVER (ORDER BY b, l, i, t)) AS id, replace(t, '{{name}}', n) AS question, b AS book_id, i AS intent, l AS language FROM (SELECT DISTINCT source || '-' || lang AS b, source AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) AS books CROSS JOIN (VALUES {TEMPLATE_ROWS}) AS tm(i, l, t)")
 def gold_questions(spark, sf_dir):
-    books = spark.createDataFrame(list(lexicon.BOOKS.items()), "book_id string, name string")
+    """Questions by templates on every source and language that documents come from, which take the books' place."""
+    books = documents(spark, sf_dir).select(F.concat(F.col("source"), F.lit("-"), F.col("lang")).alias("book_id"), F.col("source").alias("name")).where(F.col("book_id").isNotNull()).distinct()
     return evaluation.gold_questions(books, spark.createDataFrame(TEMPLATES, "intent string, language string, template string"))
 
 
@@ -307,10 +305,13 @@ def chapter_selection(spark, sf_dir):
     return reports.select_chapters(reports.chapter_density(placed_documents(spark, sf_dir)))
 
 
-@query(f"WITH g AS (SELECT item_id AS id, {sql_pick(CODES + ['XXX'], 'item_id')} AS b, CAST(item_id % 30 + 1 AS INTEGER) AS c, text[1:12] AS question FROM benchmark), f AS (SELECT *, min(id) OVER (PARTITION BY question) AS first, MAP {{{', '.join(f"'{b}': {n}" for b, n in lexicon.CHAPTERS.items())}}}[b] AS most FROM g) SELECT id, 'book' AS issue FROM f WHERE most IS NULL UNION ALL SELECT id, 'chapter' FROM f WHERE NOT coalesce(c <= most, false) UNION ALL SELECT id, 'duplicate' FROM f WHERE id <> first")
+@query(f"WITH g AS (SELECT item_id AS id, {sql_pick(CODES + ['XXX'], 'item_id')} AS b, CAST(item_id % 30 + 1 AS INTEGER) AS c, question FROM (SELECT item_id, text AS question FROM benchmark UNION ALL SELECT item_id + 1000000, text FROM benchmark WHERE item_id % 4 = 1)), f AS (SELECT *, min(id) OVER (PARTITION BY question) AS first, MAP {{{', '.join(f"'{b}': {n}" for b, n in lexicon.CHAPTERS.items())}}}[b] AS most FROM g) SELECT id, 'book' AS issue FROM f WHERE most IS NULL UNION ALL SELECT id, 'chapter' FROM f WHERE NOT coalesce(c <= most, false) UNION ALL SELECT id, 'duplicate' FROM f WHERE id <> first")
 def gold_issues(spark, sf_dir):
     i = F.col("item_id")
-    gold = table(spark, sf_dir, "benchmark").select(i.alias("id"), pick([*CODES, "XXX"], i).alias("book_id"), (i % 30 + 1).cast("int").alias("chapter"), F.substring("text", 1, 12).alias("question"))
+    """Whole questions; every fourth comes a second time."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = asked.unionByName(asked.where(i % 4 == 1).withColumn("item_id", i + 1_000_000))
+    gold = asked.select(i.alias("id"), pick([*CODES, "XXX"], i).alias("book_id"), (i % 30 + 1).cast("int").alias("chapter"), F.col("text").alias("question"))
     return reports.gold_issues(gold)
 
 
@@ -325,13 +326,31 @@ def evidence_completeness(spark, sf_dir):
     return reports.completeness(ranked, ["quality", "toxic"])
 
 
-THEME_ORDER = "MAP {" + ", ".join(f"'{n}': {k}" for k, n in enumerate(lexicon.THEMES)) + "}"
+#: Themes that the tables' own prose shows, word beginnings and word ends of its languages.
+OWN_THEMES = {"waters": ["ereth", "onea"], "roads": ["ingon", "nden"], "houses": ["ñas", "menter"], "fires": ["éré", "eaux"], "trees": ["ung", "heit"], "stones": ["thesh", "lybl"]}
+S_OWN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{'|'.join(w)}') THEN '{n}' END" for n, w in OWN_THEMES.items()) + "], lambda t: t IS NOT NULL)"
+THEME_ORDER = "MAP {" + ", ".join(f"'{n}': {k}" for k, n in enumerate(OWN_THEMES)) + "}"
 
 
-@query(f"WITH {BM25},{DIVERSE}, t AS (SELECT query_id, rank, unnest({S_THEMES('text')}) AS theme FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3), c AS (SELECT query_id, theme, count(*) AS n, min(rank) AS pos FROM t GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos, {THEME_ORDER}[theme]) AS place FROM c) SELECT query_id, string_agg(theme, ' ' ORDER BY place) AS themes FROM k WHERE place <= 3 GROUP BY query_id")
+@query(f"WITH {BM25},{DIVERSE}, t AS (SELECT query_id, rank, unnest({S_OWN}) AS theme FROM ranked JOIN documents USING (doc_id) WHERE rank <= 3), c AS (SELECT query_id, theme, count(*) AS n, min(rank) AS pos FROM t GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos, {THEME_ORDER}[theme]) AS place FROM c) SELECT query_id, string_agg(theme, ' ' ORDER BY place) AS themes FROM k WHERE place <= 3 GROUP BY query_id")
 def theme_summary(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return reports.theme_summary(retrieval.topk(docs, questions(spark, sf_dir)), docs).select("query_id", F.array_join("themes", " ").alias("themes"))
+    return reports.theme_summary(retrieval.topk(docs, questions(spark, sf_dir)), docs, themes_of=OWN_THEMES).select("query_id", F.array_join("themes", " ").alias("themes"))
+
+
+GRID = [(s, n, o) for s in ("windows", "lines") for n in (500, 1000, 1500) for o in (0, 120)]
+GRID_ROWS = ", ".join(f"('{s}', {n}, {o})" for s, n, o in GRID)
+
+
+@query(
+    f"""WITH g AS (SELECT * FROM (VALUES {GRID_ROWS}) AS g(strategy, size, overlap)), d AS (SELECT lang, text FROM documents WHERE trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+c AS (SELECT lang, strategy, size, overlap, unnest(CASE WHEN strategy = 'lines' THEN list_filter(string_split(text, chr(10)), lambda x: x <> '') ELSE list_transform(range(0, greatest(1, length(text) - overlap), size - overlap), lambda i: text[i + 1:i + size]) END) AS chunk FROM d, g),
+s AS (SELECT lang, strategy, size, overlap, count(*) AS chunks, round(avg(length(chunk)), 4) AS mean_length, round(count(*) FILTER (length(chunk) < 80) / count(*), 6) AS short_ratio FROM c GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY lang ORDER BY short_ratio, chunks, strategy, size, overlap) = 1 AS best FROM s"""
+)
+def strategy_grid(spark, sf_dir):
+    """Twelve chunk strategies on three axes over all documents, and the best for each language."""
+    return reports.strategy_grid(documents(spark, sf_dir), GRID, "lang")
 
 
 @query("SELECT lang, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM documents GROUP BY lang")

@@ -21,7 +21,9 @@ def ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, schema:
     stream = spark.readStream.schema(schema).json(inbox)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        docs = reg.identify(batch, "text", "source").dropDuplicates(["document_id"])
+        # of files with one content the first by name counts, whatever order they are read in
+        first = F.min_by(F.struct("*"), F.struct(*batch.columns)).alias("d")
+        docs = reg.identify(batch, "text", "source").groupBy(F.col("document_id").alias("__id")).agg(first).select("d.*")
         # a batch that runs again after a failure writes its own folder again
         if sinks._exists(spark, root, ""):
             known = documents(spark, root).where(F.col("batch") != batch_id).select("document_id")
