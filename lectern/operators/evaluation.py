@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import PARTS, in_ranges
 from lectern.operators.retrieval import small
 
 SHINGLE = 5
@@ -127,14 +128,22 @@ def band_join(left: DataFrame, right: DataFrame, by: list[str], at: str, width:
     return one.join(two, [*by, "__b"]).where(F.abs(F.col(at) - F.col(right_at)) <= width).drop("__b")
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, by: list[str], at: str = "at") -> DataFrame:
-    """``points`` with ``distance`` to the nearest target of their group: both streams merged and looked at in both directions."""
+def nearest_distance(points: DataFrame, targets: DataFrame, by: list[str], at: str = "at", parts: int = PARTS) -> DataFrame:
+    """``points`` with ``distance`` to the nearest target of their group: both streams merged and looked at in both directions.
+
+    Groups are cut into ranges of their order; the last target before a range and the first one behind it come from a row for each
+    group and range, so a group with most of the rows is spread over tasks.
+    """
     both = points.withColumn("__t", F.lit(None).cast("double")).unionByName(targets.select(*by, at, F.col(at).cast("double").alias("__t")), allowMissingColumns=True).withColumn("__p", F.col("__t").isNull())
-    line = Window.partitionBy(*by).orderBy(at, "__p")
-    before = F.last("__t", True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__t", True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.abs(F.col(at) - before), F.abs(after - F.col(at)))
-    return both.withColumn("distance", gap).where("__p").drop("__t", "__p")
+    both = in_ranges(both, F.col(at).cast("double"), parts)
+    line = Window.partitionBy(*by, "__range").orderBy(at, "__p")
+    ends = both.groupBy(*by, "__range").agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"))
+    order = Window.partitionBy(*by).orderBy("__range")
+    ends = ends.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__range").alias("__r"), F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__lower"), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__upper"))
+    own = both.withColumns({"__before": F.last("__t", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.first("__t", True).over(line.rowsBetween(0, Window.unboundedFollowing))}).where("__p")
+    joined = own.join(ends, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by] + [F.col("__range") == F.col("__r")])
+    gap = F.least(F.abs(F.col(at) - F.coalesce("__before", "__lower")), F.abs(F.coalesce("__after", "__upper") - F.col(at)))
+    return joined.withColumn("distance", gap).drop("__t", "__p", "__range", "__r", "__lower", "__upper", "__before", "__after", *[f"__of_{c}" for c in by])
 
 
 def boundary_delta(points: DataFrame, targets: DataFrame, by: list[str], at: str = "at", tolerance: float = 50) -> DataFrame:

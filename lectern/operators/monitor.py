@@ -9,40 +9,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import nfc
+from lectern.operators.ranges import PARTS, in_ranges
 
 ZONES = ((300_000, "GREEN"), (700_000, "YELLOW"))
 #: Memory of one row held by a single process, in KB, with and without the term index.
 ROW_KB = {"plain": 4.81, "indexed": 23.9}
 
 
-def throughput(events: DataFrame, done: Column, by: list[str] | None = None, ts: str = "ts", gap: float = 60.0) -> DataFrame:
+def throughput(events: DataFrame, done: Column, by: list[str] | None = None, ts: str = "ts", gap: float = 60.0, parts: int = PARTS) -> DataFrame:
     """Active seconds (gaps between events of at most ``gap``), finished items and items per second.
 
-    ``by`` splits the log; without it the log is one sequence, which Spark sorts by
-    time ranges: each range sums its own gaps, and the gap between ranges is added from their ends.
+    ``by`` splits the log; without it the log is one sequence. Either is cut into ranges of rows: each range sums its own
+    gaps, and the gap between two ranges comes from their ends, so that one busy hour or user is spread over tasks.
     """
-    if by:
-        line = Window.partitionBy(*by).orderBy(ts)
-        step = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(line))) / 1e6
-        rows = events.where(F.col(ts).isNotNull()).withColumns({"__gap": step, "__done": done})
-        groups = rows.groupBy(*by)
-    else:
-        # hours are sequences of their own; a gap over an hour's end is the next hour's first minus this one's last
-        hour = F.date_trunc("hour", ts)
-        line = Window.partitionBy("__h").orderBy(ts)
-        inner = events.where(F.col(ts).isNotNull()).withColumns({"__h": hour, "__done": done})
-        inner = inner.withColumn("__gap", (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(line))) / 1e6)
-        active = F.sum(F.when((F.col("__gap") > 0) & (F.col("__gap") <= gap), F.col("__gap")).otherwise(0.0))
-        hours = inner.groupBy("__h").agg(active.alias("a"), F.count(F.when(F.col("__done"), 1)).alias("d"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-        between = (F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(Window.orderBy("__h")))) / 1e6
-        hours = hours.withColumn("b", between)
-        total = hours.agg(F.coalesce(F.sum(F.col("a") + F.when((F.col("b") > 0) & (F.col("b") <= gap), F.col("b")).otherwise(0.0)), F.lit(0.0)).alias("active_s"), F.coalesce(F.sum("d"), F.lit(0)).alias("finished"))
-        return total.select(F.round("active_s", 3).alias("active_s"), "finished", F.when((F.col("active_s") > 0) & (F.col("finished") > 0), F.round(F.col("finished") / F.col("active_s"), 6)).alias("per_second"))
-    active = F.sum(F.when((F.col("__gap") > 0) & (F.col("__gap") <= gap), F.col("__gap")).otherwise(0.0))
-    out = groups.agg(active.alias("active_s"), F.count(F.when(F.col("__done"), 1)).alias("finished"))
+    by = by or []
+    at = F.unix_micros(ts) / 1e6
+    rows = in_ranges(events.where(F.col(ts).isNotNull()).withColumns({"__at": at, "__done": done}), F.col("__at"), parts)
+    short = lambda g: F.when((g > 0) & (g <= gap), g).otherwise(0.0)
+    own = rows.withColumn("__gap", F.col("__at") - F.lag("__at").over(Window.partitionBy(*by, "__range").orderBy("__at")))
+    sums = own.groupBy(*by, "__range").agg(F.sum(short(F.col("__gap"))).alias("a"), F.count(F.when(F.col("__done"), 1)).alias("d"), F.min("__at").alias("lo"), F.max("__at").alias("hi"))
+    # a row for each range of a group
+    across = sums.withColumn("b", F.col("lo") - F.lag("hi").over(Window.partitionBy(*by).orderBy("__range") if by else Window.orderBy("__range")))
+    out = (across.groupBy(*by) if by else across.groupBy()).agg(F.coalesce(F.sum(F.col("a") + F.coalesce(short(F.col("b")), F.lit(0.0))), F.lit(0.0)).alias("active_s"), F.coalesce(F.sum("d"), F.lit(0)).alias("finished"))
     return out.select(*by, F.round("active_s", 3).alias("active_s"), "finished", F.when((F.col("active_s") > 0) & (F.col("finished") > 0), F.round(F.col("finished") / F.col("active_s"), 6)).alias("per_second"))
 
 
+def progress(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``run_id, event, status, done, ts``: where each step of each run stands, by its latest event, merged into what was ``known``.
+
+    ``events``: run_id, event, status, delta, ts. ``done`` sums the deltas of all events and what was known before; of events at one
+    time the greatest (status, delta) counts. Applied once for each batch of events, as an upsert.
+    """
+    now = events.groupBy("run_id", "event").agg(F.max_by("status", F.struct("ts", "status", "delta")).alias("status"), F.coalesce(F.sum("delta"), F.lit(0)).alias("done"), F.max("ts").alias("ts"))
+    if known is None:
+        return now
+    both = now.unionByName(known.select("run_id", "event", "status", "done", "ts"))
+    return both.groupBy("run_id", "event").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.sum("done").alias("done"), F.max("ts").alias("ts"))
+
+
 def event_counts(events: DataFrame, name: str = "event", status: str = "status", prefix: str = "") -> DataFrame:
     """Events and finished ones by name, of those whose name begins with ``prefix``."""
     return events.where(F.col(name).startswith(prefix)).groupBy(name).agg(F.count("*").alias("n"), F.count(F.when(F.col(status) == "DONE", 1)).alias("done"))
