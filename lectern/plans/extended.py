@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern import lexicon
 from lectern.functions import names, quality, references, text
 from lectern.operators import corpus, evaluation, registry, reports, retrieval, structure
-from lectern.plans.queries import BM25, BM25_OF_Q, DIVERSE, HYBRID, IDENTIFIED, NOISE_FROM, NOISE_TXT, S_LINES, S_STRIP, S_THEMES, TFIDF, documents, query, questions, table
+from lectern.plans.queries import BM25, BM25_OF_Q, DIVERSE, HYBRID, IDENTIFIED, NOISE_FROM, NOISE_TXT, NOISE_TYPE, S_BASIC, S_COUNT, S_LINES, S_STRIP, SYM, TFIDF, documents, query, questions, table
 
 CODES = list(lexicon.CHAPTERS)
 NAMES = [lexicon.BOOKS[c] for c in CODES]
@@ -118,9 +118,12 @@ s AS (SELECT doc_id, own, other, ch, round(CASE WHEN ch <= MAP {{{', '.join(f"'{
 SELECT doc_id, CASE WHEN mine > theirs THEN mine ELSE theirs END AS score, CASE WHEN mine > theirs THEN own || ' ' || ch || ':4' || CASE WHEN doc_id % 3 = 0 THEN '-6' ELSE '' END ELSE other || ' 99:1' END AS ref FROM s"""
 )
 def best_evidence(spark, sf_dir):
-    """The reference with most evidence in passages that cite two places; every fifth passage's file is of the first one's book."""
+    """The reference with most evidence in whole texts that cite two places in their middle; every fifth passage's file is of the first one's book."""
     i = F.col("doc_id")
-    rows = documents(spark, sf_dir).select("doc_id", cited_text(i).alias("t"), F.when(i % 5 == 0, pick(CODES, i)).alias("book"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    body = lambda begin, n: F.coalesce(F.substring("text", begin, n), F.lit(""))
+    t = F.concat(body(F.lit(1), half), F.lit(" "), cited_text(i), F.lit(" "), body(half + 1, F.length("text")))
+    rows = documents(spark, sf_dir).select("doc_id", t.alias("t"), F.when(i % 5 == 0, pick(CODES, i)).alias("book"))
     best = rows.select("doc_id", references.evidence(references.question_references(F.col("t")), F.col("book")).alias("e"))
     r = F.col("e.ref")
     return best.select("doc_id", "e.score", references.reference_text(r["book_id"], r["chapter"], r["verse_start"], r["verse_end"]).alias("ref"))
@@ -213,34 +216,65 @@ def front_matter(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", m["title"].alias("title"), F.nullif(m["source"], F.lit("")).alias("source"), m["known"].isNotNull().alias("known"))
 
 
-@query(f"SELECT doc_id, 'Copyright ' || doc_id || chr(10) || chr(10) || '책 인쇄 소' AS front, md5({S_STRIP('body')}) AS body FROM (SELECT doc_id, repeat('Prose of a body page goes on. ', 20) || doc_id AS body FROM documents)")
+# without look-around, which the checking engine lacks
+FRONT_WORDS = text.FRONT_WORDS.replace(f"(?<![{text.WORD}])", f"(^|[^{text.WORD}])").replace(f"(?![{text.WORD}])", f"($|[^{text.WORD}])")
+FRONT_PAGE = f"({S_STRIP('p')} = '' OR regexp_matches({S_STRIP('p')}, '{FRONT_WORDS}') OR (length({S_STRIP('p')}) < 400 AND len(list_filter({S_LINES('p')}, lambda x: length(x) <= 3)) / greatest(len({S_LINES('p')}), 1) > 0.3))"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN 'Copyright ' || doc_id || chr(10) || 'a' || chr(10) ELSE '' END || coalesce(text, ''), chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, k, array_to_string(ls[3 * k + 1:3 * k + 3], chr(10)) AS p, len(ls) > 3 AS several FROM (SELECT doc_id, ls, unnest(range(CAST(ceil(len(ls) / 3) AS BIGINT))) AS k FROM l)),
+j AS (SELECT *, k < {text.MAX_FRONT_PAGES} AND {FRONT_PAGE} AS front FROM g), w AS (SELECT *, CASE WHEN bool_and(front) OVER (PARTITION BY doc_id) THEN k = 0 ELSE front END AS f, {S_STRIP('p')} AS q FROM j)
+SELECT doc_id, md5(CASE WHEN bool_or(several) THEN coalesce(string_agg(q, chr(10) || chr(10) ORDER BY k) FILTER (f AND q <> ''), '') ELSE '' END) AS front, md5(CASE WHEN bool_or(several) THEN coalesce(string_agg(q, chr(10) || chr(10) ORDER BY k) FILTER (NOT f AND q <> ''), '') ELSE string_agg(p, '') END) AS body, count(*) AS pages FROM w GROUP BY doc_id"""
+)
 def front_pages(spark, sf_dir):
-    """Front matter and body of texts of three pages."""
-    i = F.col("doc_id").cast("string")
-    t = F.concat(F.lit("Copyright "), i, F.lit("\f"), F.repeat(F.lit("Prose of a body page goes on. "), F.lit(20)), i, F.lit("\f책 인쇄 소"))
-    return documents(spark, sf_dir).select("doc_id", text.split_front_pages(t).alias("p")).select("doc_id", "p.front", F.md5(F.col("p.body").cast("binary")).alias("body"))
+    """Front matter and body of all documents, three lines a page; every third has a line of copyright in front."""
+    i = F.col("doc_id")
+    head = F.when(i % 3 == 0, F.concat(F.lit("Copyright "), i.cast("string"), F.lit("\na\n"))).otherwise("")
+    rows = documents(spark, sf_dir).select("doc_id", F.split(F.concat(head, F.coalesce("text", F.lit(""))), "\n").alias("ls"))
+    rows = rows.withColumn("pages", F.transform(F.sequence(F.lit(0), F.ceil(F.size("ls") / 3).cast("int") - 1), lambda k: F.array_join(F.slice("ls", 3 * k + 1, 3), "\n")))
+    found = rows.select("doc_id", F.size("pages").cast("long").alias("pages"), text.split_front_pages(F.array_join("pages", "\f")).alias("p"))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return found.select("doc_id", digest("p.front").alias("front"), digest("p.body").alias("body"), "pages")
 
 
 # --- corpus ---------------------------------------------------------------------------------------
 
 FILE = f"CASE WHEN doc_id % 3 = 0 THEN lower({sql_pick(NAMES, 'doc_id')}) || ' notes ' ELSE 'volume ' END || doc_id || '.txt'"
+OF_NOISE = lambda field: f"MAP {{{', '.join(f"{chr(39)}{n}{chr(39)}: {chr(39) + str(p[field]) + chr(39) if isinstance(p[field], str) else p[field]}" for n, p in quality.NOISE_TYPES.items())}}}[noise_type]"
 
 
 @query(
-    f"""WITH r AS (SELECT doc_id, text, 'd' || doc_id AS document_id, {FILE} AS f, doc_id % 4 AS n, CASE WHEN doc_id % 3 = 0 THEN {sql_pick(CODES, 'doc_id')} ELSE 'UNK' END AS b FROM documents),
-c AS (SELECT *, unnest(range(n)) AS i FROM r WHERE n > 0)
-SELECT 'TSU-' || b || '-' || document_id || '_chunk_0000' || i AS tsu_id, nullif(b, 'UNK') AS book_id, md5(coalesce(CASE WHEN doc_id % 5 = 0 THEN text ELSE text[300 * i + 1:300 * i + 300] END, '')) AS digest, f AS source_file FROM c"""
+    f"""WITH r AS (SELECT doc_id, lang, source, 'd' || doc_id AS document_id, {FILE} AS f, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE doc_id % 4 + 1 END AS n, CASE WHEN doc_id % 3 = 0 THEN {sql_pick(CODES, 'doc_id')} END AS b, CAST(doc_id % 30 + 1 AS INTEGER) AS ch,
+  CASE WHEN doc_id % 2 = 0 THEN 'See ' || {sql_pick(NAMES, 'doc_id')} || ' ' || (doc_id % 30 + 1) || ':4-6. ' ELSE '' END || coalesce(text, '') AS whole FROM documents),
+k AS (SELECT *, unnest(range(n)) AS i, CAST(ceil(length(whole) / n) AS BIGINT) AS step FROM r WHERE n > 0),
+c AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN whole ELSE whole[step * i + 1:step * (i + 1)] END AS text, doc_id % 2 = 0 AND (i = 0 OR doc_id % 5 = 0) AS cited FROM k),
+m AS (SELECT *, CASE WHEN length(c) > 0 THEN {S_COUNT('c', SYM)} / length(c) ELSE 0.0 END AS sym, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda l: length(l) <= 3)) / len(ls) ELSE 0.0 END AS short FROM (SELECT *, {S_LINES('c')} AS ls FROM (SELECT *, {S_BASIC('text')} AS c FROM c))),
+t AS (SELECT *, b IS NOT NULL AND cited AS known, {NOISE_TYPE} AS noise_type FROM m)
+SELECT 'TSU-' || coalesce(b, 'UNK') || '-' || document_id || '_chunk_0000' || i AS tsu_id, document_id, document_id || '_chunk_0000' || i AS chunk_id, CAST(i AS INTEGER) AS chunk_index, md5(text) AS digest, b AS book_id, CASE WHEN known THEN ch || ':4-6' ELSE '' END AS verses,
+  CASE WHEN known THEN CASE WHEN ch <= MAP {{{', '.join(f"'{b}': {n}" for b, n in lexicon.CHAPTERS.items())}}}[b] THEN 1.0 ELSE 0.7 END END AS confidence, CASE WHEN known THEN 2 ELSE 0 END AS candidates, 'Volume ' || doc_id AS title, source AS author, f AS source_file, lang AS language, 'txt' AS source_type,
+  noise_type, {OF_NOISE(1)} AS quality_score, {OF_NOISE(2)} AS section_type FROM t"""
 )
 def passage_records(spark, sf_dir):
-    """Passages of registered documents: chunks of 300 characters, or the whole text of every fifth; documents with a fourth of the ids have none."""
+    """Every column of the passages of registered documents: equal parts of the whole text, or the whole text for each part of every fifth; empty documents have none.
+
+    Every other text begins with a reference; every third file is named after a book.
+    """
     i = F.col("doc_id")
     name = F.concat(F.when(i % 3 == 0, F.concat(F.lower(pick(NAMES, i)), F.lit(" notes "))).otherwise("volume "), i.cast("string"), F.lit(".txt"))
-    reg = documents(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("d"), i.cast("string")).alias("document_id"), name.alias("source_file"), (i % 4).cast("int").alias("chunk_count"))
-    parts = reg.where((i % 5 != 0) & (F.col("chunk_count") > 0)).select("source_file", "text", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
-    chunks = parts.select("source_file", "chunk_index", F.substring("text", 300 * F.col("chunk_index") + 1, F.lit(300)).alias("chunk"))
+    body = F.coalesce("text", F.lit(""))
+    cited = F.when(i % 2 == 0, F.concat(F.lit("See "), pick(NAMES, i), F.lit(" "), (i % 30 + 1).cast("string"), F.lit(":4-6. "))).otherwise("")
+    reg = documents(spark, sf_dir).select(
+        "doc_id", F.concat(F.lit("d"), i.cast("string")).alias("document_id"), name.alias("source_file"), F.concat(cited, body).alias("text"), F.when(body == "", 0).otherwise(i % 4 + 1).cast("int").alias("chunk_count"), F.concat(F.lit("Volume "), i.cast("string")).alias("title"), F.col("source").alias("author"), F.col("lang").alias("language"),
+        F.lit("txt").alias("source_type"),
+    )
+    parts = reg.where((i % 5 != 0) & (F.col("chunk_count") > 0)).withColumn("step", F.ceil(F.length("text") / F.col("chunk_count")).cast("int")).select("source_file", "text", "step", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
+    chunks = parts.select("source_file", "chunk_index", F.substring("text", F.col("step") * F.col("chunk_index") + 1, F.col("step")).alias("chunk"))
     rows = corpus.chunk_rows(reg.select("document_id", "source_file", "chunk_count"), chunks, reg.select("source_file", "text"))
-    records = corpus.passages(reg.select("document_id", "source_file"), rows)
-    return records.select("tsu_id", "book_id", F.md5(F.col("content").cast("binary")).alias("digest"), "source_file")
+    records = corpus.passages(reg.drop("doc_id", "text", "chunk_count"), rows)
+    verses = F.coalesce(F.format_string("%d:%d-%d", "chapter", "verse_start", "verse_end"), F.lit(""))
+    shown = records.withColumns({"digest": F.md5(F.col("content").cast("binary")), "verses": F.when(F.col("chapter").isNull(), "").otherwise(verses), "candidates": F.coalesce("candidates", F.lit(0))})
+    return shown.drop("content", "chapter", "verse_start", "verse_end")
 
 
 @query("WITH c AS (SELECT conv_id, text FROM conversations), n AS (SELECT conv_id, count(*) AS total, count(*) FILTER (trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '') AS empty, count(*) FILTER (trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 80) AS short FROM c GROUP BY conv_id) SELECT conv_id, total + conv_id % 2 AS declared, total, empty, short, empty = 0 AND conv_id % 2 = 0 AS valid FROM n")

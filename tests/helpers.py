@@ -1,5 +1,7 @@
 import os
 
+import pandas as pd
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -7,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def cell(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(cell, v)) + "]"
