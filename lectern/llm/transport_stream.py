@@ -9,13 +9,15 @@ the counters of the stream, reassembles the PES packets and reports each unit's
 timestamps and place, and which units are random-access points. The bytes come back
 exactly. Streams of other makers are read too: several programs and streams (``program``
 and ``pid`` choose, else the first), units of undeclared length, repeated packets,
-declared discontinuities, decoding timestamps, other streams' packets in between.
+declared discontinuities, decoding timestamps, other streams' packets in between, units without an optional header,
+tables for later (which do not hold yet) and later versions (whose streams are added).
 
 Defined results: a null or empty text has a payload of 64 zero bytes. A stream
 with a length that is no multiple of 188, a lost sync byte, or no readable
 program table raises ``ValueError`` from ``demultiplex``; ``decode_media`` turns that into
 a null payload and the reason. Missing packets are counted in ``cc_errors`` (a gap each) and the unit
-they belong to is marked damaged and left out of the payload. A counter that stands still is a repeat
+they belong to is marked damaged and left out of the payload; a packet received with errors is missing, a scrambled one damages its unit,
+padding units are empty. A counter that stands still is a repeat
 only if the packet has the same bytes, but for its clock. An empty table gives an empty one; null media gives nulls.
 Added columns replace columns of their names; repeated rows give repeated results.
 """
@@ -130,6 +132,10 @@ class Stream:
     programs: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
 
 
+#: Stream ids whose packets have data right behind their length; that of padding has none worth keeping.
+PLAIN_IDS, PADDING_ID = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
 def _body(raw: bytes) -> bytes:
     """A packet's payload."""
     start = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
@@ -172,24 +178,26 @@ def _sections(packets: np.ndarray) -> list[bytes]:
 
 def _programs(packets: np.ndarray, pids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """Program number -> its streams as (pid, type), by the program tables."""
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for section in _sections(packets[pids == 0]):
         for at in range(8, len(section) - 4 - 3, 4):
             number, pid = struct.unpack_from(">HH", section, at)
-            if section[0] == 0 and number:
-                where.setdefault(number, pid & 0x1FFF)
+            if section[0] == 0 and number and section[5] & 1 and pid & 0x1FFF not in where.setdefault(number, []):
+                where[number].append(pid & 0x1FFF)
     if not where:
         raise ValueError("no program association table")
     programs: dict[int, list[tuple[int, int]]] = {}
-    for number, table in where.items():
+    for number, table in ((n, t) for n, tables in where.items() for t in tables):
         for section in _sections(packets[pids == table]):
-            if section[0] != 2 or struct.unpack_from(">H", section, 3)[0] != number or number in programs:
+            # tables that are announced for later do not hold yet
+            if section[0] != 2 or struct.unpack_from(">H", section, 3)[0] != number or not section[5] & 1:
                 continue
-            at, streams = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), []
+            at, streams = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), programs.setdefault(number, [])
             while at + 5 <= len(section) - 4:
-                streams.append((struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF, section[at]))
+                one = (struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF, section[at])
+                if one not in streams:  # later versions add to what earlier ones hold
+                    streams.append(one)
                 at += 5 + (struct.unpack_from(">H", section, at + 3)[0] & 0x0FFF)
-            programs[number] = streams
     if not any(programs.values()):
         raise ValueError("no program map table")
     return programs
@@ -213,8 +221,10 @@ def demultiplex(media: bytes, program: int | None = None, pid: int | None = None
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("a packet has no sync byte")
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    stream = Stream(packets=len(packets), programs=_programs(packets, pids))
+    # a packet marked as received with errors may lie in any of its fields, its stream's number too: it is missing
+    pids = np.where(packets[:, 1] & 0x80, -1, (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2])
+    clear = packets[:, 3] & 0xC0 == 0
+    stream = Stream(packets=len(packets), programs=_programs(packets[clear], pids[clear]))
     chosen = [(n, p, t) for n, streams in stream.programs.items() for p, t in streams if program in (None, n) and pid in (None, p)]
     if not chosen:
         raise ValueError("no such stream in the program tables")
@@ -230,6 +240,7 @@ def demultiplex(media: bytes, program: int | None = None, pid: int | None = None
     gap = fresh & (step != 1) & ~(adapted & (own[:, 5] & 0x80 > 0))  # a declared discontinuity is no error
     stream.cc_errors = int(gap.sum())
     own, control, gap, adapted = own[fresh], control[fresh], gap[fresh], adapted[fresh]
+    hidden = control & 0xC0 > 0
     start = 4 + np.where(control & 0x20 > 0, 1 + own[:, 4].astype(np.int32), 0)
     random_access = adapted & (own[:, 5] & 0x40 > 0)
     body = own[np.arange(PACKET) >= start[:, None]].tobytes()
@@ -240,17 +251,19 @@ def demultiplex(media: bytes, program: int | None = None, pid: int | None = None
     for k, head in enumerate(heads):
         after = heads[k + 1] if k + 1 < len(heads) else len(own)
         pes = body[begins[head] : begins[after]]
-        whole = len(pes) >= 9 and pes[:3] == b"\0\0\1" and len(pes) >= 9 + pes[8]
+        plain = len(pes) >= 6 and pes[3] in PLAIN_IDS
+        data_at = 6 if plain else 9 + pes[8] if len(pes) >= 9 else 9
+        whole = pes[:3] == b"\0\0\1" and len(pes) >= data_at
         length = struct.unpack_from(">H", pes, 4)[0] if whole else 0
         # length 0 leaves the end to the next unit's beginning, and a gap there may have taken some of it
-        lost = gap[head + 1 : after + (length == 0)].any()
+        lost = gap[head + 1 : after + (length == 0)].any() or hidden[head:after].any()
         good = whole and length + 6 in (6, len(pes)) and not lost
         pts = dts = -1
-        if good and pes[7] & 0x80 and pes[8] >= 5:
+        if good and not plain and pes[7] & 0x80 and pes[8] >= 5:
             pts = dts = _time(pes[9:14])
             if pes[7] & 0x40 and pes[8] >= 10:
                 dts = _time(pes[14:19])
-        data = pes[9 + pes[8] :] if good else b""
+        data = pes[data_at:] if good and pes[3] != PADDING_ID else b""
         stream.units.append((pts, offset, len(data), bool(random_access[head]), not good, dts))
         parts.append(data)
         offset += len(data)

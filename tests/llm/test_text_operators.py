@@ -76,8 +76,8 @@ def packet(pid, counter, body=b"", start=False, adaptation=None):
     return head + field + body
 
 
-def section(table, number, body):
-    head = bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+def section(table, number, body, version=0, current=1):
+    head = bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC0 | version << 1 | current, 0, 0]) + body
     crc = 0xFFFFFFFF
     for bit in (b >> k & 1 for b in head for k in range(7, -1, -1)):
         crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (crc >> 31) ^ bit else 0)
@@ -130,6 +130,65 @@ def test_op2_declared_discontinuity_is_no_error():
     assert stream.cc_errors == 0 and stream.payload == bytes(range(256)) * 2 + b"z" * 150
 
 
+def test_op2_units_without_optional_header():
+    packets = foreign()[:4]
+    for k, (name, data) in enumerate([(0xBF, b"p" * 66), (0xBE, b"\xff" * 40), (0xE0, b"\x80\0\0" + b"v" * 100)]):
+        packets.append(packet(0x50, k, b"\0\0\1" + bytes([name]) + len(data).to_bytes(2, "big") + data, True))
+    stream = transport_stream.demultiplex(b"".join(packets))
+    assert stream.payload == b"p" * 66 + b"v" * 100 and [(u[2], u[4]) for u in stream.units] == [(66, False), (0, False), (100, False)]
+
+
+def test_op2_flagged_packets():
+    wanted = bytes(range(256)) * 2
+    flagged = lambda at, byte, bits: [p if k != at else bytes(b | bits * (j == byte) for j, b in enumerate(p)) for k, p in enumerate(foreign())]
+    broken = transport_stream.demultiplex(b"".join(flagged(6, 1, 0x80)))
+    assert broken.payload == wanted and broken.cc_errors == 1 and [u[4] for u in broken.units] == [True, False]
+    secret = transport_stream.demultiplex(b"".join(flagged(11, 3, 0x80)))
+    assert secret.payload == wanted and secret.cc_errors == 0 and [u[4] for u in secret.units] == [False, True]
+    with pytest.raises(ValueError, match="association"):
+        transport_stream.demultiplex(b"".join(flagged(0, 1, 0x80)))
+
+
+def test_op2_tables_for_later_and_later_versions():
+    packets = foreign()
+    table = lambda pid, **more: section(2, 2, bytes([0xE0, pid, 0xF0, 0, 0x02, 0xE0, pid, 0xF0, 0]), **more)
+    packets[2] = packet(0x110, 0, b"\0" + table(0x61, current=0) + table(0x60) + table(0x62, version=1), True)
+    assert transport_stream.demultiplex(b"".join(packets)).programs[2] == [(0x60, 0x02), (0x62, 0x02)]
+
+
+def plain_features(media):
+    """What a stream of one program holds, packet by packet."""
+    counters, errors, body, starts = {}, 0, b"", []
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47
+        pid, start = (p[1] & 31) << 8 | p[2], bool(p[1] & 0x40)
+        field = 1 + p[4] if p[3] & 0x20 else 0
+        if pid in counters and p[3] & 0x10 and p[3] & 15 != (counters[pid] + 1) % 16:
+            errors += 1
+        counters[pid] = p[3] & 15
+        if pid == transport_stream.STREAM_PID:
+            if start:
+                starts.append((len(body), bool(field > 1 and p[5] & 0x40)))
+            body += p[4 + field :]
+    units = []
+    for (a, key), b in zip(starts, [s for s, _ in starts[1:]] + [len(body)]):
+        pes = body[a:b]
+        stamp = (pes[9] >> 1 & 7) << 30 | (pes[10] << 8 | pes[11]) >> 1 << 15 | (pes[12] << 8 | pes[13]) >> 1
+        units.append((stamp, key, pes[9 + pes[8] :]))
+    payload = b"".join(u[2] for u in units)
+    return f"pid={transport_stream.STREAM_PID};type={{}};packets={len(media) // 188};units={len(units)};rap={sum(u[1] for u in units)};pts={units[0][0]}-{units[-1][0]};cc_errors={errors};sum={sum(payload)};max={max(payload)}", [u[0] for u in units if u[1]], payload
+
+
+def test_op2_digests_by_a_plain_parser(spark, odd):
+    rows = transport_stream.media_digests(odd.select("doc_id", "text")).collect()
+    for r, t in zip(sorted(rows, key=lambda r: r.payload_sha256), sorted((t or "" for t in (x.text for x in odd.collect())), key=lambda t: hashlib.sha256(transport_stream.padded(t)[0]).hexdigest())):
+        media = transport_stream.multiplex(transport_stream.padded(t)[0])
+        feature, stamps, payload = plain_features(media)
+        kind = r.feature.split("type=")[1].split(";")[0]
+        assert (r.media_bytes, r.media_sha256, r.feature, r.random_access_pts) == (len(media), hashlib.sha256(media).hexdigest(), feature.format(kind), stamps) and payload == transport_stream.padded(t)[0]
+
+
 def test_op2_empty_table(spark):
     assert transport_stream.media_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
