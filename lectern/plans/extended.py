@@ -124,7 +124,9 @@ def best_evidence(spark, sf_dir):
     body = lambda begin, n: F.coalesce(F.substring("text", begin, n), F.lit(""))
     t = F.concat(body(F.lit(1), half), F.lit(" "), cited_text(i), F.lit(" "), body(half + 1, F.length("text")))
     rows = documents(spark, sf_dir).select("doc_id", t.alias("t"), F.when(i % 5 == 0, pick(CODES, i)).alias("book"))
-    best = rows.select("doc_id", references.evidence(references.question_references(F.col("t")), F.col("book")).alias("e"))
+    # found once, in a column that the evidence looks at many times
+    found = rows.select("doc_id", "book", references.question_references(F.col("t")).alias("refs"))
+    best = found.select("doc_id", references.evidence(F.col("refs"), F.col("book")).alias("e"))
     r = F.col("e.ref")
     return best.select("doc_id", "e.score", references.reference_text(r["book_id"], r["chapter"], r["verse_start"], r["verse_end"]).alias("ref"))
 
