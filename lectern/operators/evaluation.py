@@ -64,9 +64,16 @@ def _averages(k: int) -> list[Column]:
     return [F.count("*").alias("n"), mean(F.col("hit1").cast("double"), "p_at_1"), mean(F.col("hit5") / 5.0, "p_at_5"), mean(F.col("rr"), "mrr"), mean(F.col("ndcg"), "ndcg"), mean(F.col("hits") / float(k), "hit_rate")]
 
 
-def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10, expected_ideal: bool = False) -> DataFrame:
-    """One row of averages over the questions that got a result; ``expected_ideal`` takes the ideal of nDCG from the gold set."""
-    return per_query(judged(ranked, gold), k, gold if expected_ideal else None).agg(*_averages(k))
+def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10, expected_ideal: bool = False, latency: DataFrame | None = None) -> DataFrame:
+    """One row of averages over the questions that got a result; ``expected_ideal`` takes the ideal of nDCG from the gold set.
+
+    ``latency`` (query_id, latency_ms; several rows of a question count with their mean) adds the mean time of those questions.
+    """
+    rows = per_query(judged(ranked, gold), k, gold if expected_ideal else None)
+    if latency is None:
+        return rows.agg(*_averages(k))
+    times = latency.groupBy("query_id").agg(F.avg("latency_ms").alias("latency_ms"))
+    return rows.join(times, "query_id", "left").agg(*_averages(k), F.round(F.avg("latency_ms"), 3).alias("latency_ms"))
 
 
 def metrics_by(ranked: DataFrame, gold: DataFrame, attributes: DataFrame, sets: list[list[str]], k: int = 10) -> DataFrame:

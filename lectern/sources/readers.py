@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lectern.functions.text import front_matter, safe_stem, strip
+from lectern.operators.registry import migrate
 
 EXTENSIONS = ("pdf", "docx", "epub", "html", "htm", "rtf", "txt", "md")
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr")
@@ -197,6 +198,21 @@ def read_object(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: Fields of a document in a registry of one object, older ones included.
+REGISTERED = "document_id string, file_hash string, source_file string, title string, author string, book string, language string, chunk_count int, pipeline_state string, ingest_status string, retry_count int, max_retries int, last_content_hash string, supersedes string, superseded_by string"
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each document of registries ``{"documents": {id: {...}}}``, in today's columns, with ``ord`` as they stand in the file.
+
+    A document without an id of its own takes its key. A file that is no such object gives no row.
+    """
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"documents map<string, struct<{', '.join(':'.join(c.split()) for c in REGISTERED.split(', '))}>>").alias("r"))
+    rows = parsed.select(F.posexplode("r.documents").alias("ord", "key", "d")).where(F.col("d").isNotNull())
+    names = [c.split()[0] for c in REGISTERED.split(", ")]
+    return migrate(rows.select(F.coalesce("d.document_id", "key").alias("document_id"), *[F.col(f"d.{c}") for c in names[1:]], F.col("ord").cast("long").alias("ord")))
+
+
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     """``name`` of every file that a batch state (``{"processed": [...]}``) lists, each once."""
     return read_object(spark, path, "processed array<string>").select(F.explode("processed").alias("name")).distinct()

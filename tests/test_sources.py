@@ -134,3 +134,26 @@ def test_event_log_and_stream(spark, tmp_path):
     assert monitor.latest(spark.table("seen"), 1, F.desc("ts")).first().event == "x"
     names = spark.createDataFrame([("\u1112\u1161\u11ab글",), ("other",)], "name string")
     assert monitor.library_search(names, "한", ["name"]).count() == 1
+
+
+def test_registry_of_one_object(spark, tmp_path):
+    import json
+
+    from lectern.sources import readers
+
+    docs = {"d1": {"document_id": "d1", "file_hash": "h1", "source_file": "a.txt", "chunk_count": 3, "ingest_status": "FAILED", "retry_count": 2}, "d2": {"source_file": "b.txt", "file_hash": "h2", "unheard": [1]}, "d3": None}
+    (tmp_path / "registry.json").write_text(json.dumps({"version": 1, "documents": docs}, indent=1))
+    (tmp_path / "other.json").write_text("[1, 2")
+    got = {r.document_id: r for r in readers.read_registry(spark, str(tmp_path)).collect()}
+    assert set(got) == {"d1", "d2"} and got["d1"].chunk_count == 3 and (got["d1"].ingest_status, got["d1"].retry_count) == ("FAILED", 2)
+    assert (got["d2"].ingest_status, got["d2"].retry_count, got["d2"].max_retries, got["d2"].last_content_hash, got["d2"].ord) == ("PROCESSED", 0, 3, "h2", 1)
+
+
+def test_metrics_with_latency(spark):
+    from lectern.operators import evaluation
+
+    ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "query_id long, rank int, doc_id long")
+    gold = spark.createDataFrame([(1, 6), (2, 8)], "query_id long, doc_id long")
+    times = spark.createDataFrame([(1, 10.0), (1, 30.0), (2, 5.0), (3, 900.0)], "query_id long, latency_ms double")
+    row = evaluation.retrieval_metrics(ranked, gold, latency=times).first()
+    assert (row.n, row.mrr, row.latency_ms) == (2, 0.25, 12.5)
