@@ -1,4 +1,4 @@
-"""Cutting a plan that grows with each round of an iteration."""
+"""Cutting a plan that grows with each round of an iteration, and spreading a small input over all cores."""
 
 from __future__ import annotations
 
@@ -17,3 +17,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/lectern-checkpoints")
     return df.checkpoint(eager=True)
+
+
+#: Inputs up to this estimated size are dealt out to all cores: a shuffle of a bounded size.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it is so small that its files may keep few cores busy; a larger one as it is, without a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
