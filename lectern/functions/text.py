@@ -99,6 +99,16 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_composed(F.when(beyond, c)), c)
 
 
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
+
+
+def nfkc(c: Column) -> Column:
+    """Text with compatible characters made equal (full-width letters, ligatures, superscripts) and composed; only what is beyond ASCII is handed to Python."""
+    return F.coalesce(_compatible(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def normalise_identity(c: Column) -> Column:
     c = F.translate(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))

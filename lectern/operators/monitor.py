@@ -71,6 +71,47 @@ def capacity(rows: int) -> dict:
     return {"rows": rows, "zone": zone, "plain_mb": round(rows * ROW_KB["plain"] / 1024, 1), "indexed_mb": round(rows * ROW_KB["indexed"] / 1024, 1)}
 
 
+def stage_states(counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep, stage, status, progress`` of the five stages, from a row of counts for each batch.
+
+    ``counts``: total (files), processed (files), parsed and chunked (events), covered (documents that passages come from),
+    passages, indexed (boolean). Null counts are 0. What a stage has left behind counts before what the events say; a stage is
+    ``active`` once the one before it has begun.
+    """
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("total", "processed", "parsed", "chunked", "covered", "passages")}
+    percent = lambda x: F.least(F.lit(100), F.floor(100 * x / F.greatest(n["total"], F.lit(1)))).cast("int")
+    named = lambda status, progress: F.struct(status.alias("status"), progress.cast("int").alias("progress"))
+    said = lambda status, progress=0: named(F.lit(status), F.lit(progress))
+    follows = lambda before: F.when(before["status"] == "pending", said("pending")).otherwise(said("active"))
+    extract = (
+        F.when((n["total"] > 0) & (n["processed"] >= n["total"]), said("complete", 100))
+        .when(n["parsed"] > 0, named(F.lit("active"), percent(n["parsed"])))
+        .when(n["processed"] > 0, named(F.lit("active"), percent(n["processed"])))
+        .otherwise(said("pending"))
+    )
+    whole = extract["status"] == "complete"
+    chunk = (
+        F.when((n["passages"] > 0) & (n["covered"] > 0), named(F.when(percent(n["covered"]) >= 100, "complete").otherwise("active"), percent(n["covered"])))
+        .when(whole, named(F.when(n["chunked"] < n["total"], "active").otherwise("complete"), percent(n["chunked"])))
+        .when(n["chunked"] > 0, named(F.lit("active"), percent(n["chunked"])))
+        .otherwise(follows(extract))
+    )
+    embed = F.when(n["passages"] > 0, said("complete", 100)).when(chunk["status"] == "complete", said("active", 30)).otherwise(follows(chunk))
+    index = F.when(F.coalesce(F.col("indexed"), F.lit(False)), said("complete", 100)).when(embed["status"] == "complete", said("active", 50)).otherwise(follows(embed))
+    stages = {"extract": extract, "chunk": chunk, "embedding": embed, "indexing": index, "search": said("complete", 100)}
+    rows = F.array(*[F.struct(F.lit(k).alias("stage"), x["status"].alias("status"), x["progress"].alias("progress")) for k, x in stages.items()])
+    return counts.select(*(keep or []), F.inline(rows))
+
+
+def capacities(df: DataFrame, rows: str) -> DataFrame:
+    """``df`` with the ``zone`` a single process would be in with its ``rows``, and its memory in MB (see ``capacity``); null rows are 0."""
+    n = F.coalesce(F.col(rows), F.lit(0))
+    zone = F.lit("RED")
+    for most, name in reversed(ZONES):
+        zone = F.when(n <= most, name).otherwise(zone)
+    return df.withColumns({"zone": zone, **{f"{k}_mb": F.round(n * kb / 1024, 1) for k, kb in ROW_KB.items()}})
+
+
 def library_search(docs: DataFrame, needle: str, columns: list[str], kind: tuple[str, str] | None = None) -> DataFrame:
     """Documents with ``needle`` in any of the columns (without regard to case or composition), of one type if given."""
     hit, needle = F.lit(not needle), unicodedata.normalize("NFC", needle).lower()

@@ -150,6 +150,22 @@ def boundary_candidates(paragraphs: DataFrame, text: str = "text", heading: str
     return paragraphs.withColumn("score", score).withColumn("is_boundary", F.col("score") >= least)
 
 
+#: A boundary longer than this was probably not cut where it should have been.
+SUSPICIOUS = 300
+
+
+def boundary_density(scored: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``doc, matched, candidates, percent`` of scored candidates (``is_boundary``)."""
+    counts = scored.groupBy(doc).agg(F.count(F.when(F.col("is_boundary"), 1)).alias("matched"), F.count("*").alias("candidates"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("matched") / F.col("candidates"), 2))
+
+
+def suspicious_boundaries(scored: DataFrame, text: str = "text", most: int = SUSPICIOUS) -> DataFrame:
+    """Scored candidates that count as boundaries although longer than ``most``, with their ``n`` characters and a ``preview`` of 80 on one line."""
+    found = scored.where(F.col("is_boundary") & (F.length(text) > most))
+    return found.withColumns({"n": F.length(text), "preview": F.translate(F.substring(text, 1, 80), "\n", " ")}).drop(text)
+
+
 CAP = int(chunk.SIZE * 1.5)
 
 

@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from lectern.plans import extended, lifecycle  # noqa: F401  (they register their queries)
+from lectern.plans import extended, lifecycle, records  # noqa: F401  (they register their queries)

@@ -2,7 +2,7 @@
 
 Listing and parsing are Spark's (``binaryFile``, ``text``, ``json``); formats that
 Spark does not know are turned into text in Arrow batches with the standard
-library. Paged files need a parser of the user's own, a function bytes -> text.
+library. Paged files take a function bytes -> text: ``paged.page_text``, or ``paged.first_readable`` of several.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from lectern.functions.text import front_matter, safe_stem, strip
 from lectern.operators.registry import migrate
+from lectern.sources.paged import page_properties
 
 EXTENSIONS = ("pdf", "docx", "epub", "html", "htm", "rtf", "txt", "md")
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr")
@@ -115,13 +116,15 @@ def docx_properties(raw: bytes) -> tuple[str | None, str | None]:
 
 def embedded_metadata(files: DataFrame) -> DataFrame:
     """``files`` (ext, content) with the ``title`` and ``author`` that they declare in place of the content; broken files have none."""
+    properties = {"docx": docx_properties, "pdf": page_properties}
 
     @F.pandas_udf("title string, author string")
     def parse(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
         out = []
         for kind, raw in zip(ext, content):
             try:
-                out.append(docx_properties(raw) if kind == "docx" and raw is not None else (None, None))
+                parser = properties.get(kind)
+                out.append(parser(bytes(raw)) if parser and raw is not None else (None, None))
             except Exception:  # a broken file declares nothing
                 out.append((None, None))
         return pd.DataFrame(out, columns=["title", "author"])
@@ -213,6 +216,34 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return migrate(rows.select(F.coalesce("d.document_id", "key").alias("document_id"), *[F.col(f"d.{c}") for c in names[1:]], F.col("ord").cast("long").alias("ord")))
 
 
+def _member(spark: SparkSession, path: str, name: str, fields: str) -> DataFrame:
+    """The list ``name`` of each file's object, one row each in its order; a damaged file gives none."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"{name} array<struct<{fields}>>").alias("r"))
+    return parsed.select(F.posexplode(f"r.{name}").alias("ord", "x")).where(F.col("x").isNotNull()).select("ord", "x.*")
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """``session_id, created_at, at, query, timestamp, result_refs``: a row for each question of each session, one of nulls for a session without any."""
+    rows = _member(spark, path, "sessions", "session_id:string,created_at:string,queries:array<struct<query:string,timestamp:string,result_refs:array<struct<tsu_id:string,document_id:string,citation_id:string>>>>")
+    return rows.select("session_id", "created_at", F.posexplode_outer("queries").alias("at", "q")).select("session_id", "created_at", "at", "q.*")
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """Failures that a log lists: source_file, stage, reason, retry_count, error_type, timestamp; ``ord`` is their order."""
+    return _member(spark, path, "failures", "source_file:string,stage:string,reason:string,retry_count:int,error_type:string,timestamp:string")
+
+
+def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """``content`` of the passages in JSON lines; lines without any are skipped."""
+    return read_json_lines(spark, path, "content string").where("content IS NOT NULL AND content <> ''")
+
+
+def read_newest(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """The object in the latest file of a folder (a saved summary), no row where there is none."""
+    latest = newest(spark, path, pattern)
+    return read_object(spark, latest, schema) if latest else spark.createDataFrame([], schema)
+
+
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     """``name`` of every file that a batch state (``{"processed": [...]}``) lists, each once."""
     return read_object(spark, path, "processed array<string>").select(F.explode("processed").alias("name")).distinct()
