@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType
 
 from lectern.functions import text
 from lectern.operators import monitor, records, structure
+from lectern.operators.lineage import spread
 from lectern.plans.extended import KOREAN_ENDS
 from lectern.plans.queries import IDENT, S_LINES, S_STRIP, documents, query, table
 from lectern.sources import paged
@@ -115,7 +116,7 @@ SELECT doc_id, pos // 40 AS page, count(*) AS lines, count(*) FILTER (bold) AS b
 )
 def paged_lines(spark, sf_dir):
     """Every text written as a paged file of forty lines a page and read back: lines, weight, size and text of each page."""
-    files = documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", as_paged(marked(False)).alias("content"))
+    files = spread(documents(spark, sf_dir)).where("text IS NOT NULL").select("doc_id", as_paged(marked(False)).alias("content"))
     lines = paged.spans_of(files, "doc_id").where("text IS NOT NULL")
     # a page has at most forty lines
     held = F.array_sort(F.collect_list(F.struct("line", "text")))["text"]

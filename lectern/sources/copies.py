@@ -8,6 +8,7 @@ attempts left there. Places are what pyarrow's file systems know: paths that all
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,8 @@ class Written(WriterCommitMessage):
 class CopyWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.staging = path.rstrip("/"), f"{path.rstrip('/')}/{STAGING}{uuid.uuid4().hex}"
+        system, staging = place(self.staging)
+        system.create_dir(staging, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Written:
         folder = None
@@ -47,7 +50,7 @@ class CopyWriter(DataSourceWriter):
             system, staging = place(self.staging)
             if folder is None:
                 folder = f"{staging}/{uuid.uuid4().hex}"
-                system.create_dir(folder, recursive=True)
+                system.create_dir(folder, recursive=False)  # fails once the job was given up
             with system.open_output_stream(f"{folder}/{posixpath.basename(row.name)}") as out:
                 out.write(row.content or b"")
         return Written(folder)
@@ -64,8 +67,15 @@ class CopyWriter(DataSourceWriter):
 
     def _clear(self) -> None:
         system, staging = place(self.staging)
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+        for wait in (0.1, 0.5, 2.0, None):  # tasks of a failed job may write until they are stopped
+            try:
+                if system.get_file_info(staging).type == fs.FileType.Directory:
+                    system.delete_dir(staging)
+                return
+            except OSError:
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class FileCopies(DataSource):

@@ -77,7 +77,8 @@ def test_copies_are_whole_or_absent(spark, tmp_path):
     wanted = {"a.txt": b"one", "b.bin": bytes(range(256)) * 1000, "c.md": b"\n", "한글.md": b"x"}
     for k, (name, raw) in enumerate(wanted.items()):
         (source / ("deep" if k % 2 else "") / name).write_bytes(raw)
-    files = readers.scan_directory(spark, str(source), ("txt", "bin", "md"), recursive=True, content=True)
+    scan = lambda: readers.scan_directory(spark, str(source), ("txt", "bin", "md"), recursive=True, content=True)
+    files = scan()
     for _ in range(2):  # a second copy replaces the first
         rows = copies.copy_files(files, str(target)).collect()
         assert {r.name: (r.size, r.sha256, r.same) for r in rows} == {n: (len(x), hashlib.sha256(x).hexdigest(), True) for n, x in wanted.items()}
@@ -85,7 +86,7 @@ def test_copies_are_whole_or_absent(spark, tmp_path):
     assert copies.copy_files(readers.scan_directory(spark, str(target), content=True), str(target)).count() == 0
     (source / "deep" / "a.txt").write_bytes(b"two")
     with pytest.raises(ValueError, match="a.txt"):
-        copies.copy_files(files, str(tmp_path / "none"))
+        copies.copy_files(scan(), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
 
 
