@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WORD, WS, clean_paged, count_chars, let, lines, normalise_basic, strip
+from lectern.functions.text import WORD, WS, clean_paged, count_chars, let, lines, normalise_basic, rounded, strip
 
 SYMBOLS = rf"^{WORD}{WS}"
 SYMBOL = f"[{SYMBOLS}]"
@@ -102,7 +102,7 @@ def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken:
         paged = symbols * 10 + short * 8 + cut * 12 + repeated_mark_ratio(clean) * 18 + page_artifact_ratio(raw) * 12
         return paged + odd_character_ratio(clean) * 16 + word_split_ratio(raw) * 10 if recognised else paged
 
-    return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), F.round(F.greatest(let(clean, total) * SCALE, F.lit(FLOOR)), 1)))
+    return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), rounded(F.greatest(let(clean, total) * SCALE, F.lit(FLOOR)), 1)))
 
 
 def noise_label(score: Column) -> Column:

@@ -29,6 +29,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """``c`` rounded as binary engines do: scaled, then half away from zero. ``round`` looks at the decimal digits instead, which fall on the other side of some halves."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def count_chars(c: Column, chars: str) -> Column:
     """How many characters are in a class (what stands between the brackets); no list of matches is made."""
     return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))
