@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import rounded
 from lectern.operators.ranges import PARTS, in_ranges
 from lectern.operators.retrieval import small
 
@@ -197,7 +198,7 @@ def timing(df: DataFrame, value: str, ok: str, by: list[str]) -> DataFrame:
 def chunk_quality(chunks: DataFrame, noise: Column, doc: str = "doc_id", index: str = "chunk_index", text: str = "chunk", least: int = 80) -> DataFrame:
     """Per document: mean and greatest noise, mean overlap of adjacent chunks, share of short ones, and whether all is well (``passed``)."""
     marked = chunks.withColumns({"__noise": noise, "__dup": adjacent_jaccard(F.col(text), [doc], index)})
-    return marked.groupBy(doc).agg(F.count("*").alias("chunks"), F.round(F.avg("__noise"), 4).alias("avg_noise"), F.max("__noise").alias("max_noise"), F.round(F.avg("__dup"), 4).alias("avg_overlap"), F.round(F.avg((F.length(F.trim(text)) < least).cast("double")), 4).alias("short_ratio")).withColumn("passed", (F.col("max_noise") <= MOST_NOISE) & (F.col("avg_overlap") <= MOST_OVERLAP) & (F.col("short_ratio") <= MOST_SHORT))
+    return marked.groupBy(doc).agg(F.count("*").alias("chunks"), rounded(F.avg("__noise"), 4).alias("avg_noise"), F.max("__noise").alias("max_noise"), rounded(F.avg("__dup"), 4).alias("avg_overlap"), rounded(F.avg((F.length(F.trim(text)) < least).cast("double")), 4).alias("short_ratio")).withColumn("passed", (F.col("max_noise") <= MOST_NOISE) & (F.col("avg_overlap") <= MOST_OVERLAP) & (F.col("short_ratio") <= MOST_SHORT))
 
 
 def adjacent_jaccard(text: Column, by: list[str], order: str) -> Column:

@@ -3,8 +3,14 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import quality
+from lectern.operators import evaluation
 
 
 def test_noise_next_to_a_half(spark):
     rows = spark.createDataFrame([("x" * 981 + "!" * 19,), ("x" * 957 + "!" * 43,)], "t string")
     assert [r[0] for r in rows.select(quality.noise_score(F.col("t"))).collect()] == [6.7, 15.1]
+
+
+def test_mean_noise_next_to_a_half(spark):
+    rows = spark.createDataFrame([(1, k, "w" * 100, 11.1 if k == 0 else 0.0) for k in range(48)], "doc_id long, chunk_index int, chunk string, noise double")
+    assert evaluation.chunk_quality(rows, F.col("noise")).first().avg_noise == 0.2313
