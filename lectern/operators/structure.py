@@ -121,8 +121,9 @@ def page_headings(spans: DataFrame) -> DataFrame:
     by_size = F.col("signal") == "size"
     on = F.when(by_size, F.col("size") > F.col("body") * LARGER).otherwise(F.col("bold") & (F.col("size") == F.col("body")))
     strength = F.when(by_size, F.when(F.col("body") > 0, F.greatest(F.lit(0.0), F.least((F.col("size") / F.col("body") - 1.0) / 0.5, F.lit(1.0)))).otherwise(0.0)).otherwise(0.8)
-    bonus = F.when((n < 40) & F.col("is_block_top"), 0.2).when((n < 40) | F.col("is_block_top"), 0.1).otherwise(0.0)
-    sure = F.round(F.greatest(F.lit(0.0), F.least(0.5 * strength + 0.4 * F.col("validity") + 0.1 * bonus, F.lit(1.0))), 4)
+    bonus = F.when((n < 40) & F.col("is_block_top"), 0.02).when((n < 40) | F.col("is_block_top"), 0.01).otherwise(0.0)
+    # not rounded: who shows it in fewer places rounds once
+    sure = F.greatest(F.lit(0.0), F.least(0.5 * strength + 0.4 * F.col("validity") + bonus, F.lit(1.0)))
     fits = own.withColumn("validity", validity).where((n < MOST_LETTERS) & (F.col("validity") >= LEAST_RATIO) & on)
     return fits.withColumn("confidence", sure).withColumn("validity", F.round("validity", 4)).select(*spans.columns, "signal", "validity", "confidence")
 

@@ -161,7 +161,7 @@ SELECT signal, round(0.5 * CASE WHEN signal = 'size' THEN least((size / body - 1
 def page_headings(spark, sf_dir):
     """Confidences of headings in lines taken as pages."""
     found = structure.page_headings(spans(spark, sf_dir))
-    return found.groupBy("signal", F.round("confidence", 2).alias("confidence")).agg(F.count("*").alias("n"))
+    return found.groupBy("signal", text.rounded(F.col("confidence"), 2).alias("confidence")).agg(F.count("*").alias("n"))
 
 
 KOREAN_ENDS = "(다|니다|요|이다|했다|하였다|됩니다|입니다|같다|라고|하며|하면|하지만|그래서|그러나)$"

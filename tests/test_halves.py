@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lectern.functions import quality
-from lectern.operators import evaluation
+from lectern.functions import quality, text
+from lectern.operators import evaluation, structure
 
 
 def test_noise_next_to_a_half(spark):
@@ -14,3 +14,12 @@ def test_noise_next_to_a_half(spark):
 def test_mean_noise_next_to_a_half(spark):
     rows = spark.createDataFrame([(1, k, "w" * 100, 11.1 if k == 0 else 0.0) for k in range(48)], "doc_id long, chunk_index int, chunk string, noise double")
     assert evaluation.chunk_quality(rows, F.col("noise")).first().avg_noise == 0.2313
+
+
+def test_heading_confidence_is_rounded_once(spark):
+    body = [(1, "body text that is rather long and ends somewhere.", 10.0, False, 0, False)] * 5
+    large = [(1, "Headings hereA12", 14.0, False, 0, True)] * 4
+    spans = spark.createDataFrame(body + large, "doc_id long, text string, size double, bold boolean, page int, is_block_top boolean")
+    shares = [r.c for r in structure.page_headings(spans).select(text.rounded(F.col("confidence"), 2).alias("c")).collect()]
+    # 13 letters of 16 at strength 0.8: a value just below 0.745
+    assert shares == [0.74] * 4
