@@ -60,6 +60,21 @@ def question_references(c: Column, aliases: dict[str, str] | None = None) -> Col
     return F.concat(references(c), short)
 
 
+#: No reference with up to twenty blanks is longer: a name of at most 15 characters and three numbers of at most nine digits.
+LONGEST = 64
+
+
+def cut_reference(c: Column, ahead: Column) -> Column:
+    """The beginning of ``ahead``, which follows ``c``, that ends a reference begun in ``c``; empty where none runs over the end."""
+    names = sorted({*lexicon.NAME_TO_BOOK, *lexicon.ALIAS_TO_BOOK}, key=lambda n: (-len(n), n))
+    whole = rf"(?i)(?=[\s\S]{{{LONGEST + 1}}})(?:{'|'.join(names)})\s*[0-9]{{1,9}}:[0-9]{{1,9}}(?:-[0-9]{{1,9}})?(?=([\s\S]{{0,{LONGEST - 1}}}\z))"
+    ahead = F.substring(F.coalesce(ahead, F.lit("")), 1, LONGEST)
+    # blanks fill up what is ahead, so that what is left behind a match tells where it ends
+    seam = F.concat(F.right(c, F.lit(LONGEST)), F.rpad(ahead, LONGEST, "\n"))
+    left = F.length(F.regexp_extract(seam, whole, 1))
+    return F.when(F.regexp_like(seam, F.lit(whole)), F.substring(ahead, F.lit(1), LONGEST - left)).otherwise("")
+
+
 def passage_references(c: Column) -> Column:
     return references(c, {n: b for n, b in lexicon.NAME_TO_BOOK.items() if b not in lexicon.NOT_IN_PASSAGES})
 

@@ -29,28 +29,32 @@ def document_type(name: Column) -> Column:
 def chunk_rows(registry: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
     """``document_id, chunk_index, content`` of registered documents with chunks: their chunk's text, else the whole document's.
 
-    ``registry``: document_id, source_file, chunk_count; ``texts``: source_file, chunk_index, chunk; ``whole``: source_file, text.
+    ``registry``: document_id, source_file, chunk_count; ``texts``: source_file, chunk_index, chunk and, where known, ``ahead``
+    (what follows the chunk in its document), which is handed on; ``whole``: source_file, text.
     A document with any chunk text takes no whole text: what lies beyond it is empty.
     """
     wanted = registry.where(F.col("chunk_count") > 0).select("document_id", "source_file", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
     known = texts.groupBy("source_file").agg(F.lit(True).alias("chunked"))
-    joined = wanted.join(texts.select("source_file", "chunk_index", "chunk"), ["source_file", "chunk_index"], "left").join(known, "source_file", "left").join(whole.select("source_file", F.col("text").alias("whole")), "source_file", "left")
+    more = [c for c in ("ahead",) if c in texts.columns]
+    joined = wanted.join(texts.select("source_file", "chunk_index", "chunk", *more), ["source_file", "chunk_index"], "left").join(known, "source_file", "left").join(whole.select("source_file", F.col("text").alias("whole")), "source_file", "left")
     content = F.coalesce(F.when(F.col("chunked"), F.col("chunk")).otherwise(F.col("whole")), F.lit(""))
-    return joined.select("document_id", "chunk_index", content.alias("content"))
+    return joined.select("document_id", "chunk_index", content.alias("content"), *more)
 
 
 def passages(registry: DataFrame, rows: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """One record per chunk: identifiers, book, chapter and verses with their evidence, noise class, headings.
 
     ``registry``: document_id, source_file and, where known, book, title, author, language, source_type; ``rows`` as of
-    ``chunk_rows``; ``paths``: document_id, chunk_index, path, depth of paged documents. Elsewhere the text's own headings count.
+    ``chunk_rows``, where a reference that runs over a chunk's end into ``ahead`` counts for the chunk in which it begins; ``paths``: document_id, chunk_index, path, depth of paged documents. Elsewhere the text's own headings count.
     """
     about = registry
     for name in ("book", "title", "author", "language", "source_type"):
         if name not in about.columns:
             about = about.withColumn(name, F.lit(None).cast("string"))
     about = about.select("document_id", "source_file", "title", "author", "language", "source_type", F.coalesce("book", book_of_file(F.col("source_file")), F.lit(UNKNOWN)).alias("book_id"))
-    own = rows.join(about, "document_id").withColumn("refs", references.question_references(F.col("content")))
+    content = F.col("content")
+    read = F.concat(content, references.cut_reference(content, F.col("ahead"))) if "ahead" in rows.columns else content
+    own = rows.join(about, "document_id").withColumn("refs", references.question_references(read))
     known = F.col("book_id") != UNKNOWN
     best = F.when(known, references.evidence(F.col("refs"), F.col("book_id")))
     own = own.withColumns({"best": best, "chunk_id": chunk_id(F.col("document_id"), F.col("chunk_index"))}).withColumn("noise", quality.noise_type(F.col("content")))

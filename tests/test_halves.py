@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import quality, text
-from lectern.operators import evaluation, structure
+from lectern.operators import corpus, evaluation, structure
 
 
 def test_noise_next_to_a_half(spark):
@@ -23,3 +23,12 @@ def test_heading_confidence_is_rounded_once(spark):
     shares = [r.c for r in structure.page_headings(spans).select(text.rounded(F.col("confidence"), 2).alias("c")).collect()]
     # 13 letters of 16 at strength 0.8: a value just below 0.745
     assert shares == [0.74] * 4
+
+
+def test_reference_over_a_chunks_end(spark):
+    reg = spark.createDataFrame([("d1", "2 kings notes.txt", 3)], "document_id string, source_file string, chunk_count int")
+    t = "See 2 Kings 19:4-6. x"
+    texts = spark.createDataFrame([("2 kings notes.txt", k, t[7 * k : 7 * k + 7], t[7 * k + 7 :]) for k in range(3)], "source_file string, chunk_index int, chunk string, ahead string")
+    rows = corpus.chunk_rows(reg, texts, spark.createDataFrame([], "source_file string, text string"))
+    got = {r.chunk_index: (r.content, r.chapter, r.verse_start, r.verse_end, r.confidence, r.candidates) for r in corpus.passages(reg.drop("chunk_count"), rows).collect()}
+    assert got == {0: ("See 2 K", 19, 4, 6, 1.0, 2), 1: ("ings 19", None, None, None, None, None), 2: (":4-6. x", None, None, None, None, None)}
