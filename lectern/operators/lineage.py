@@ -23,7 +23,23 @@ def cut(df: DataFrame) -> DataFrame:
 SPREAD_BYTES = 256 << 20
 
 
+#: Estimated bytes of input whose rows, once taken apart, one task groups.
+PART_BYTES = 8 << 20
+#: Estimates from here on stand for tables of unknown size (lists of the driver, RDDs).
+UNKNOWN_BYTES = 1 << 50
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions a shuffle of what ``df`` is taken apart into needs: the session's own number for small inputs and those of
+    unknown size, more as the input grows, so that a task's share does not."""
+    size = estimated_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES) if size < UNKNOWN_BYTES else 1)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly if it is so small that its files may keep few cores busy; a larger one as it is, without a shuffle."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) <= SPREAD_BYTES else df
