@@ -11,7 +11,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -326,6 +327,35 @@ def token_batches(lengths: list[int], most: int = 1600) -> list[int]:
     return out
 
 
+#: Characters of text that a task has as Python strings at once, but for a single longer text.
+CHARACTERS = 1 << 20
+
+
+def chunks_in_rows(batches: Iterator[pa.RecordBatch], chunks_of: Callable = paragraph_chunks_of) -> Iterator[pa.RecordBatch]:
+    """``key, chunk_index, chunk`` of batches (key, text), handed on as soon as there are ``CHARACTERS`` of them, whatever a batch holds."""
+    for batch in batches:
+        held, n = ([], [], []), 0
+        for key, text in zip(batch.column(0), batch.column(1)):
+            found = chunks_of(text.as_py())
+            for column, values in zip(held, ([key] * len(found), range(len(found)), found)):
+                column.extend(values)
+            n += sum(map(len, found))
+            if n >= CHARACTERS:
+                yield _chunk_rows(held, batch.schema)
+                held, n = ([], [], []), 0
+        yield _chunk_rows(held, batch.schema)
+
+
+def _chunk_rows(held: tuple[list, list, list], schema: pa.Schema) -> pa.RecordBatch:
+    key = schema.field(0)
+    return pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in held[0]], key.type), pa.array(held[1], pa.int32()), pa.array(held[2], pa.string())], [key.name, "chunk_index", "chunk"])
+
+
+def paragraph_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row (key, chunk_index, chunk) for each of ``paragraph_chunks``, without an array of all of a text's chunks."""
+    return docs.select(key, text).mapInArrow(chunks_in_rows, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index int, chunk string")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def paragraph_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(paragraph_chunks_of)

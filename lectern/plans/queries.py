@@ -319,7 +319,7 @@ def structure_chunks(spark, sf_dir):
 @query()
 def paragraph_chunks(spark, sf_dir):
     """The production chunker: an ordered fold over each text; tests/ compares it with plain cases."""
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunk.paragraph_chunks("text")).alias("chunk_index", "c"))
+    rows = chunk.paragraph_rows(documents(spark, sf_dir)).withColumnRenamed("chunk", "c")
     return rows.select("doc_id", "chunk_index", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 

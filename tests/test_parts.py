@@ -42,3 +42,17 @@ def test_vector_search_memory():
     found = [part.num_rows for part in retrieval.nearest_of([batch], ids, matrix, 10)]
     assert tracemalloc.get_traced_memory()[1] < 12 * 8 * retrieval.CELLS < 8 * 10_000 * 2_048 and found == [10 * 2_048]
     tracemalloc.stop()
+
+
+def test_paragraph_chunks_are_handed_on_in_parts(spark):
+    """Rows as of the arrays, and no batch of much more than the characters stated."""
+    import pyarrow as pa
+
+    from lectern.functions import chunk
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = docs.select("doc_id", F.posexplode(chunk.paragraph_chunks("text")).alias("chunk_index", "chunk"))
+    assert sorted(map(tuple, chunk.paragraph_rows(docs).collect())) == sorted(map(tuple, want.collect()))
+    long = pa.record_batch([pa.array(range(40)), pa.array(["one two three. " * 20_000] * 39 + [None])], ["doc_id", "text"])
+    parts = list(chunk.chunks_in_rows([long]))
+    assert len(parts) > 5 and all(sum(map(len, p.column(2).to_pylist())) < chunk.CHARACTERS + 400_000 for p in parts)
