@@ -53,7 +53,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of five-word shingles) stays."""
+    """One document of each group of near copies stays: SimHash fingerprints, settled at 0.8 or more of five-word shingles, then what lies beyond their radius."""
     return near_copies.keep_one(docs).select(*COLUMNS)
 
 

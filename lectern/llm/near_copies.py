@@ -5,6 +5,11 @@ similarity of ``NUM / DEN`` (0.8) or more, and groups are the connected componen
 of the links. Nothing is estimated: every filter below is a bound that no such
 pair can miss.
 
+SimHash first: a set's fingerprint has the bits that most of its shingles' hashes set. Fingerprints
+within 2 bits meet at the anchors of the covering code of ``simhash`` and make groups as there; each set of such a group is then
+held against the group's smallest one by the exact similarity, and what passes is linked. Near copies may differ in up to some
+11 bits, which no code that can be searched covers, so the search goes on among sets that no link has joined yet:
+
 Prefix filter: all sets are put into one order, shingles that are common in a
 sample last. Of two sets that are similar enough, the first n - ceil(0.8 n) + 1
 shingles of each share one, so the holders of one shingle are a list in which pairs
@@ -39,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage, map_text
+from lectern.llm import simhash
 from lectern.llm.simhash import SEED, components, first_of_each
 
 WORDS = 5
@@ -90,11 +96,11 @@ def differing(one: bytes, two: bytes) -> int:
 
 
 def _marks(common: np.ndarray, counts: np.ndarray):
-    """Start of a task that gives each text its set's name, size, prefix and bitmap."""
+    """Start of a task that gives each text its set's name, size, fingerprint, prefix and bitmap."""
 
     def start():
         def work(texts: list) -> list[pa.Array]:
-            names, sizes, prefixes, bitmaps, small = [], [], [], [], []
+            names, sizes, prints, prefixes, bitmaps, small = [], [], [], [], [], []
             for text in texts:
                 found = shingles(text)
                 n = len(found)
@@ -104,10 +110,11 @@ def _marks(common: np.ndarray, counts: np.ndarray):
                     seen = np.where(common[at] == found, counts[at], 0)
                 first = n - -(-NUM * n // DEN) + 1 if n else 0
                 names.append(_name(found)), sizes.append(n), bitmaps.append(bitmap(found))
+                prints.append(simhash.bits_of(found))
                 small.append(np.frombuffer(bitmap(found, SMALL), "<i8"))
                 prefixes.append(found[np.lexsort((found, seen))[:first]].view("<i8"))
             longs = pa.list_(pa.int64())
-            return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(small, longs), pa.array(bitmaps, pa.binary())]
+            return [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, longs), pa.array(small, longs), pa.array(bitmaps, pa.binary())]
 
         return work
 
@@ -202,13 +209,26 @@ def _ordered(one: str, two: str) -> list:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def group_labels(rows: DataFrame, sets: DataFrame, settle) -> DataFrame | None:
-    """``sid, label`` of all sets that link to another; ``rows`` are lists (token, sid), ``settle`` keeps the pairs that link.
+def fingerprint_links(sets: DataFrame, settle) -> DataFrame:
+    """Links (a, b) between the smallest set of each SimHash group of ``sets`` (sid, fp, n, bits) and its others, as far as ``settle`` keeps them."""
+    prints = cut_lineage(sets.groupBy("fp").agg(F.min("sid").alias("least")))
+    member = components(simhash.links(prints.select("fp"))).withColumnRenamed("label", "print")
+    grouped = cut_lineage(prints.join(member, "fp", "left").select("fp", "least", F.coalesce("print", "fp").alias("print")))
+    head = grouped.groupBy("print").agg(F.min("least").alias("head"))
+    named = grouped.join(head, "print").select("fp", "head")
+    pairs = sets.select("sid", "fp").join(named, "fp").where(F.col("sid") != F.col("head")).select(*_ordered("head", "sid"))
+    return settle(bounded_distance(pairs, sets).where("close").select("a", "b"))
+
+
+def group_labels(rows: DataFrame, sets: DataFrame, settle, links: DataFrame | None = None) -> DataFrame | None:
+    """``sid, label`` of all sets that link to another; ``rows`` are lists (token, sid), ``settle`` keeps the pairs that link, ``links`` are known.
 
     A row's bits ``near`` and ``far`` say for each round whether its set links to the hub, or is too far from
     it to link to a set that does.
     """
-    rows, links, label, before = cut_lineage(rows.withColumns({"near": F.lit(0), "far": F.lit(0)})), None, None, float("inf")
+    rows, links, label, before = cut_lineage(rows.withColumns({"near": F.lit(0), "far": F.lit(0)})), links, None, float("inf")
+    if links is not None:
+        label = components(links).withColumnRenamed("fp", "sid")
     most = rows.count()
     for turn in range(HUBS + 1):
         own = rows.withColumn("lab", F.col("sid")) if label is None else rows.join(label, "sid", "left").withColumn("lab", F.coalesce("label", "sid")).drop("label")
@@ -242,10 +262,11 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """Per row: its key (``id`` and two hashes of its text) and ``label``, the same within a group of near copies."""
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("__text"))
     marks = _marks(*common_shingles(docs, text))
-    whole = cut_lineage(map_text(keyed, "__text", "sid long, n long, prefix array<long>, small array<long>, bits binary", marks, keep_text=False))
+    whole = cut_lineage(map_text(keyed, "__text", "sid long, n long, fp long, prefix array<long>, small array<long>, bits binary", marks, keep_text=False))
     marked = whole.select("id", "t1", "t2", "sid")
-    sets = cut_lineage(whole.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "small", "bits")]))
-    label = group_labels(meetings(sets), sets.select("sid", "n", "small", "bits"), lambda pairs: similar(pairs, marked, keyed))
+    sets = cut_lineage(whole.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "small", "bits")]))
+    settle = lambda pairs: similar(pairs, marked, keyed)
+    label = group_labels(meetings(sets), sets.select("sid", "n", "small", "bits"), settle, fingerprint_links(sets, settle))
     if label is None:
         return marked.withColumn("label", F.col("sid"))
     return marked.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -52,7 +52,11 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8")
+    return bits_of(np.fromiter((digest(s, SEED) for s in shingles), "<u8"))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit ``hashes`` set; 0 for none."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), BLOCK):
         part = hashes[start : start + BLOCK]

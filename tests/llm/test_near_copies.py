@@ -102,3 +102,17 @@ def test_stages_with_odd_rows(spark, odd, k):
     if name == "best_fit_packing":
         assert {r.doc_id for r in rows} == ids
     assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_stage_begins_with_fingerprints(spark, edited, monkeypatch):
+    """SimHash groups are looked for first, their links are near copies, and the search beyond them starts from these."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in edited.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    given, label = [], near_copies.group_labels
+    monkeypatch.setattr(near_copies, "group_labels", lambda rows, sets, settle, links=None: given.append(links.collect()) or label(rows, sets, settle, links))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    (links,) = given
+    sets = {near_copies._name(s): s for s in map(near_copies.shingles, edited.values())}
+    assert len(links) > 5 and kept == plain_kept(edited)
+    for a, b in links:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert 9 * both >= 4 * (len(sets[a]) + len(sets[b]))
