@@ -53,11 +53,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
 
 
-def map_text(df: DataFrame, text: str, added: str, start: Callable, keep_text: bool = True) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is made of a part, not of a batch, is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_text(df: DataFrame, text: str, added: str, start: Callable, keep_text: bool = True, at_once: int | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (a DDL string), worked out from column ``text`` in Arrow batches.
 
     ``start()`` runs once in each task and returns a function from a list of texts to the
-    added columns as Arrow arrays. Columns of ``df`` that have an added column's name go.
+    added columns as Arrow arrays, of at most ``at_once`` texts at a time (by default a
+    batch). Columns of ``df`` that have an added column's name go.
     """
     new = StructType.fromDDL(added)
     own = without(df, *new.names)
@@ -65,7 +73,7 @@ def map_text(df: DataFrame, text: str, added: str, start: Callable, keep_text: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in batches if at_once is None else slices(batches, at_once):
             columns = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + columns, [f.name for f in kept] + new.names)
 

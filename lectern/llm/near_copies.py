@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, map_text
+from lectern.llm.common import cut_lineage, map_text, slices
 from lectern.llm import simhash
 from lectern.llm.simhash import SEED, components, first_of_each
 
@@ -56,6 +56,10 @@ BROADCAST_ROWS = 200_000
 #: Rounds of hubs at most (a bit of an int each), and how many comparisons a row of a list may have left for a join.
 HUBS, FEW = 24, 1_000
 TEXTS_A_FILE = 2_000
+#: Texts or pairs of which a task holds Python objects at once.
+AT_ONCE = 500
+#: Ratio of a band of set sizes, a little over 1 / 0.8 so that rounding cannot part two that may link.
+BAND = 1.26
 #: Bits of the bitmap that such a join compares before it gives out a pair.
 SMALL = 512
 
@@ -125,7 +129,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     """(hashes in order, counts) of shingles that many texts of a sample have; bounded by ``MOST_COMMON``."""
     share = max(1, docs.count() // SAMPLE)
     some = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
-    sets = map_text(some, "t", "found array<long>", _sets, keep_text=False)
+    sets = map_text(some, "t", "found array<long>", _sets, keep_text=False, at_once=AT_ONCE)
     counted = sets.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
@@ -138,18 +142,30 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def meetings(sets: DataFrame) -> DataFrame:
-    """``token, sid``: the lists of sets (sid, prefix) that share a shingle of their prefixes, each list of holders once."""
-    held = sets.select("sid", F.explode("prefix").alias("token"))
-    shared = cut_lineage(held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    meeting = cut_lineage(held.join(_bounded(shared), "token").select("token", "sid"))
-    holders = meeting.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"))
+def _band(n: Column) -> Column:
+    """A long with one bit set, of the set size's band: sizes within 0.8 of each other lie in one band or in neighbouring ones. Bands 64 apart share a bit."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(BAND))), F.lit(64)).cast("int"))
+
+
+def meetings(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``token, sid, lab``: the lists of sets (sid, n, prefix) that share a shingle of their prefixes, each list of holders once; ``known`` has sets' groups (sid, label).
+
+    A list in which no two sizes are within 0.8 of each other, or whose sets all are in one group already, has no pair left to find and goes.
+    """
+    held = sets.withColumn("band", _band(F.col("n"))).select("band", F.explode("prefix").alias("token"))
+    seen = F.col("seen")
+    beside = seen.bitwiseAND(F.call_function("shiftleft", seen, F.lit(1)).bitwiseOR(F.shiftrightunsigned(seen, 63))) != 0
+    shared = held.groupBy("token").agg(F.count("*").alias("c"), F.bit_or("band").alias("seen")).where((F.col("c") > 1) & ((F.col("c") > F.bit_count(seen)) | beside))
+    shared = cut_lineage(shared.select("token"))
+    own = sets.select("sid", "prefix").join(known, "sid", "left").select("sid", F.coalesce("label", "sid").alias("lab"), F.explode("prefix").alias("token"))
+    meeting = cut_lineage(own.join(_bounded(shared), "token").select("token", "sid", "lab"))
+    holders = meeting.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"), (F.min("lab") < F.max("lab")).alias("open")).where("open")
     once = cut_lineage(holders.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    return meeting.join(_bounded(once), "token").select("token", "sid")
+    return meeting.join(_bounded(once), "token").select("token", "sid", "lab")
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, AT_ONCE):
         one, two = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         both = one + two
         unlike = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(both))
@@ -167,7 +183,7 @@ def bounded_distance(pairs: DataFrame, sets: DataFrame, most: int | None = None)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, AT_ONCE):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             one, two = shingles(x), shingles(y)
@@ -223,15 +239,20 @@ def fingerprint_links(sets: DataFrame, settle) -> DataFrame:
 def group_labels(rows: DataFrame, sets: DataFrame, settle, links: DataFrame | None = None) -> DataFrame | None:
     """``sid, label`` of all sets that link to another; ``rows`` are lists (token, sid), ``settle`` keeps the pairs that link, ``links`` are known.
 
+    If ``rows`` have ``lab``, that is what ``links`` make of their sets.
+
     A row's bits ``near`` and ``far`` say for each round whether its set links to the hub, or is too far from
     it to link to a set that does.
     """
     rows, links, label, before = cut_lineage(rows.withColumns({"near": F.lit(0), "far": F.lit(0)})), links, None, float("inf")
-    if links is not None:
+    if links is not None and "lab" not in rows.columns:
         label = components(links).withColumnRenamed("fp", "sid")
     most = rows.count()
     for turn in range(HUBS + 1):
-        own = rows.withColumn("lab", F.col("sid")) if label is None else rows.join(label, "sid", "left").withColumn("lab", F.coalesce("label", "sid")).drop("label")
+        if "lab" in rows.columns:
+            own = rows
+        else:
+            own = rows.withColumn("lab", F.col("sid")) if label is None else rows.join(label, "sid", "left").withColumn("lab", F.coalesce("label", "sid")).drop("label")
         first = F.min(F.struct("sid", "lab", "near", "far")).alias("hub")
         lists = own.groupBy("token", "lab").agg(F.count("*").alias("k"), first).groupBy("token").agg(F.count("*").alias("labels"), F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("q"), F.min("hub").alias("hub")).where("labels > 1")
         lists = cut_lineage(lists.select("token", "c", ((F.col("c") * F.col("c") - F.col("q")) / 2).alias("left"), F.col("hub.sid").alias("hub"), F.col("hub.lab").alias("h_lab"), F.col("hub.near").alias("h_near"), F.col("hub.far").alias("h_far")), most)
@@ -255,6 +276,8 @@ def group_labels(rows: DataFrame, sets: DataFrame, settle, links: DataFrame | No
         bit = F.lit(1 << turn)
         met = own.where(F.col("sid") != F.col("hub")).select("token", "sid", "near", "far", *_ordered("sid", "hub")).join(told.withColumnRenamed("far", "is_far"), ["a", "b"], "left")
         rows = cut_lineage(met.select("token", "sid", F.when(F.col("link"), F.col("near").bitwiseOR(bit)).otherwise(F.col("near")).alias("near"), F.when(F.col("is_far"), F.col("far").bitwiseOR(bit)).otherwise(F.col("far")).alias("far")), most)
+    if label is None and links is not None:
+        label = components(links).withColumnRenamed("fp", "sid")
     return label
 
 
@@ -262,11 +285,14 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """Per row: its key (``id`` and two hashes of its text) and ``label``, the same within a group of near copies."""
     keyed = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.col(text).alias("__text"))
     marks = _marks(*common_shingles(docs, text))
-    whole = cut_lineage(map_text(keyed, "__text", "sid long, n long, fp long, prefix array<long>, small array<long>, bits binary", marks, keep_text=False))
+    whole = cut_lineage(map_text(keyed, "__text", "sid long, n long, fp long, prefix array<long>, small array<long>, bits binary", marks, keep_text=False, at_once=AT_ONCE))
     marked = whole.select("id", "t1", "t2", "sid")
     sets = cut_lineage(whole.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "small", "bits")]))
     settle = lambda pairs: similar(pairs, marked, keyed)
-    label = group_labels(meetings(sets), sets.select("sid", "n", "small", "bits"), settle, fingerprint_links(sets, settle))
+    links = fingerprint_links(sets, settle)
+    # each such link leads from its group's smallest set, so these are stars, which need no search for components
+    known = links.select(F.col("b").alias("sid"), F.col("a").alias("label")).union(links.select("a", "a").distinct())
+    label = group_labels(meetings(sets, known), sets.select("sid", "n", "small", "bits"), settle, links)
     if label is None:
         return marked.withColumn("label", F.col("sid"))
     return marked.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))

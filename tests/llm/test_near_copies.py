@@ -116,3 +116,30 @@ def test_stage_begins_with_fingerprints(spark, edited, monkeypatch):
     for a, b in links:
         both = len(np.intersect1d(sets[a], sets[b]))
         assert 9 * both >= 4 * (len(sets[a]) + len(sets[b]))
+
+
+def test_lists_without_a_possible_pair_go(spark):
+    """Of lists that share a shingle, those whose sizes are too far apart or whose sets are one group already make no rows; sizes just within 0.8 stay."""
+    rows = [(1, 10, [7]), (2, 100, [7]), (3, 40, [8]), (4, 50, [8]), (5, 60, [9]), (6, 61, [9]), (7, 80, [5]), (8, 100, [5]), (9, 1000, [5]), (10, 1, [4]), (11, 10**9, [4])]
+    sets = spark.createDataFrame(rows, "sid long, n long, prefix array<long>")
+    known = spark.createDataFrame([(5, 5), (6, 5), (7, 7)], "sid long, label long")
+    assert sorted((r.token, r.sid, r.lab) for r in near_copies.meetings(sets, known).collect()) == [(5, 7, 7), (5, 8, 8), (5, 9, 9), (8, 3, 3), (8, 4, 4)]
+
+
+def test_sizes_within_bounds_share_or_neighbour_a_band(spark):
+    """Every two sizes whose ratio is 0.8 or more have one band or neighbouring ones."""
+    sizes = [n for k in range(1, 30_000) for n in (4 * k, 5 * k)]
+    bands = [r.b for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(near_copies._band(near_copies.F.col("n")).alias("b")).collect()]
+    place = [(b % 2**64).bit_length() for b in bands]
+    assert all((y - x) % 64 in (0, 1) for x, y in zip(place[::2], place[1::2]))
+
+
+def test_tasks_hold_few_rows_as_objects():
+    """A batch is worked on in parts, however many rows Spark puts into it."""
+    import pyarrow as pa
+
+    from lectern.llm.common import slices
+
+    batches = [pa.record_batch([pa.array(range(n))], ["x"]) for n in (0, 3, 10)]
+    parts = list(slices(iter(batches), 4))
+    assert [p.num_rows for p in parts] == [3, 4, 4, 2] and [x for p in parts for x in p.column(0).to_pylist()] == [*range(3), *range(10)]
