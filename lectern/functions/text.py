@@ -189,15 +189,21 @@ FRONT_WORDS = rf"(?im)(Copyright|ISBN|All rights reserved|Table of Contents|판
 
 def split_front_pages(c: Column) -> Column:
     """``struct<front, body>``: pages among the first that look like front matter, and the others."""
-    pages = F.split(c, PAGE)
-    short = lambda p: F.size(F.filter(lines(p), lambda x: F.length(x) <= 3)) / F.greatest(F.size(lines(p)), F.lit(1))
-    is_front = lambda p: (strip(p) == "") | strip(p).rlike(FRONT_WORDS) | ((F.length(strip(p)) < 400) & (short(p) > 0.3))
-    flags = F.transform(pages, lambda p, i: (i < MAX_FRONT_PAGES) & is_front(p))
-    # where every page looks like front matter only the first counts
-    flags = F.when(F.forall(flags, lambda f: f), F.transform(pages, lambda p, i: i == 0)).otherwise(flags)
-    part = lambda front: F.array_join(F.filter(F.transform(F.filter(F.arrays_zip(pages.alias("p"), flags.alias("f")), lambda z: z["f"] == front), lambda z: strip(z["p"])), lambda x: x != ""), "\n\n")
     whole = F.struct(F.lit("").alias("front"), F.coalesce(c, F.lit("")).alias("body"))
-    return F.when(c.contains(PAGE), F.struct(part(True).alias("front"), part(False).alias("body"))).otherwise(whole)
+
+    def is_front(p: Column) -> Column:
+        short = lambda every: F.size(F.filter(every, lambda x: F.length(x) <= 3)) / F.greatest(F.size(every), F.lit(1))
+        return (p == "") | p.rlike(FRONT_WORDS) | ((F.length(p) < 400) & (let(lines(p), short) > 0.3))
+
+    def parts(marked: Column) -> Column:
+        # where every page looks like front matter only the first counts
+        alone = F.forall(marked, lambda z: z["f"])
+        part = lambda front: F.array_join(F.transform(F.filter(marked, lambda z, i: (z["f"] & (~alone | (i == 0)) == front) & (z["p"] != "")), lambda z: z["p"]), "\n\n")
+        return F.struct(part(F.lit(True)).alias("front"), part(F.lit(False)).alias("body"))
+
+    # each page is stripped and judged once, only those that may be front matter are judged
+    page = lambda p, i: F.struct(p.alias("p"), F.when(i < MAX_FRONT_PAGES, is_front(p)).otherwise(False).alias("f"))
+    return F.when(c.contains(PAGE), let(F.transform(F.transform(F.split(c, PAGE), strip), page), parts)).otherwise(whole)
 
 
 def safe_stem(c: Column) -> Column:
