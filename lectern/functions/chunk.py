@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from lectern import lexicon
 from lectern.functions.quality import BOUNDARY_LEAST, BOUNDARY_WEIGHTS
-from lectern.functions.text import WS, strip
+from lectern.functions.text import WS, let, strip
 
 SIZE, OVERLAP, LEAST = 1200, 120, 80
 
@@ -34,25 +34,31 @@ LATIN, ORIGINAL = re.compile("[A-Za-z]"), re.compile("[֐-׿Ͱ-Ͽἀ-῿]")
 
 def fixed_windows(c: Column, size: int = 1000, overlap: int = 100, least: int = 50) -> Column:
     """Windows of ``size`` characters, cut back to the last blank beyond their middle unless they reach the end."""
-    c = F.coalesce(c, F.lit(""))
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
 
-    def window(start: Column) -> Column:
-        piece = F.substring(c, start, F.lit(size))
-        blank = F.length(piece) - F.instr(F.reverse(piece), " ")  # its place from 0, or the length if there is none
-        cut = (start + size - 1 < F.length(c)) & (F.instr(piece, " ") > 0) & (blank > size * 0.5)
-        return strip(F.when(cut, F.substring(piece, F.lit(1), blank)).otherwise(piece))
+    def windows(c: Column) -> Column:
+        starts = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+
+        def window(start: Column) -> Column:
+            piece = F.substring(c, start, F.lit(size))
+            blank = F.length(piece) - F.instr(F.reverse(piece), " ")  # its place from 0, or the length if there is none
+            cut = (start + size - 1 < F.length(c)) & (F.instr(piece, " ") > 0) & (blank > size * 0.5)
+            return strip(F.when(cut, F.substring(piece, F.lit(1), blank)).otherwise(piece))
+
+        return F.filter(F.transform(starts, window), lambda x: F.length(x) >= least)
 
-    return F.filter(F.transform(starts, window), lambda x: F.length(x) >= least)
+    return let(F.coalesce(c, F.lit("")), windows)  # a text that is itself worked out is not worked out again for each window
 
 
 def structure_chunks(c: Column, size: int = 1000, overlap: int = 100, least: int = 50) -> Column:
     """Text from each heading or numbered line to the next; windows where there is at most one."""
-    c = F.coalesce(c, F.lit(""))
     head = r"(?m)^(#{1,3}[ \t]+[^\n]+|[0-9]+[.)][ \t]+[^\n]+)$"
-    parts = F.filter(F.split(c, r"(?m)(?=^(?:#{1,3}[ \t]+[^\n]|[0-9]+[.)][ \t]+[^\n]))"), lambda x: x.rlike(head))
-    long = F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least)
-    return F.when(F.regexp_count(c, F.lit(head)) <= 1, fixed_windows(c, size, overlap, least)).otherwise(long)
+
+    def chunks(c: Column) -> Column:
+        parts = F.filter(F.split(c, r"(?m)(?=^(?:#{1,3}[ \t]+[^\n]|[0-9]+[.)][ \t]+[^\n]))"), lambda x: x.rlike(head))
+        long = F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least)
+        return F.when(F.regexp_count(c, F.lit(head)) <= 1, fixed_windows(c, size, overlap, least)).otherwise(long)
+
+    return let(F.coalesce(c, F.lit("")), chunks)
 
 
 def sentence_chunks(c: Column, size: int = 1000, least: int = 50) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import chunk, text
 
 
 def times(spark, column, name):
@@ -11,6 +11,11 @@ def times(spark, column, name):
     return rows._jdf.queryExecution().analyzed().toString().count(f"{name}(")
 
 
+def test_windows_look_at_one_text(spark):
+    assert times(spark, chunk.structure_chunks(F.initcap("t")), "initcap") == 1
+    assert times(spark, chunk.fixed_windows(F.initcap("t")), "initcap") == 1
+
+
 def test_front_pages_are_cut_and_judged_once(spark):
     assert times(spark, text.split_front_pages(F.col("t")), "split") == 2  # the text into pages, a page into lines
 
