@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WORD, WS, clean_paged, count_chars, let, lines, normalise_basic, rounded, strip
+from lectern.functions.text import SPLIT_CAPITAL, SPLIT_LETTER, SPLIT_PART, WORD, WS, both_cleaned, clean_paged, count_chars, let, lines, normalise_basic, rounded, strip
 
 SYMBOLS = rf"^{WORD}{WS}"
 SYMBOL = f"[{SYMBOLS}]"
@@ -65,13 +65,17 @@ def odd_character_ratio(c: Column) -> Column:
 
 
 def word_split_ratio(c: Column) -> Column:
-    hits = sum(count(c, p) for p in (rf"(?<![{WORD}])[A-Z] [a-z]{{2,}}(?![{WORD}])", rf"(?<![{WORD}])[b-hj-z] [a-z]{{1,2}}(?![{WORD}])", r"(?<=[a-z]) [a-z]{1,3}(?= [a-z])"))
+    hits = sum(count(c, p) for p in (SPLIT_CAPITAL, SPLIT_LETTER, SPLIT_PART))
     return hits / F.greatest(F.length(c) / 100.0, F.lit(1.0))
 
 
+def artifact_share(every: Column) -> Column:
+    odd = lambda x: x.rlike(r"^(?:\p{Nd}+|(?i:page)\s+\p{Nd}+|[-–—_]{1,4})$")
+    return share(F.size(F.filter(every, odd)), F.size(every))
+
+
 def page_artifact_ratio(c: Column) -> Column:
-    odd = lambda x: x.rlike(r"^\p{Nd}+$") | x.rlike(r"(?i)^page\s+\p{Nd}+$") | x.rlike("^[-–—_]{1,4}$")
-    return let(lines(c), lambda every: share(F.size(F.filter(every, odd)), F.size(every)))
+    return let(lines(c), artifact_share)
 
 
 def broken_ratio(c: Column) -> Column:
@@ -105,6 +109,45 @@ def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken:
     return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), rounded(F.greatest(let(clean, total) * SCALE, F.lit(FLOOR)), 1)))
 
 
+def _shares(c: Column) -> Column:
+    """``struct`` of the symbol, repeated-mark, odd-character and short-line ratios, and the lines; what is no word and no blank is cut out once, with its neighbours."""
+
+    def of(marks: Column, every: Column) -> Column:
+        n, all_ = F.length(c), F.length(F.translate(marks, " ", ""))
+        plain = F.length(F.translate(marks, " .,;:!?()\"'\\-", ""))
+        short = F.size(F.filter(every, lambda x: F.length(x) <= 3))
+        return F.struct(share(all_, n).alias("symbols"), share(count(marks, r"([^ ])\1{2,}"), n).alias("marks"), share(plain, n).alias("odd"), share(short, F.size(every)).alias("short"), every.alias("lines"))
+
+    return let(F.regexp_replace(c, f"[{WORD}{WS}]+", " "), lambda marks: let(lines(c), lambda every: of(marks, every)))
+
+
+def noise_scores(c: Column, broken: Column) -> Column:
+    """``struct<pdf, scan, rich, other>``: ``noise_score`` of paged, recognised, formatted and other files at once; cleaned texts and ratios that several of them look at are worked out once."""
+    raw = F.coalesce(c, F.lit(""))
+
+    def scores(x: Column) -> Column:
+        b, cut, same = x["b"], x["cut"], x["b"] == x["raw"]
+        p, r, of = x["both"]["paged"], x["both"]["scan"], x["shares"]
+        final = lambda total: F.least(F.lit(100.0), rounded(F.greatest(total * SCALE, F.lit(FLOOR)), 1))
+
+        def totals(y: Column) -> Column:
+            pages = artifact_share(F.when(same, of["lines"]).otherwise(lines(x["raw"])))
+            paged = lambda s, artifact: s["symbols"] * 10 + s["short"] * 8 + cut * 12 + s["marks"] * 18 + artifact * 12
+            return let(pages, lambda artifact: F.struct(
+                final(paged(y["p"], artifact)).alias("pdf"),
+                final(paged(y["r"], artifact) + y["r"]["odd"] * 16 + word_split_ratio(x["raw"]) * 10).alias("scan"),
+                final(of["symbols"] * 18 + of["short"] * 10 + cut * 12).alias("rich"),
+                final(of["symbols"] * 20 + of["short"] * 10 + cut * 10).alias("other"),
+            ))
+
+        # most texts have no page marks
+        return let(F.struct(F.when(p == b, of).otherwise(_shares(p)).alias("p"), F.when(r == b, of).otherwise(_shares(r)).alias("r")), totals)
+
+    empty = F.struct(*[F.lit(100.0).alias(k) for k in ("pdf", "scan", "rich", "other")])
+    begun = let(normalise_basic(raw), lambda b: F.struct(raw.alias("raw"), b.alias("b"), broken.alias("cut"), both_cleaned(b).alias("both"), _shares(b).alias("shares")))
+    return F.when(strip(raw) == "", empty).otherwise(let(begun, scores))
+
+
 def noise_label(score: Column) -> Column:
     return F.when(score >= 60, "high").when(score >= 35, "caution").otherwise("good")
 

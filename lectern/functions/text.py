@@ -10,6 +10,8 @@ from __future__ import annotations
 import string
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,14 +41,25 @@ def count_chars(c: Column, chars: str) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))
 
 
+def holds(c: Column, parts) -> Column:
+    """Whether the text has any of ``parts``, compared byte by byte; far cheaper than a pattern that finds nothing."""
+    return reduce(or_, [c.contains(x) for x in parts])
+
+
+def replace_where(c: Column, parts, pattern: str, by: str) -> Column:
+    """``regexp_replace`` of texts that have any of ``parts``, without which ``pattern`` cannot match."""
+    return let(c, lambda x: F.when(holds(x, parts), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
 def normalise_basic(c: Column) -> Column:
     """Line ends to LF, tabs and runs of blanks to one blank, at most one empty line, stripped; null is empty."""
-    c = F.translate(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\r\t", "\n ")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \x{00A0}]+", " "), r"\n{3,}", "\n\n"))
+    ends = lambda x: F.when(holds(x, "\r\t"), F.translate(F.replace(x, F.lit("\r\n"), F.lit("\n")), "\r\t", "\n ")).otherwise(x)
+    c = replace_where(let(F.coalesce(c, F.lit("")), ends), ["  ", "\xa0"], r"[ \x{00A0}]+", " ")
+    return strip(replace_where(c, ["\n\n\n"], r"\n{3,}", "\n\n"))
 
 
 def normalise_extracted(c: Column) -> Column:
@@ -56,24 +69,48 @@ def normalise_extracted(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "), r"\n{3,}", "\n\n"))
 
 
-def repair_word_splits(c: Column, rounds: int = 5) -> Column:
-    """Blanks that recognition put inside words: "T he" -> "The"."""
-    c = F.regexp_replace(c, rf"(?<![{WORD}])([A-Z]) ([a-z]{{2,}})(?![{WORD}])", "$1$2")
-    c = F.regexp_replace(c, rf"(?<![{WORD}])([b-hj-z]) ([a-z]{{1,2}})(?![{WORD}])", "$1$2")
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"(?<=[a-z]) ([a-z]{1,3})(?= [a-z])", "$1")
-    return c
+# Blanks that recognition put inside words, as in "T he", "t he" and "wo rd s"; a pattern begins with what is rare and looks back from there
+SPLIT_CAPITAL = rf"([A-Z]) (?<![{WORD}][A-Z] )([a-z]{{2,}}+)(?![{WORD}])"
+SPLIT_LETTER = rf"([b-hj-z]) (?<![{WORD}][b-hj-z] )([a-z]{{1,2}})(?![{WORD}])"
+SPLIT_PART = r" (?<=[a-z] )([a-z]{1,3}+)(?= [a-z])"
+
+
+def repair_word_splits(c: Column) -> Column:
+    """Blanks that recognition put inside words: "T he" -> "The".
+
+    The last pass needs no repetition: a blank that fits after others have gone had the same letters on both sides before, so it went with them.
+    """
+    for pattern in (SPLIT_CAPITAL, SPLIT_LETTER):
+        c = F.regexp_replace(c, pattern, "$1$2")
+    return F.regexp_replace(c, SPLIT_PART, "$1")
+
+
+def _page_marks(c: Column) -> Column:
+    """``c``, which is normalised, without page-number lines, with hyphenated words joined."""
+    c = F.regexp_replace(c, r"(?m)^[ \t]*[0-9]+[ \t]*$", "")
+    c = F.regexp_replace(c, r"(?mi)^[ \t]*page\s+[0-9]+[ \t]*$", "")
+    return replace_where(c, ["-\n"], rf"([{WORD}])-\n([{WORD}])", "$1$2")
+
+
+def _recognised(c: Column) -> Column:
+    """What recognition leaves behind: split words, rows of bars, accents and marks."""
+    c = replace_where(replace_where(repair_word_splits(c), "|¦", "[|¦]{2,}", " "), "~`^", "[~`^]{2,}", " ")
+    return replace_where(F.regexp_replace(c, rf"(?m)^[^{WORD}]{{3,}}$", ""), "·•※◆▶→←↑↓", "[·•※◆▶→←↑↓]{2,}", " ")
+
+
+def _closed(c: Column) -> Column:
+    return strip(replace_where(c, ["\n\n\n"], r"\n{3,}", "\n\n"))
 
 
 def clean_paged(c: Column, recognised: bool = False) -> Column:
     """Paged text without page-number lines, with hyphenated words joined; more for recognised scans."""
-    c = F.regexp_replace(normalise_basic(c), r"(?m)^[ \t]*[0-9]+[ \t]*$", "")
-    c = F.regexp_replace(c, r"(?mi)^[ \t]*page\s+[0-9]+[ \t]*$", "")
-    c = F.regexp_replace(c, rf"([{WORD}])-\n([{WORD}])", "$1$2")
-    if recognised:
-        c = F.regexp_replace(F.regexp_replace(repair_word_splits(c), "[|¦]{2,}", " "), "[~`^]{2,}", " ")
-        c = F.regexp_replace(F.regexp_replace(c, rf"(?m)^[^{WORD}]{{3,}}$", ""), "[·•※◆▶→←↑↓]{2,}", " ")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    c = _page_marks(normalise_basic(c))
+    return _closed(_recognised(c) if recognised else c)
+
+
+def both_cleaned(basic: Column) -> Column:
+    """``struct<paged, scan>`` of a normalised text: ``clean_paged`` without and with what is done for scans, their common part once."""
+    return let(_page_marks(basic), lambda c: F.struct(_closed(c).alias("paged"), _closed(_recognised(c)).alias("scan")))
 
 
 # Korean particles that a line break may have cut off.
@@ -155,7 +192,9 @@ def keywords(c: Column, most: int = 20) -> Column:
 
 def lines(c: Column) -> Column:
     """Stripped lines that are not empty."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"), strip), lambda x: x != "")
+    rare = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    every = lambda x: F.when(holds(x, rare), F.split(x, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]")).otherwise(F.split(x, "\n"))
+    return F.filter(F.transform(let(F.coalesce(c, F.lit("")), every), strip), lambda x: x != "")
 
 
 def headings(c: Column) -> Column:

@@ -238,9 +238,9 @@ def noise_score_txt(spark, sf_dir):
 @query()
 def noise_score_paged(spark, sf_dir):
     """The scores of the other file types, by sentence and by line (not expressible without look-around and back-references)."""
-    rows = documents(spark, sf_dir).select("doc_id", "text", chunk.sentences("text").alias("s")).withColumn("cut", chunk.broken_sentence_ratio(F.col("s")))
-    c, cut = F.col("text"), F.col("cut")
-    return rows.select("doc_id", quality.noise_score(c, "pdf", False, cut).alias("pdf"), quality.noise_score(c, "pdf", True, cut).alias("scan"), quality.noise_score(c, "html", broken=cut).alias("rich"), quality.noise_score(c, "", broken=cut).alias("other"))
+    rows = documents(spark, sf_dir).select("doc_id", "text", chunk.sentences("text").alias("s"))
+    scored = rows.select("doc_id", quality.noise_scores(F.col("text"), chunk.broken_sentence_ratio(F.col("s"))).alias("n"))
+    return scored.select("doc_id", *[F.col("n")[k].alias(k) for k in ("pdf", "scan", "rich", "other")])
 
 
 NOISE_TYPE = f"""CASE WHEN {S_STRIP("coalesce(text, $$$$)")} = '' THEN 'PAGE_NUMBER'
