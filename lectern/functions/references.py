@@ -31,12 +31,34 @@ def themes(c: Column, lexicon_: dict[str, list[str]] | None = None) -> Column:
     return F.filter(let(F.lower(F.coalesce(c, F.lit(""))), shown), lambda x: x.isNotNull())
 
 
+#: Characters before a reference's colon that are looked at, beyond its name.
+BESIDE = 49
+
+
+def near_colons(c: Column, names: dict[str, str]) -> Column:
+    """The text without what is far from every colon: all references in it are found, and no others.
+
+    A reference has one colon, before it a name, blanks and at most nine digits, behind it at most two such numbers. Of a long
+    stretch between two colons its two ends stay, a bar between them; where blanks before the colon fill the end, all of it stays.
+    """
+    longest = max(map(len, names), default=0)
+    keep = longest + BESIDE
+
+    def ends(p: Column) -> Column:
+        whole = lambda tail: F.length(F.regexp_replace(tail, r"\s*[0-9]*\z", "")) <= longest
+        return F.when(F.length(p) <= 2 * keep, p).otherwise(let(F.right(p, F.lit(keep)), lambda tail: F.when(whole(tail), p).otherwise(F.concat(F.left(p, F.lit(keep)), F.lit("|"), tail))))
+
+    if any(":" in n for n in names):
+        return F.coalesce(c, F.lit(""))
+    return let(F.coalesce(c, F.lit("")), lambda x: F.when(x.contains(":"), F.array_join(F.transform(F.split(x, ":"), ends), ":")).otherwise(""))
+
+
 def references(c: Column, names: dict[str, str] | None = None) -> Column:
     """``array<struct<book_id, chapter, verse_start, verse_end>>`` of "Book c:v" and "Book c:v-w" in order."""
     table = names or lexicon.NAME_TO_BOOK
     alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
     whole = rf"(?i)({alternatives})\s+([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(whole), 0)
+    found = F.regexp_extract_all(near_colons(c, table), F.lit(whole), 0)
     code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     number = lambda m, group: F.expr("try_cast(null as int)") if group is None else F.regexp_extract(m, whole, group)
     return F.transform(
@@ -54,7 +76,7 @@ def question_references(c: Column, aliases: dict[str, str] | None = None) -> Col
     alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
     whole = rf"(?i)(?<![{WORD}])({alternatives})\s*([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
     code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(whole), 0)
+    found = F.regexp_extract_all(near_colons(c, table), F.lit(whole), 0)
     part = lambda m, k: F.regexp_extract(m, whole, k)
     short = F.transform(found, lambda m: F.struct(code[F.lower(part(m, 1))].alias("book_id"), part(m, 2).cast("int").alias("chapter"), part(m, 3).cast("int").alias("verse_start"), F.nullif(part(m, 4), F.lit("")).cast("int").alias("verse_end")))
     return F.concat(references(c), short)
