@@ -193,7 +193,7 @@ def keywords(c: Column, most: int = 20) -> Column:
 def lines(c: Column) -> Column:
     """Stripped lines that are not empty."""
     rare = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
-    every = lambda x: F.when(holds(x, rare), F.split(x, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]")).otherwise(F.split(x, "\n"))
+    every = lambda x: F.split(x, F.when(holds(x, rare), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]").otherwise("\n"))
     return F.filter(F.transform(let(F.coalesce(c, F.lit("")), every), strip), lambda x: x != "")
 
 
