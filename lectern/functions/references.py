@@ -24,10 +24,15 @@ def intent(c: Column) -> Column:
     return out
 
 
+def least_parts(parts: list[str]) -> list[str]:
+    """``parts`` less those that hold another one: a text has any of them if it has any of these."""
+    return [p for p in dict.fromkeys(parts) if not any(q != p and q in p for q in parts)]
+
+
 def themes(c: Column, lexicon_: dict[str, list[str]] | None = None) -> Column:
     """Names of the themes that a substring of the text shows, in the lexicon's order."""
     table = lexicon_ or lexicon.THEMES
-    shown = lambda low: F.array(*[F.when(reduce(or_, [low.contains(w) for w in words]), name) for name, words in table.items()])
+    shown = lambda low: F.array(*[F.when(reduce(or_, [low.contains(w) for w in least_parts(words)]), name) for name, words in table.items()])
     return F.filter(let(F.lower(F.coalesce(c, F.lit(""))), shown), lambda x: x.isNotNull())
 
 
