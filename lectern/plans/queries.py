@@ -111,7 +111,7 @@ def bm25_top100(spark, sf_dir):
 
 @query(f"WITH {PLAIN_QUESTIONS}{TFIDF} SELECT query_id, doc_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs QUALIFY rank <= 10")
 def tfidf_cosine_topk(spark, sf_dir):
-    return retrieval.top(retrieval.tfidf_scores(documents(spark, sf_dir), questions(spark, sf_dir)), 10, ["query_id"], F.desc("cosine"), F.col("doc_id"))
+    return retrieval.top(retrieval.tfidf_scores(documents(spark, sf_dir), questions(spark, sf_dir), k=10), 10, ["query_id"], F.desc("cosine"), F.col("doc_id"))
 
 
 @query(
