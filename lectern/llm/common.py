@@ -60,6 +60,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+#: Rows of texts that Spark hands to a task's Python at once: a batch, its copies in both processes and what is kept of them all count.
+ROWS_A_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python by at most ``ROWS_A_BATCH``; a smaller number of its own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 def map_text(df: DataFrame, text: str, added: str, start: Callable, keep_text: bool = True, at_once: int | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (a DDL string), worked out from column ``text`` in Arrow batches.
 
@@ -67,6 +78,7 @@ def map_text(df: DataFrame, text: str, added: str, start: Callable, keep_text: b
     added columns as Arrow arrays, of at most ``at_once`` texts at a time (by default a
     batch). Columns of ``df`` that have an added column's name go.
     """
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     own = without(df, *new.names)
     kept = [f for f in own.schema.fields if keep_text or f.name != text]
