@@ -5,6 +5,10 @@ Every ratio of an empty text is 0; an empty text has noise 100.
 
 from __future__ import annotations
 
+import string
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,11 +53,17 @@ def script_language(c: Column, least: float = 0.1) -> Column:
 
 
 def symbol_ratio(c: Column) -> Column:
-    return share(count_chars(c, SYMBOLS), F.length(c))
+    # all that is no symbol goes in long runs; most of it is plain, which a table tells before classes are looked up one after the other
+    symbols = F.regexp_replace(c, f"[[{string.ascii_letters}{string.digits} \n][{WORD}{WS}]]+", "")
+    return share(F.length(symbols), F.length(c))
+
+
+def short_share(every: Column) -> Column:
+    return share(F.size(F.filter(every, lambda x: F.length(x) <= 3)), F.size(every))
 
 
 def short_line_ratio(c: Column) -> Column:
-    return let(lines(c), lambda every: share(F.size(F.filter(every, lambda x: F.length(x) <= 3)), F.size(every)))
+    return let(lines(c), short_share)
 
 
 def repeated_mark_ratio(c: Column) -> Column:
@@ -88,6 +98,10 @@ def broken_ratio(c: Column) -> Column:
     return let(lines(c), ratio)
 
 
+def final_score(total: Column) -> Column:
+    return F.least(F.lit(100.0), rounded(F.greatest(total * SCALE, F.lit(FLOOR)), 1))
+
+
 def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken: Column | None = None) -> Column:
     """0 to 100. ``kind`` is a file type; ``broken`` replaces the ratio of broken sentences."""
     kind = kind.lower().replace(".", "")
@@ -106,7 +120,7 @@ def noise_score(c: Column, kind: str = "txt", recognised: bool = False, broken:
         paged = symbols * 10 + short * 8 + cut * 12 + repeated_mark_ratio(clean) * 18 + page_artifact_ratio(raw) * 12
         return paged + odd_character_ratio(clean) * 16 + word_split_ratio(raw) * 10 if recognised else paged
 
-    return F.when(strip(raw) == "", 100.0).otherwise(F.least(F.lit(100.0), rounded(F.greatest(let(clean, total) * SCALE, F.lit(FLOOR)), 1)))
+    return F.when(strip(raw) == "", 100.0).otherwise(final_score(let(clean, total)))
 
 
 def _shares(c: Column) -> Column:
@@ -128,16 +142,15 @@ def noise_scores(c: Column, broken: Column) -> Column:
     def scores(x: Column) -> Column:
         b, cut, same = x["b"], x["cut"], x["b"] == x["raw"]
         p, r, of = x["both"]["paged"], x["both"]["scan"], x["shares"]
-        final = lambda total: F.least(F.lit(100.0), rounded(F.greatest(total * SCALE, F.lit(FLOOR)), 1))
 
         def totals(y: Column) -> Column:
             pages = artifact_share(F.when(same, of["lines"]).otherwise(lines(x["raw"])))
             paged = lambda s, artifact: s["symbols"] * 10 + s["short"] * 8 + cut * 12 + s["marks"] * 18 + artifact * 12
             return let(pages, lambda artifact: F.struct(
-                final(paged(y["p"], artifact)).alias("pdf"),
-                final(paged(y["r"], artifact) + y["r"]["odd"] * 16 + word_split_ratio(x["raw"]) * 10).alias("scan"),
-                final(of["symbols"] * 18 + of["short"] * 10 + cut * 12).alias("rich"),
-                final(of["symbols"] * 20 + of["short"] * 10 + cut * 10).alias("other"),
+                final_score(paged(y["p"], artifact)).alias("pdf"),
+                final_score(paged(y["r"], artifact) + y["r"]["odd"] * 16 + word_split_ratio(x["raw"]) * 10).alias("scan"),
+                final_score(of["symbols"] * 18 + of["short"] * 10 + cut * 12).alias("rich"),
+                final_score(of["symbols"] * 20 + of["short"] * 10 + cut * 10).alias("other"),
             ))
 
         # most texts have no page marks
@@ -157,26 +170,34 @@ def noise_level(score: Column) -> Column:
 
 
 def caps_density(c: Column) -> Column:
-    """Words of two to six capitals against all words, each counted in one pass."""
-    return share(count(c, rf"(?<![{WORD}])[A-Z]{{2,6}}(?![{WORD}])"), count(c, f"[^{WS}]+"))
+    """Words of two to six capitals against all words; texts without two capitals in a row have none to count."""
+    # what stands before is looked at behind the first capital, as most characters are none
+    capitals = count(c, rf"[A-Z](?<![{WORD}][A-Z])[A-Z]{{1,5}}(?![{WORD}])")
+    every = F.length(F.regexp_replace(c, f"[{WS}]*+[^{WS}]++[{WS}]*+", "x"))
+    return F.when(c.rlike("[A-Z]{2}"), capitals / every).otherwise(0.0)
 
 
-def byline_block(c: Column) -> Column:
-    fits = lambda every: F.size(every).between(1, 4) & F.forall(every, lambda x: (F.length(x) <= 48) & ~x.rlike("[.!?。！？]"))
-    return let(lines(c), fits)
+def byline_block(every: Column) -> Column:
+    """Whether a text's lines are few and short, without a sentence's end."""
+    return F.size(every).between(1, 4) & F.forall(every, lambda x: (F.length(x) <= 48) & ~x.rlike("[.!?。！？]"))
 
 
 def noise_type(c: Column) -> Column:
     """The first type that fits, from the most protective to the most general."""
+
+    def prose(c: Column, clean: Column, every: Column) -> Column:
+        # most texts are clean, so that their own lines are known
+        own = F.when(clean == c, every).otherwise(lines(c))
+        score = final_score(symbol_ratio(clean) * 25 + short_share(every) * 12)
+        return F.when(score >= 60, "OCR_FRAGMENT").when(let(own, byline_block), "HEADER_FOOTER").otherwise("NORMAL_CONTENT")
+
     kind = lambda c: (
         F.when(c == "", "PAGE_NUMBER")
-        .when((count_chars(c, SCRIPTS["he"]) >= 3) | (count_chars(c, SCRIPTS["el"]) >= 3), "ORIGINAL_LANGUAGE")
-        .when(c.rlike(r"(?i)^(page\s+)?[0-9]+$"), "PAGE_NUMBER")
-        .when(c.rlike(rf"\([^()]*(?<![{WORD}])(19|20)[0-9]{{2}}(?![{WORD}])[^()]*\)"), "BIBLIOGRAPHY")
+        .when((F.octet_length(c) > F.length(c)) & c.rlike(f"[{SCRIPTS['he']}{SCRIPTS['el']}]") & ((count_chars(c, SCRIPTS["he"]) >= 3) | (count_chars(c, SCRIPTS["el"]) >= 3)), "ORIGINAL_LANGUAGE")
+        .when(reduce(or_, map(c.endswith, string.digits)) & c.rlike(r"(?i)^(page\s+)?[0-9]+$"), "PAGE_NUMBER")
+        .when(c.contains("(") & c.rlike(rf"\([^()]*(?<![{WORD}])(19|20)[0-9]{{2}}(?![{WORD}])[^()]*\)"), "BIBLIOGRAPHY")
         .when(caps_density(c) >= 0.08, "ABBREVIATION")
-        .when(noise_score(c, "txt") >= 60, "OCR_FRAGMENT")
-        .when(byline_block(c), "HEADER_FOOTER")
-        .otherwise("NORMAL_CONTENT")
+        .otherwise(let(normalise_basic(c), lambda clean: let(lines(clean), lambda every: prose(c, clean, every))))
     )
     return let(strip(F.coalesce(c, F.lit(""))), kind)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
@@ -58,12 +60,25 @@ def near_colons(c: Column, names: dict[str, str]) -> Column:
     return let(F.coalesce(c, F.lit("")), lambda x: F.when(x.contains(":"), F.array_join(F.transform(F.split(x, ":"), ends), ":")).otherwise(""))
 
 
+def one_of(names: Iterable[str]) -> str:
+    """A pattern of the longest of ``names`` that fits. Names share their beginnings, so that a place is compared with a few letters and not with every name."""
+    rest: dict[str, list[str]] = {}
+    for n in sorted(names):
+        rest.setdefault(n[:1], []).append(n[1:])
+    ends = rest.pop("", None) is not None
+    every = [re.escape(first) + one_of(more) for first, more in rest.items()]
+    return every[0] if len(every) == 1 and not ends else f"(?:{'|'.join(every)}){'?' * ends}" if every else ""
+
+
 def references(c: Column, names: dict[str, str] | None = None) -> Column:
     """``array<struct<book_id, chapter, verse_start, verse_end>>`` of "Book c:v" and "Book c:v-w" in order."""
     table = names or lexicon.NAME_TO_BOOK
-    alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
-    whole = rf"(?i)({alternatives})\s+([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
-    found = F.regexp_extract_all(near_colons(c, table), F.lit(whole), 0)
+    return _full(near_colons(c, table), table)
+
+
+def _full(near: Column, table: dict[str, str]) -> Column:
+    whole = rf"(?i)({one_of(table)})\s+([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
+    found = F.regexp_extract_all(near, F.lit(whole), 0)
     code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     number = lambda m, group: F.expr("try_cast(null as int)") if group is None else F.regexp_extract(m, whole, group)
     return F.transform(
@@ -78,13 +93,12 @@ def references(c: Column, names: dict[str, str] | None = None) -> Column:
 def question_references(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """References by full names, then by aliases at a word's beginning ("Rom5:3"), as a question is read; a full name that is an alias too counts twice."""
     table = aliases or lexicon.ALIAS_TO_BOOK
-    alternatives = "|".join(sorted(table, key=lambda n: (-len(n), n)))
-    whole = rf"(?i)(?<![{WORD}])({alternatives})\s*([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
+    whole = rf"(?i)(?<![{WORD}])({one_of(table)})\s*([0-9]{{1,9}}):([0-9]{{1,9}})(?:-([0-9]{{1,9}}))?"
     code = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.regexp_extract_all(near_colons(c, table), F.lit(whole), 0)
     part = lambda m, k: F.regexp_extract(m, whole, k)
-    short = F.transform(found, lambda m: F.struct(code[F.lower(part(m, 1))].alias("book_id"), part(m, 2).cast("int").alias("chapter"), part(m, 3).cast("int").alias("verse_start"), F.nullif(part(m, 4), F.lit("")).cast("int").alias("verse_end")))
-    return F.concat(references(c), short)
+    ref = lambda m: F.struct(code[F.lower(part(m, 1))].alias("book_id"), part(m, 2).cast("int").alias("chapter"), part(m, 3).cast("int").alias("verse_start"), F.nullif(part(m, 4), F.lit("")).cast("int").alias("verse_end"))
+    near = near_colons(c, lexicon.NAME_TO_BOOK | table)
+    return let(near, lambda x: F.concat(_full(x, lexicon.NAME_TO_BOOK), F.transform(F.regexp_extract_all(x, F.lit(whole), 0), ref)))
 
 
 #: No reference with up to twenty blanks is longer: a name of at most 15 characters and three numbers of at most nine digits.
@@ -93,13 +107,14 @@ LONGEST = 64
 
 def cut_reference(c: Column, ahead: Column) -> Column:
     """The beginning of ``ahead``, which follows ``c``, that ends a reference begun in ``c``; empty where none runs over the end."""
-    names = sorted({*lexicon.NAME_TO_BOOK, *lexicon.ALIAS_TO_BOOK}, key=lambda n: (-len(n), n))
-    whole = rf"(?i)(?=[\s\S]{{{LONGEST + 1}}})(?:{'|'.join(names)})\s*[0-9]{{1,9}}:[0-9]{{1,9}}(?:-[0-9]{{1,9}})?(?=([\s\S]{{0,{LONGEST - 1}}}\z))"
-    ahead = F.substring(F.coalesce(ahead, F.lit("")), 1, LONGEST)
-    # blanks fill up what is ahead, so that what is left behind a match tells where it ends
-    seam = F.concat(F.right(c, F.lit(LONGEST)), F.rpad(ahead, LONGEST, "\n"))
-    left = F.length(F.regexp_extract(seam, whole, 1))
-    return F.when(F.regexp_like(seam, F.lit(whole)), F.substring(ahead, F.lit(1), LONGEST - left)).otherwise("")
+    names = one_of({*lexicon.NAME_TO_BOOK, *lexicon.ALIAS_TO_BOOK})
+    whole = rf"(?i)(?=[\s\S]{{{LONGEST + 2}}}){names}\s*[0-9]{{1,9}}:[0-9]{{1,9}}(?:-[0-9]{{1,9}})?(?=([\s\S]{{1,{LONGEST}}}\z))"
+    # blanks fill up what is ahead and one follows, so that what is left behind a match tells where it ends
+    seam = lambda a: F.concat(F.right(c, F.lit(LONGEST)), F.rpad(a, LONGEST + 1, "\n"))
+    # few seams have a colon, without which no reference runs over them
+    left = lambda s: F.when(s.contains(":"), F.length(F.regexp_extract(s, whole, 1)))
+    ended = lambda a: let(let(seam(a), left), lambda n: F.when(n > 0, F.substring(a, F.lit(1), LONGEST + 1 - n)).otherwise(""))
+    return let(F.substring(F.coalesce(ahead, F.lit("")), 1, LONGEST), ended)
 
 
 def passage_references(c: Column) -> Column:
@@ -173,4 +188,4 @@ def evidence(refs: Column, book: Column) -> Column:
     repeated = lambda r: F.size(F.filter(refs, lambda x: (x["book_id"] == r["book_id"]) & (x["chapter"] == r["chapter"]))) > 1
     score = lambda r: part(r["chapter"].between(1, last[r["book_id"]]), "in_range") + part(r["verse_start"] > 0, "verse") + part(r["verse_end"].isNotNull(), "range") + part(repeated(r), "repeated") + part(F.coalesce(r["book_id"] == book, F.lit(False)), "own_book")
     best = F.array_max(F.transform(refs, lambda r, i: F.struct(F.round(score(r), 4).alias("score"), (-i).alias("earlier"), r.alias("ref"))))
-    return F.when(F.size(refs) > 0, F.struct(best["score"].alias("score"), best["ref"].alias("ref")))
+    return F.when(F.size(refs) > 0, let(best, lambda b: F.struct(b["score"].alias("score"), b["ref"].alias("ref"))))

@@ -26,27 +26,39 @@ def document_type(name: Column) -> Column:
     return F.when(low.rlike("commentary|anchor|manual|technical"), "technical").when(low.rlike("law|legal|contract|covenant"), "legal").otherwise("general")
 
 
-def chunk_rows(registry: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
-    """``document_id, chunk_index, content`` of registered documents with chunks: their chunk's text, else the whole document's.
+def chunk_texts(registry: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
+    """``document_id, chunk_indexes, content`` of registered documents with chunks: each chunk's text, else the whole document's once for all of its chunks.
 
     ``registry``: document_id, source_file, chunk_count; ``texts``: source_file, chunk_index, chunk and, where known, ``ahead``
     (what follows the chunk in its document), which is handed on; ``whole``: source_file, text.
-    A document with any chunk text takes no whole text: what lies beyond it is empty.
+    A document with any chunk text takes no whole text: what lies beyond it is empty. Each text is shuffled once, as it is settled before
+    texts are joined whether a document has chunk texts.
     """
-    wanted = registry.where(F.col("chunk_count") > 0).select("document_id", "source_file", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
-    known = texts.groupBy("source_file").agg(F.lit(True).alias("chunked"))
-    more = [c for c in ("ahead",) if c in texts.columns]
-    joined = wanted.join(texts.select("source_file", "chunk_index", "chunk", *more), ["source_file", "chunk_index"], "left").join(known, "source_file", "left").join(whole.select("source_file", F.col("text").alias("whole")), "source_file", "left")
-    content = F.coalesce(F.when(F.col("chunked"), F.col("chunk")).otherwise(F.col("whole")), F.lit(""))
-    return joined.select("document_id", "chunk_index", content.alias("content"), *more)
+    wanted = registry.where(F.col("chunk_count") > 0).select("document_id", "source_file", "chunk_count")
+    known = texts.select("source_file").distinct()
+    every = F.sequence(F.lit(0), F.col("chunk_count") - 1)
+    ahead = {"ahead": F.lit(None).cast("string")} if "ahead" in texts.columns else {}
+    in_parts = wanted.join(known, "source_file", "left_semi").select("document_id", "source_file", F.explode(every).alias("chunk_index")).join(texts.select("source_file", "chunk_index", "chunk", *ahead), ["source_file", "chunk_index"], "left")
+    as_whole = wanted.join(known, "source_file", "left_anti").join(whole.select("source_file", F.col("text").alias("chunk")), "source_file", "left").withColumns(ahead)
+    rows = lambda found, indexes: found.select("document_id", indexes.alias("chunk_indexes"), F.coalesce("chunk", F.lit("")).alias("content"), *ahead)
+    return rows(in_parts, F.array("chunk_index")).unionByName(rows(as_whole, every))
+
+
+def chunk_rows(registry: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
+    """``chunk_texts`` with a row for each chunk, its ``chunk_index`` in place of all."""
+    found = chunk_texts(registry, texts, whole)
+    return found.select("document_id", F.explode("chunk_indexes").alias("chunk_index"), *[c for c in found.columns if c not in ("document_id", "chunk_indexes")])
 
 
 def passages(registry: DataFrame, rows: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """One record per chunk: identifiers, book, chapter and verses with their evidence, noise class, headings.
 
     ``registry``: document_id, source_file and, where known, book, title, author, language, source_type; ``rows`` as of
-    ``chunk_rows``, where a reference that runs over a chunk's end into ``ahead`` counts for the chunk in which it begins; ``paths``: document_id, chunk_index, path, depth of paged documents. Elsewhere the text's own headings count.
+    ``chunk_texts`` or ``chunk_rows``, where a reference that runs over a chunk's end into ``ahead`` counts for the chunk in which it begins; further
+    columns are handed on; ``paths``: document_id, chunk_index, path, depth of paged documents. Elsewhere the text's own headings count.
+    What follows from contents is worked out before chunks are told apart and the registry is joined: once for a whole text, and contents that nobody takes are not shuffled.
     """
+    more = [c for c in rows.columns if c not in ("document_id", "chunk_index", "chunk_indexes", "content", "ahead")]
     about = registry
     for name in ("book", "title", "author", "language", "source_type"):
         if name not in about.columns:
@@ -54,16 +66,18 @@ def passages(registry: DataFrame, rows: DataFrame, paths: DataFrame | None = Non
     about = about.select("document_id", "source_file", "title", "author", "language", "source_type", F.coalesce("book", book_of_file(F.col("source_file")), F.lit(UNKNOWN)).alias("book_id"))
     content = F.col("content")
     read = F.concat(content, references.cut_reference(content, F.col("ahead"))) if "ahead" in rows.columns else content
-    own = rows.join(about, "document_id").withColumn("refs", references.question_references(read))
+    found = rows.withColumns({"refs": references.question_references(read), "noise": quality.noise_type(content)})
+    index = F.explode("chunk_indexes").alias("chunk_index") if "chunk_indexes" in rows.columns else "chunk_index"
+    own = found.select("document_id", index, "content", "refs", "noise", *more).join(about, "document_id")
     known = F.col("book_id") != UNKNOWN
     best = F.when(known, references.evidence(F.col("refs"), F.col("book_id")))
-    own = own.withColumns({"best": best, "chunk_id": chunk_id(F.col("document_id"), F.col("chunk_index"))}).withColumn("noise", quality.noise_type(F.col("content")))
+    own = own.withColumns({"best": best, "chunk_id": chunk_id(F.col("document_id"), F.col("chunk_index"))})
     ref = F.col("best.ref")
     verse = ref["verse_start"] > 0
     record = own.select(
         F.concat(F.lit("TSU-"), "book_id", F.lit("-"), "chunk_id").alias("tsu_id"), "document_id", "chunk_id", "chunk_index", "content", F.when(known, F.col("book_id")).alias("book_id"), ref["chapter"].alias("chapter"),
         F.when(verse, ref["verse_start"]).alias("verse_start"), F.when(verse, ref["verse_end"]).alias("verse_end"), F.col("best.score").alias("confidence"), F.when(known & (F.size("refs") > 0), F.size("refs")).alias("candidates"),
-        "title", "author", "source_file", "language", "source_type", F.col("noise").alias("noise_type"), quality.noise_policy(F.col("noise"))["quality_score"].alias("quality_score"), quality.noise_policy(F.col("noise"))["section_type"].alias("section_type"),
+        "title", "author", "source_file", "language", "source_type", F.col("noise").alias("noise_type"), quality.noise_policy(F.col("noise"))["quality_score"].alias("quality_score"), quality.noise_policy(F.col("noise"))["section_type"].alias("section_type"), *more,
     )
     if paths is None:
         return record

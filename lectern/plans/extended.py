@@ -272,10 +272,10 @@ def passage_records(spark, sf_dir):
     )
     parts = reg.where((i % 5 != 0) & (F.col("chunk_count") > 0)).withColumn("step", F.ceil(F.length("text") / F.col("chunk_count")).cast("int")).select("source_file", "text", "step", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
     chunks = parts.select("source_file", "chunk_index", F.substring("text", F.col("step") * F.col("chunk_index") + 1, F.col("step")).alias("chunk"), F.substring("text", F.col("step") * (F.col("chunk_index") + 1) + 1, F.lit(references.LONGEST)).alias("ahead"))
-    rows = corpus.chunk_rows(reg.select("document_id", "source_file", "chunk_count"), chunks, reg.select("source_file", "text"))
-    records = corpus.passages(reg.drop("doc_id", "text", "chunk_count"), rows)
+    rows = corpus.chunk_texts(reg.select("document_id", "source_file", "chunk_count"), chunks, reg.select("source_file", "text"))
+    records = corpus.passages(reg.drop("doc_id", "text", "chunk_count"), rows.withColumn("digest", F.md5(F.col("content").cast("binary"))))
     verses = F.coalesce(F.format_string("%d:%d-%d", "chapter", "verse_start", "verse_end"), F.lit(""))
-    shown = records.withColumns({"digest": F.md5(F.col("content").cast("binary")), "verses": F.when(F.col("chapter").isNull(), "").otherwise(verses), "candidates": F.coalesce("candidates", F.lit(0))})
+    shown = records.withColumns({"verses": F.when(F.col("chapter").isNull(), "").otherwise(verses), "candidates": F.coalesce("candidates", F.lit(0))})
     return shown.drop("content", "chapter", "verse_start", "verse_end")
 
 
